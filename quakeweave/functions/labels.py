@@ -22,60 +22,52 @@ def trimmed(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(_BLANKS))
 
 
+def _unless_absent(text: Column) -> Column:
+    """The text, NULL where it is one of the absent words in any case. Evaluates ``text`` once."""
+    return F.get(F.filter(F.array(text), lambda t: ~F.lower(t).isin(*ABSENT_WORDS)), F.lit(0))
+
+
 def present(c: Column | str) -> Column:
     """The trimmed text, NULL where it is absent."""
-    t = trimmed(c)
-    return F.when(~F.lower(t).isin(*ABSENT_WORDS), t)
+    return _unless_absent(trimmed(c))
 
 
 def lower_key(c: Column | str) -> Column:
-    return F.lower(present(c))
+    return _unless_absent(F.lower(trimmed(c)))
 
 
 def upper_key(c: Column | str) -> Column:
-    return F.upper(present(c))
-
-
-_BAND = r"^([0-9]*\.?[0-9]+)\s*(?:-|_|:|to)\s*([0-9]*\.?[0-9]+)\s*(?:s|sec|secs|second|seconds)?$"
+    return _unless_absent(F.upper(trimmed(c)))
 
 
-def _plain_number(c: Column) -> Column:
-    """'2.0' -> '2', '0.50' -> '0.5', '.5' -> '0.5'; other texts as they are."""
-    c = F.when(c.contains("."), F.regexp_replace(c, r"\.?0+$", "")).otherwise(c)
-    return F.when(c.startswith("."), F.concat(F.lit("0"), c)).otherwise(c)
+_NUMBER = r"0*([0-9]+(?:\.[0-9]*[1-9])?)\.?0*"
+_BAND = rf"^{_NUMBER}\s*(?:-|_|:|to)\s*{_NUMBER}\s*(?:s|sec|secs|second|seconds)?$"
 
 
 def band_key(c: Column | str) -> Column:
-    """``1-2 sec`` for 1-2s, 1_2s, '1 - 2 SEC' and the like; any other label lower-cased."""
-    t = lower_key(c)
-    low, high = F.regexp_extract(t, _BAND, 1), F.regexp_extract(t, _BAND, 2)
-    return F.when(t.rlike(_BAND), F.concat(_plain_number(low), F.lit("-"), _plain_number(high), F.lit(" sec"))).otherwise(t)
+    """``1-2 sec`` for 1-2s, 1_2s, '1 - 2.0 SEC' and the like; any other label lower-cased."""
+    return _unless_absent(F.regexp_replace(F.lower(trimmed(c)), _BAND, "$1-$2 sec"))
 
 
 # Metrics that exist once per period.
 PERIOD_METRICS = ("PSA", "FAS")
-_WITH_PERIOD = r"^(" + "|".join(PERIOD_METRICS) + r")(?:[^A-Z0-9]+T?[^A-Z0-9]*([0-9]*\.?[0-9]+)[^0-9]*)?$"
+_STATED = r"^(" + "|".join(PERIOD_METRICS) + r")(?:[^A-Z0-9]+T?[^A-Z0-9]*([0-9]*\.?[0-9]+)[^0-9]*)?$"
 
 
 def metric_key(c: Column | str) -> Column:
     """The metric's name in upper case with ``_`` as separator, without a period stated in it."""
-    t = upper_key(c)
-    named = F.regexp_extract(t, _WITH_PERIOD, 1)
-    other = F.btrim(F.regexp_replace(t, "[^A-Z0-9]+", "_"), F.lit("_"))
-    return F.when(F.length(named) > 0, named).when(F.length(other) > 0, other)
+    return _unless_absent(F.btrim(F.regexp_replace(F.regexp_replace(F.upper(trimmed(c)), _STATED, "$1"), "[^A-Z0-9]+", "_"), F.lit("_")))
 
 
 def metric_period(metric: Column | str, period_s: Column | str) -> Column:
     """Seconds of a period metric: ``period_s`` if it is a positive number, else the one in the label."""
     p = finite(period_s)
-    said = F.regexp_extract(upper_key(metric), _WITH_PERIOD, 2)
-    said = F.when(F.length(said) > 0, said.try_cast("double"))
+    said = F.regexp_extract(F.upper(trimmed(metric)), _STATED, 2).try_cast("double")
     return F.coalesce(F.when(p > 0, p), F.when(said > 0, said))
 
 
-def attribute_name(metric: Column | str, period_s: Column | str) -> Column:
-    """``PGA``, ``ARIAS_DURATION``, ``PSA@2.00``; NULL for a period metric without a period."""
-    name, period = metric_key(metric), metric_period(metric, period_s)
+def attribute_name(name: Column, period: Column) -> Column:
+    """``PGA``, ``ARIAS_DURATION``, ``PSA@2.00`` from ``metric_key`` and ``metric_period``; NULL for a period metric without a period."""
     with_period = F.when(period.isNotNull(), F.concat(name, F.lit("@"), F.format_string("%.2f", period)))
     return F.when(name.isin(*PERIOD_METRICS), with_period).otherwise(name)
 
@@ -88,8 +80,7 @@ def finite(c: Column | str) -> Column:
 
 def label_core(c: Column | str) -> Column:
     """Letters and digits of a present label in lower case: separators and blanks make no difference."""
-    core = F.regexp_replace(lower_key(c), r"[^\p{L}\p{N}]+", "")
-    return F.when(F.length(core) > 0, core)
+    return _unless_absent(F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}]+", ""))
 
 
 # The area of usable positions and the largest usable residual, as TESTDATA.md states them.

@@ -74,22 +74,24 @@ TOLERANCE = 1.005
 
 
 def _attribute_rows(spark: SparkSession, d: str) -> DataFrame:
+    # In two steps, so that each label is brought into shape once.
     rows = table(spark, d, "example_metrics_snapshot").select(
         L.lower_key("event_id").alias("event_id"),
         L.upper_key("station").alias("station"),
         L.upper_key("component").alias("component"),
         L.lower_key("model").alias("model"),
         L.band_key("band").alias("band"),
-        L.attribute_name("metric", "period_s").alias("attribute_name"),
+        L.metric_key("metric").alias("name"),
+        L.metric_period("metric", "period_s").alias("period"),
         L.finite("value_obs").alias("obs"),
         L.finite("value_syn").alias("syn"),
         "loaded_at",
         "row_id",
     )
-    present = F.col("attribute_name").isNotNull()
+    present = F.col("name").isNotNull()
     for c in ENTITY:
         present = present & F.col(c).isNotNull()
-    return rows.where(present)
+    return rows.where(present).withColumn("attribute_name", L.attribute_name(F.col("name"), F.col("period"))).drop("name", "period")
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
