@@ -24,7 +24,7 @@ PARENT = T.StructType(
 )
 ORPHAN = T.StructType([*REFERENCE.fields, T.StructField("orphan_kind", T.StringType())])
 
-#: A parent index of at most so many keys is broadcast (about 60 bytes a key); a larger one is joined by a salted shuffle.
+#: A parent index of at most so many keys is broadcast (about 100 bytes a key); a larger one is joined by a salted shuffle.
 BROADCAST_KEYS = 200_000
 
 
