@@ -278,28 +278,38 @@ class RegionTree:
         xs, ys = every[:, [0, 2]], every[:, [1, 3]]
         pad = 1e-9 + 1e-6 * max(np.ptp(xs), np.ptp(ys))
         self.box = (xs.min() - pad, ys.min() - pad, xs.max() + pad, ys.max() + pad)
-        stack = [(0, 0, 0, np.arange(len(every)))]
-        while stack:
-            d, ix, iy, near = stack.pop()
-            x0, y0, x1, y1 = self._bounds(d, ix, iy)
-            near = near[_edges_touch(every[near], x0, y0, x1, y1)]
-            span = (slice(ix << (depth - d), (ix + 1) << (depth - d)), slice(iy << (depth - d), (iy + 1) << (depth - d)))
-            if not len(near):
-                self.cells[span] = self._exact(np.array([(y0 + y1) / 2]), np.array([(x0 + x1) / 2]), np.arange(len(self.edges)))[0]
-            elif d < depth:
-                stack += [(d + 1, 2 * ix + i, 2 * iy + j, near) for i in (0, 1) for j in (0, 1)]
-            else:
-                around = self._covering((y0 + y1) / 2, (x0 + x1) / 2)
-                self.cells[span] = _UNKNOWN - len(self.candidates)
-                self.candidates.append(np.unique(np.concatenate([owner[near], around])))
-
-    def _bounds(self, d: int, ix: int, iy: int) -> tuple[float, float, float, float]:
+        # Level by level: pairs of a cell and an edge that touches it. Cells left without edges are settled at once.
+        cell, edge = np.zeros((1, 2), np.int64).repeat(len(every), 0), np.arange(len(every))
+        live = np.zeros((1, 2), np.int64)
+        for d in range(1, depth + 1):
+            live = (2 * live[:, None] + [[0, 0], [0, 1], [1, 0], [1, 1]]).reshape(-1, 2)
+            cell, edge = (2 * cell[:, None] + [[0, 0], [0, 1], [1, 0], [1, 1]]).reshape(-1, 2), edge.repeat(4)
+            touch = _edges_touch(every[edge], *self._bounds(d, cell))
+            cell, edge = cell[touch], edge[touch]
+            busy = np.isin(live[:, 0] << d | live[:, 1], np.unique(cell[:, 0] << d | cell[:, 1]))
+            free, live = live[~busy], live[busy]
+            x0, y0, x1, y1 = self._bounds(d, free)
+            owners = self._exact((y0 + y1) / 2, (x0 + x1) / 2, np.arange(len(self.edges)))
+            wide = depth - d
+            for (ix, iy), k in zip(free.tolist(), owners.tolist()):
+                self.cells[ix << wide : (ix + 1) << wide, iy << wide : (iy + 1) << wide] = k
+        x0, y0, x1, y1 = self._bounds(depth, live)
+        around = [_inside(e, (y0 + y1) / 2, (x0 + x1) / 2) for e in self.edges]
+        key = cell[:, 0] << depth | cell[:, 1]
+        order = np.argsort(key, kind="stable")
+        starts = np.searchsorted(key[order], live[:, 0] << depth | live[:, 1])
+        ends = np.searchsorted(key[order], live[:, 0] << depth | live[:, 1], side="right")
+        numbers: dict[tuple[int, ...], int] = {}
+        for k, (ix, iy) in enumerate(live.tolist()):
+            among = {*owner[edge[order[starts[k] : ends[k]]]].tolist(), *(r for r in range(len(around)) if around[r][k])}
+            at = numbers.setdefault(tuple(sorted(among)), len(numbers))
+            self.cells[ix, iy] = _UNKNOWN - at
+        self.candidates = [np.array(c, np.int64) for c in numbers]
+
+    def _bounds(self, d: int, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         x0, y0, x1, y1 = self.box
         w, h = (x1 - x0) / (1 << d), (y1 - y0) / (1 << d)
-        return x0 + ix * w, y0 + iy * h, x0 + (ix + 1) * w, y0 + (iy + 1) * h
-
-    def _covering(self, lat: float, lon: float) -> np.ndarray:
-        return np.array([k for k, e in enumerate(self.edges) if _inside(e, np.array([lat]), np.array([lon]))[0]], np.int64)
+        return x0 + cell[:, 0] * w, y0 + cell[:, 1] * h, x0 + (cell[:, 0] + 1) * w, y0 + (cell[:, 1] + 1) * h
 
     def _exact(self, lat: np.ndarray, lon: np.ndarray, among: np.ndarray) -> np.ndarray:
         out = np.full(len(lat), _NONE, np.int32)
@@ -332,8 +342,8 @@ class RegionTree:
         return out
 
 
-def _edges_touch(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Edges whose bounding box meets the cell and whose line does not leave all corners on one side."""
+def _edges_touch(e: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Edges (each with its cell) whose bounding box meets the cell and whose line does not leave all corners on one side."""
     pad = 1e-9
     x0, y0, x1, y1 = x0 - pad, y0 - pad, x1 + pad, y1 + pad
     meets = (np.minimum(e[:, 0], e[:, 2]) <= x1) & (np.maximum(e[:, 0], e[:, 2]) >= x0) & (np.minimum(e[:, 1], e[:, 3]) <= y1) & (np.maximum(e[:, 1], e[:, 3]) >= y0)
@@ -361,7 +371,7 @@ def ring_edges(lons: list[float], lats: list[float]) -> np.ndarray:
     return np.stack([x[:-1], y[:-1], x[1:], y[1:]], 1) if len(x) > 1 else np.zeros((0, 4))
 
 
-def _trees(rings: DataFrame, depth: int, block_vertices: int) -> list[RegionTree]:
+def region_trees(rings: DataFrame, depth: int = 8, block_vertices: int = BLOCK_VERTICES) -> list[RegionTree]:
     """Trees over all regions, each of at most ``block_vertices`` vertices (or one region, if that has more)."""
     sizes = rings.groupBy("region_id").agg(F.sum(F.size("ring_lons")).alias("n")).orderBy("region_id").collect()
     blocks, room = [], 0
@@ -381,7 +391,7 @@ def _trees(rings: DataFrame, depth: int, block_vertices: int) -> list[RegionTree
     return out
 
 
-def locate_regions(points: DataFrame, lat: str, lon: str, rings: DataFrame, *, into: str = "region_id", depth: int = 8, block_vertices: int = BLOCK_VERTICES) -> DataFrame:
+def locate_regions(points: DataFrame, lat: str, lon: str, rings: DataFrame | list[RegionTree], *, into: str = "region_id") -> DataFrame:
     """The points with the id of the region around each, NULL for none.
 
     The points are not shuffled: each task looks its own positions up, every different
@@ -394,7 +404,7 @@ def locate_regions(points: DataFrame, lat: str, lon: str, rings: DataFrame, *, i
     """
     spark: SparkSession = points.sparkSession
     base = points.drop(into)
-    trees = _trees(rings, depth, block_vertices)
+    trees = rings if isinstance(rings, list) else region_trees(rings)
     out = base.withColumn(into, F.lit(None).cast("bigint"))
     for tree in trees:
         shared = spark.sparkContext.broadcast(tree)

@@ -46,17 +46,18 @@ def boundary_edges(rings: DataFrame, region_code: str) -> np.ndarray:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Near sites, and sites and rows whose region or distance contradicts their position."""
     rings = table(spark, d, "region_rings")
+    trees = proximity.region_trees(rings)
     sites = cut_lineage(_sites(spark, d), "sites")
     near = proximity.near_pairs(sites, "site_id", "station_lat", "station_lon", NEAR_KM).select(F.lit("near").alias("case_kind"), "left_id", "right_id")
 
     labelled = sites.select("site_id", "station_lat", "station_lon", L.label_core("mapped_region").alias("label"))
-    at_sites = proximity.locate_regions(labelled, "station_lat", "station_lon", rings)
+    at_sites = proximity.locate_regions(labelled, "station_lat", "station_lon", trees)
     code_type = F.concat_ws(":", "region_code", "region_type")
     site_region = _mislabelled(at_sites, rings, code_type).select(F.lit("site_region").alias("case_kind"), F.col("site_id").alias("left_id"), F.col("region_id").alias("right_id"))
 
     rows = table(spark, d, "example_metrics_snapshot").where(L.usable_position("sta_lat", "sta_lon"))
     rows = rows.select("row_id", "sta_lat", "sta_lon", L.label_core("region_name").alias("label"))
-    at_rows = proximity.locate_regions(rows, "sta_lat", "sta_lon", rings)
+    at_rows = proximity.locate_regions(rows, "sta_lat", "sta_lon", trees)
     row_region = _mislabelled(at_rows, rings, F.col("region_name")).select(F.lit("row_region").alias("case_kind"), F.col("row_id").alias("left_id"), F.col("region_id").alias("right_id"))
 
     region = rings.where(L.upper_key("region_code") == EDGE_REGION).agg(F.min("region_id").alias("right_id"))
