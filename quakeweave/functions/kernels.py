@@ -117,13 +117,13 @@ def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def detrend(x: np.ndarray) -> np.ndarray:
-    """Less the least-squares line."""
+    """Less the least-squares line; of a trace or a stack of traces."""
     x = np.asarray(x, float)
-    n = len(x)
+    n = x.shape[-1]
     if n < 2:
-        return x - x.mean() if n else x
+        return x - x.mean(-1, keepdims=True) if n else x
     t = np.arange(n) - (n - 1) / 2
-    return x - x.mean() - t * (t @ x) / (t @ t)
+    return x - x.mean(-1, keepdims=True) - (x @ t)[..., None] * t / (t @ t)
 
 
 def edge_mask(n: int, fraction: float = 0.05) -> np.ndarray:
@@ -136,10 +136,10 @@ def edge_mask(n: int, fraction: float = 0.05) -> np.ndarray:
 
 
 def bandpass(x, dt: float, low_hz: float, high_hz: float, order: int = FILTER_ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Zero-phase band-passed trace, and the mask of its valid samples (finite, not within 5 % of an end)."""
+    """Zero-phase band-passed trace (or stack), and the mask of its valid samples (finite, not within 5 % of an end)."""
     x = np.asarray(x, float)
     y = zero_phase(butterworth(order, (low_hz, high_hz), dt, "band"), detrend(clean(x)))
-    return y, np.isfinite(x) & edge_mask(len(x))
+    return y, np.isfinite(x) & edge_mask(x.shape[-1])
 
 
 def lowpass(x, dt: float, cutoff_hz: float | None, order: int = FILTER_ORDER) -> np.ndarray:
@@ -295,7 +295,7 @@ def cav(x, dt: float, window: tuple[float, float] | None = None) -> float:
 
 
 def response_spectrum(x, dt: float, periods, damping: float = DAMPING) -> np.ndarray:
-    """Pseudo-acceleration by the average-acceleration step, for all periods at once.
+    """Pseudo-acceleration by the average-acceleration step, for all periods (and all traces of a stack) at once.
 
     One step is a fixed 3 x 3 matrix on (displacement, velocity, acceleration), so the
     recurrence runs over time for all oscillators together. NaN for periods not above 0.
@@ -304,17 +304,16 @@ def response_spectrum(x, dt: float, periods, damping: float = DAMPING) -> np.nda
     t = np.asarray(periods, float)
     ok = np.isfinite(t) & (t > 0)
     w = 2 * np.pi / np.where(ok, t, 1.0)
-    out = np.full(len(t), np.nan)
-    if not len(x) or dt <= 0 or not ok.any():
-        return out
+    shape = (*x.shape[:-1], len(t))
+    if not x.shape[-1] or dt <= 0 or not ok.any():
+        return np.full(shape, np.nan)
     # From u' = u + h v + h2/4 (a + a'), v' = v + h/2 (a + a') and a' = -g - 2 z w v' - w2 u'.
     h, z = dt, damping
     m = 1 + z * w * h + (w * h) ** 2 / 4
     au, av, aa = -(w**2) / m, -(2 * z * w + w**2 * h) / m, -(z * w * h + (w * h) ** 2 / 4) / m
-    u = v = a = np.zeros(len(t))
-    most = np.zeros(len(t))
-    for g in x:
-        new = au * u + av * v + aa * a - g / m
+    u = v = a = most = np.zeros(shape)
+    for g in np.moveaxis(x, -1, 0):
+        new = au * u + av * v + aa * a - g[..., None] / m
         u = u + h * v + h * h / 4 * (a + new)
         v = v + h / 2 * (a + new)
         a = new

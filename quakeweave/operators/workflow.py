@@ -21,39 +21,76 @@ ROW = T.StructType(
 _GROUP = {m: g for g, ms in METRIC_GROUPS.items() for m in ms}
 
 
-def prepare_side(samples, dt: float, low_s: float, high_s: float, *, lowpass_hz=None, resample_hz=None, window: tuple[int, int] | None = None) -> tuple[np.ndarray, float]:
-    """A trace low-passed, resampled, band-passed to periods low_s..high_s and cut to its valid samples (and those of a QC window)."""
-    x = np.array([np.nan if v is None else v for v in samples], float)
-    x, dt2 = K.preprocess(x, dt, lowpass_hz=lowpass_hz, resample_hz=resample_hz)
-    y, ok = K.bandpass(x, dt2, 1 / high_s, 1 / low_s)
-    if window is not None:
-        a, b = (int(round(w * dt / dt2)) for w in window)
-        inside = np.zeros(len(ok), bool)
-        inside[max(0, a) : b + 1] = True
-        ok &= inside
-    valid = np.flatnonzero(ok)
-    return (y[valid[0] : valid[-1] + 1] if len(valid) else y[:0]), dt2
-
-
-def metric_rows(obs: np.ndarray | None, syn: np.ndarray | None, dt: float, metrics: list[str], periods: list[float], *, cycles: float = 3.0) -> list[dict]:
-    """Rows of ``ROW`` for one pair; spectra are made once and give a row per period."""
+def as_array(samples) -> np.ndarray | None:
+    """Samples of a row with NaN for NULL; None if there are none."""
+    return None if samples is None or not len(samples) else np.array([np.nan if v is None else v for v in samples], float)
+
+
+def prepare_sides(traces: list[np.ndarray | None], dt: list[float], bands: list[tuple[float, float]], *, lowpass_hz=None, resample_hz=None) -> list:
+    """Each trace low-passed, resampled, band-passed to its periods and cut to its valid samples, with its interval.
+
+    Traces of equal length, interval and band are filtered together. Instead of a trace that
+    cannot be filtered its ValueError is given; None stays None.
+    """
+    out: list = [None] * len(traces)
+    stacks: dict[tuple, list[int]] = {}
+    ready: dict[int, np.ndarray] = {}
+    for k, x in enumerate(traces):
+        if x is None:
+            continue
+        try:
+            ready[k], h = K.preprocess(x, dt[k], lowpass_hz=lowpass_hz, resample_hz=resample_hz)
+            stacks.setdefault((len(ready[k]), h, bands[k]), []).append(k)
+        except ValueError as e:
+            out[k] = e
+    for (_, h, (low_s, high_s)), rows in stacks.items():
+        try:
+            y, ok = K.bandpass(np.stack([ready[k] for k in rows]), h, 1 / high_s, 1 / low_s)
+        except ValueError as e:
+            for k in rows:
+                out[k] = e
+            continue
+        for k, trace, mask in zip(rows, y, ok):
+            valid = np.flatnonzero(mask)
+            out[k] = (trace[valid[0] : valid[-1] + 1] if len(valid) else trace[:0], h)
+    return out
+
+
+def spectra(traces: list[np.ndarray | None], dt: list[float], metric: str, periods: list[float]) -> list:
+    """Spectrum of each trace at the periods; response spectra of equally long traces are made together."""
+    out: list = [None] * len(traces)
+    stacks: dict[tuple, list[int]] = {}
+    for k, x in enumerate(traces):
+        if x is not None and len(x):
+            if metric == "PSA":
+                stacks.setdefault((len(x), dt[k]), []).append(k)
+            else:
+                out[k] = R.SPECTRAL_METRICS[metric](x, dt[k], periods)
+    for (_, h), rows in stacks.items():
+        for k, v in zip(rows, R.SPECTRAL_METRICS[metric](np.stack([traces[k] for k in rows]), h, periods)):
+            out[k] = v
+    return out
+
+
+def metric_rows(obs: np.ndarray | None, syn: np.ndarray | None, dt: float, metrics: list[str], periods: list[float], made: dict[str, tuple], *, cycles: float = 3.0) -> list[dict]:
+    """Rows of ``ROW`` for one pair; ``made`` holds both sides' spectra, which give a row per period."""
     rows = []
     num = lambda v: float(v) if v is not None and np.isfinite(v) else None
     sides = [s if s is not None and len(s) else None for s in (obs, syn)]
+    both = all(s is not None for s in sides)
     for m in metrics:
         base = dict.fromkeys(ROW.names) | {"metric_group": _GROUP.get(m), "metric": m, "status": "pass"}
         if m in R.PAIR_METRICS:
-            both = None not in (None if s is None else 1 for s in sides)
             rows.append(base | ({"value": num(R.PAIR_METRICS[m](*sides, dt))} if both else {"status": "missing_waveform"}))
         elif m in R.SPECTRAL_METRICS:
-            spectra = [None if s is None else R.SPECTRAL_METRICS[m](s, dt, periods) for s in sides]
+            bounds = [K.support_bounds(len(s), dt, cycles) for s in sides if s is not None]
             for k, p in enumerate(periods):
-                fits = all(s is None or K.support_bounds(len(s), dt, cycles)[0] <= p <= K.support_bounds(len(s), dt, cycles)[1] for s in sides)
-                o, s = (None if v is None else num(v[k]) for v in spectra)
-                rows.append(base | {"period_s": float(p), "value_obs": o, "value_syn": s, "status": "pass" if fits else "insufficient_cycles"})
+                o, s = (None if v is None else num(v[k]) for v in made[m])
+                fits = all(a <= p <= b for a, b in bounds)
+                rows.append(base | {"period_s": float(p), "value_obs": o, "value_syn": s, "status": "missing_waveform" if not both else "pass" if fits else "insufficient_cycles"})
         else:
             o, s = (None if v is None else num(R.TRACE_METRICS[m](v, dt)) for v in sides)
-            rows.append(base | {"value_obs": o, "value_syn": s, "status": "pass" if None not in (o, s) else "missing_waveform"})
+            rows.append(base | {"value_obs": o, "value_syn": s, "status": "pass" if both else "missing_waveform"})
     return rows
 
 
@@ -70,23 +107,25 @@ def calculate(tasks: DataFrame, keys: list[str], *, metrics: list[str], periods:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            n = len(pdf)
+            traces = [as_array(x) for c in (obs, syn) for x in pdf[c]]
+            steps = [float(h) for h in pdf[dt]] * 2
+            if filtered:
+                limits = list(zip(pdf["period_min_s"], pdf["period_max_s"])) * 2
+                got = prepare_sides(traces, steps, limits)
+                errors = [str(g) if isinstance(g, ValueError) else None for g in got]
+                traces = [g[0] if isinstance(g, tuple) else None for g in got]
+                steps = [g[1] if isinstance(g, tuple) else h for g, h in zip(got, steps)]
+            else:
+                errors = [None] * (2 * n)
+            made = {m: spectra(traces, steps, m, list(periods)) for m in metrics if m in R.SPECTRAL_METRICS}
             rows = []
-            for r in pdf.to_dict("records"):
-                own = {k: r[k] for k in keys}
-                try:
-                    sides, h = [], r[dt]
-                    for c in (obs, syn):
-                        x = r[c]
-                        if x is None or not len(x):
-                            sides.append(None)
-                        elif filtered:
-                            y, h = prepare_side(x, r[dt], r["period_min_s"], r["period_max_s"])
-                            sides.append(y)
-                        else:
-                            sides.append(np.array([np.nan if v is None else v for v in x], float))
-                    rows += [own | x for x in metric_rows(*sides, h, metrics, list(periods))]
-                except ValueError as e:
-                    rows += [own | dict.fromkeys(ROW.names) | {"metric_group": _GROUP.get(m), "metric": m, "status": str(e)} for m in metrics]
+            for k, own in enumerate(pdf[keys].to_dict("records")):
+                if why := errors[k] or errors[k + n]:
+                    rows += [own | dict.fromkeys(ROW.names) | {"metric_group": _GROUP.get(m), "metric": m, "status": why} for m in metrics]
+                else:
+                    pair = {m: (v[k], v[k + n]) for m, v in made.items()}
+                    rows += [own | x for x in metric_rows(traces[k], traces[k + n], steps[k], metrics, list(periods), pair)]
             yield pd.DataFrame(rows, columns=schema.names)
 
     out = tasks.select(*keys, obs, syn, dt, *bands).mapInPandas(run, schema)
