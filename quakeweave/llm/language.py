@@ -12,6 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +75,8 @@ def language_code(label: Column) -> Column:
 
 
 ORDERS = (3, 5)
-# Chunks of ASCII that are code rather than words (with digits, slashes, quotes inside and the like), and all that is no letter.
-_NOT_WORDS = regex.compile(r"""(?:[!-~]*(?:[0-9_/\\{}<>=|@#$]|[a-z"]["':][a-z"])[!-~]*|[^\p{L}\n\x00])+""")
+# Characters that make a chunk of ASCII code rather than words, wherever they stand in it.
+_CODE = "0123456789_/\\{}<>=|@#$"
 _BREAK = 10
 
 
@@ -96,8 +97,19 @@ def _mended(text: str) -> str:
 _SUSPECT = regex.compile(r"[ÂÃÐÑãâæçåìí][\u0080-¿ŒœŠšŸŽžƒˆ˜–-™]")
 
 
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point whether it is a letter, and whether it is a mark that combines with the one before."""
+    every = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    return np.array([k[0] == "L" for k in every]), np.array([unicodedata.combining(chr(c)) > 0 for c in range(0x110000)])
+
+
 def plain(texts: list[str | None]) -> np.ndarray:
-    """All texts as code points: lower case, without accents, only letters, single spaces and line breaks; each ends with 0."""
+    """All texts as code points: lower case, without accents, only letters, single spaces and line breaks; each ends with 0.
+
+    Chunks of ASCII with digits, slashes and the like, or with quotes or colons between
+    letters, are code and become a space.
+    """
     parts = []
     for t in texts:
         t = (t or "").replace("\x00", " ")
@@ -106,8 +118,24 @@ def plain(texts: list[str | None]) -> np.ndarray:
         parts.append(t)
     s = ("\x00".join(parts) + "\x00").lower()
     if not s.isascii():
-        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    return np.frombuffer(_NOT_WORDS.sub(" ", s).encode("utf-32-le"), np.uint32)
+        s = unicodedata.normalize("NFKD", s)
+    letter, mark = _letters()
+    c = np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32)
+    if not s.isascii():
+        c = c[~mark[c]]
+    solid = (c > 32) & (c < 127)
+    run = np.cumsum(np.r_[True, solid[1:] != solid[:-1]]) - 1
+    code = np.isin(c, np.frombuffer(_CODE.encode("utf-32-le"), np.uint32))
+    word = ((c >= 97) & (c <= 122)) | (c == 34)
+    code[1:-1] |= ((c[1:-1] == 34) | (c[1:-1] == 58)) & word[:-2] & word[2:]
+    dropped = np.zeros(run[-1] + 1, bool)
+    dropped[run[code & solid]] = True
+    end = (c == _BREAK) | (c == 0)
+    kept = end | (letter[c] & ~(solid & dropped[run]))
+    # Of what goes, the first character of each stretch becomes the space.
+    first = ~kept & np.r_[True, kept[:-1]]
+    out = np.where(kept, c, np.uint32(32))
+    return out[kept | first]
 
 
 @dataclass
@@ -272,8 +300,7 @@ def _filters(keys: np.ndarray, unit: np.ndarray, group: np.ndarray, languages: l
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     gram = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
     units = np.bincount(group[group >= 0], minlength=len(languages))
-    counts = np.zeros((len(first), len(languages)), np.int32)
-    np.add.at(counts, (gram, lang), 1)
+    counts = np.bincount(gram * len(languages) + lang, minlength=len(first) * len(languages)).reshape(len(first), -1) if len(first) else np.zeros((0, len(languages)), int)
     rate = counts / np.maximum(units, 1)
     has = (counts >= rare) & (rate >= share * rate.max(1, keepdims=True)) if len(first) else counts > 0
     out = Filters(languages, int(8 * has.sum() + 1))
