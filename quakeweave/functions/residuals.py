@@ -42,7 +42,7 @@ def _relative_gap(o: Column, s: Column) -> Column:
 
 def anderson_2004_gof(obs, syn) -> Column:
     o, s = _both(obs, syn)
-    return F.least(F.lit(10.0), 10 * F.exp(-F.pow(_relative_gap(o, s), F.lit(2))))
+    return 10 * F.exp(-F.pow(_relative_gap(o, s), F.lit(2)))
 
 
 # Coefficients of W. J. Cody's rational approximations of erf and erfc (1969), highest power first.

@@ -328,7 +328,7 @@ def region_contrast_bootstrap(spark, d):
 r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS rk FROM x WHERE g IN (SELECT g FROM k)),
 s AS (SELECT sum(q) AS q, sum(n) AS n, count(*) AS groups FROM (SELECT g, sum(rk) * sum(rk) / count(*) AS q, count(*) AS n FROM r GROUP BY g)),
 t AS (SELECT sum(pow(c, 3) - c) AS t FROM (SELECT count(*) AS c FROM r GROUP BY v))
-SELECT round((12e0 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (pow(n, 3) - n)), 6) + 0e0 AS h, CAST(groups - 1 AS INTEGER) AS df, CAST(n AS BIGINT) AS n FROM s, t"""
+SELECT round((12e0 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (pow(n, 3) - n)), 6) + 0e0 AS h, CAST(groups - 1 AS INTEGER) AS df, CAST(n AS BIGINT) AS n FROM s, t WHERE groups >= 2"""
 )
 def kruskal_vs30_by_region(spark, d):
     return SP.kruskal_wallis(view(spark, d, "v_stations"), "vs30", "mapped_region_type").select("h", "df", "n")
