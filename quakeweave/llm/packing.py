@@ -178,9 +178,9 @@ def ranked(items: DataFrame, size: str) -> DataFrame:
     numbered = items.mapInArrow(number, T.StructType([*schema.fields, T.StructField("__own", T.LongType())])).withColumn("__part", F.spark_partition_id())
     numbered = cut_lineage(numbered, "numbered")
     # One row per split and length; a window by length adds those of the splits before.
-    counts = numbered.groupBy(size, "__part").agg((F.max("__own") + 1).alias("n"))
+    counts = numbered.groupBy(size, "__part").agg((F.max("__own") + 1).alias("__count"))
     before = Window.partitionBy(size).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(size, "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    offsets = counts.select(size, "__part", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__before"))
     return numbered.join(offsets, [size, "__part"]).withColumn("rank", F.col("__own") + F.col("__before")).drop("__own", "__before", "__part")
 
 
@@ -191,9 +191,9 @@ def cut_pieces(items: DataFrame, key: str, size: str, capacity: int) -> DataFram
     """
     n = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
     last = F.greatest(F.ceil(n / F.lit(capacity)) - 1, F.lit(0)).cast("int")
-    cut = items.select(key, n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    cut = items.select(key, n.alias("__size"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("bigint") * F.lit(capacity)
-    return cut.select(key, "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - start).alias("piece_tokens"))
+    return cut.select(key, "piece", start.alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("__size") - start).alias("piece_tokens"))
 
 
 def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:

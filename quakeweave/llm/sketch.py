@@ -242,7 +242,8 @@ def build_sketches(df: DataFrame, key: Column, value: Column, spec: SketchSpec,
     base = df.select(key.cast("string").alias("key"), value.cast("double").alias("v"), w.cast("bigint").alias("w"))
     base = base.where(F.col("key").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v") & F.col("w").isNotNull())
     base = base.select("key", spec.code_column(F.col("v")).alias("code"), "w")
-    if weight is None:
+    weighted = weight is not None
+    if not weighted:
         base = base.drop("w")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +277,7 @@ def build_sketches(df: DataFrame, key: Column, value: Column, spec: SketchSpec,
             d = b.column(0).dictionary_encode()
             local = np.array([names.setdefault(k, len(names)) for k in d.dictionary.to_pylist()], np.int64)
             code = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            n = np.ones(len(code), np.int64) if weight is None else b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if weighted else np.ones(len(code), np.int64)
             held.append((local[d.indices.to_numpy()], code, n))
             rows += len(code)
             seen += len(code)
