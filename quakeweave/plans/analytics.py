@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeweave.functions import geodesy as G
+from quakeweave.functions import labels as L
 from quakeweave.functions import residuals as R
 from quakeweave.functions import text as X
 from quakeweave.functions import traces as TR
 from quakeweave.operators import clustering as ML
+from quakeweave.operators import figures as V
 from quakeweave.operators import geometry as GE
 from quakeweave.operators import joins as J
 from quakeweave.operators import metrics as M
+from quakeweave.operators import normalize as N
 from quakeweave.operators import qc as Q
 from quakeweave.operators import selection as SEL
 from quakeweave.operators import spatial as SP
@@ -667,3 +670,113 @@ def polygon_summary(spark, d):
     s = view(spark, d, "v_stations").select("station", "lat", "lon")
     named = GE.annotate_points(s, boxes(spark), "lat", "lon").select("station", "region_labels")
     return M.label_summary(metrics(spark, d).join(named, "station"), "region_labels", "log2_residual", ["model"])
+
+
+# ---------------------------------------------------------------- figures, coverage, normalised tables
+
+
+@query(
+    f"""WITH {_RES}, q AS (SELECT metric, quantile_cont(log2_residual, 0.25) AS q25, median(log2_residual) AS med, quantile_cont(log2_residual, 0.75) AS q75, count(*) AS n FROM res GROUP BY 1),
+w AS (SELECT metric, min(log2_residual) FILTER (ok) AS lo, max(log2_residual) FILTER (ok) AS hi, count(*) FILTER (NOT ok) AS outliers FROM (SELECT r.metric, log2_residual, log2_residual BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) AS ok FROM res r JOIN q USING (metric)) GROUP BY 1)
+SELECT metric, {r6("q25")} AS q25, {r6("med")} AS median, {r6("q75")} AS q75, n, {r6("lo")} AS whisker_low, {r6("hi")} AS whisker_high, outliers FROM q JOIN w USING (metric)"""
+)
+def box_statistics(spark, d):
+    """Quartiles, whiskers and outliers of the residuals by metric."""
+    return V.box_statistics(metrics(spark, d), "log2_residual", ["metric"])
+
+
+@query("SELECT station, count(DISTINCT event_id) AS n FROM v_metrics GROUP BY 1 ORDER BY n DESC, station LIMIT 40")
+def station_coverage(spark, d):
+    """The stations with most events."""
+    return V.coverage(view(spark, d, "v_metrics"), "station", "event_id", 40)
+
+
+@query(f"WITH {_RES}, {_PATHS} SELECT count(*) AS rows, count(DISTINCT event_id) AS events, count(DISTINCT station) AS stations, count(*) FILTER (event_lat IS NULL OR sta_lat IS NULL) AS rows_missing_coordinates FROM paths")
+def coverage_totals(spark, d):
+    return V.coverage_totals(_paths(spark, d))
+
+
+@query(f"WITH {_RES} SELECT {r6('-max(abs(log2_residual))')} AS low, {r6('max(abs(log2_residual))')} AS high FROM res")
+def symmetric_limits(spark, d):
+    return V.value_limits(metrics(spark, d), "log2_residual", diverging=True)
+
+
+@query(
+    "SELECT passband, count(*) AS total, count(*) FILTER (qc_status = 'pass') AS accepted, count(*) FILTER (qc_status <> 'pass') AS rejected, "
+    + f"{r6('100e0 * count(*) FILTER (contains(qc_reason, $$low_snr$$)) / count(*)')} AS percent_low_snr, {r6('100e0 * count(*) FILTER (contains(qc_reason, $$record_too_short$$)) / count(*)')} AS percent_record_too_short FROM v_qc GROUP BY 1"
+)
+def qc_companion_summary(spark, d):
+    """Acceptance and shares of reasons by passband."""
+    q = view(spark, d, "v_qc").withColumn("ok", F.col("qc_status") == "pass")
+    return Q.companion_summary(q, ["passband"], ok="ok", reasons="qc_reason").select("passband", "total", "accepted", "rejected", "percent_low_snr", "percent_record_too_short")
+
+
+@query(
+    """WITH b AS (SELECT event_id, station, qc_status = 'pass' AS ok, CAST(left(passband, 1) AS DOUBLE) AS lo, CAST(substr(passband, 3, 1) AS DOUBLE) AS hi FROM v_qc)
+SELECT event_id, station, bool_and(ok) AS all_accepted, bool_or(ok) AS any_accepted FROM b WHERE greatest(lo, 1.5e0) < least(hi, 2.5e0) GROUP BY 1, 2"""
+)
+def accepted_bands(spark, d):
+    """Whether all, or any, of the bands that overlap 1.5 to 2.5 s are accepted."""
+    q = view(spark, d, "v_qc").withColumns({"ok": F.col("qc_status") == "pass", "r": X.period_range("passband")}).withColumns({"lo": F.col("r.low"), "hi": F.col("r.high")})
+    return Q.accepted_bands(q, ["event_id", "station"], [(1.5, 2.5)], "lo", "hi", "ok")
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT event_id, station, component FROM v_metrics), g AS (SELECT * FROM (VALUES ('PGA'), ('CAV')) m(metric), (VALUES ('1-2 sec')) b(passband), (VALUES ('cvmsi')) x(model)),
+p AS (SELECT DISTINCT event_id, station, component, metric, band AS passband, model FROM v_metrics) SELECT event_id, station, component, metric, passband, model FROM (SELECT * FROM i, g) e ANTI JOIN p USING (event_id, station, component, metric, passband, model)"""
+)
+def plan_gaps(spark, d):
+    """Planned rows that are missing."""
+    m = view(spark, d, "v_metrics").withColumnRenamed("band", "passband")
+    keys = ["event_id", "station", "component", "metric", "passband", "model"]
+    return J.missing_rows(J.expected_rows(m, ["1-2 sec"], ["PGA", "CAV"], [], ["cvmsi"]), m, keys).select(*keys)
+
+
+@query(
+    """WITH x AS (SELECT mapped_region_type AS g, vs30 AS v FROM v_stations WHERE mapped_region_type IN ('ASIA', 'EUROPE')), r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS rk FROM x)
+SELECT round(sum(rk) FILTER (g = 'ASIA') - count(*) FILTER (g = 'ASIA') * (count(*) FILTER (g = 'ASIA') + 1) / 2e0, 6) + 0e0 AS u, count(*) FILTER (g = 'ASIA') AS n_left, count(*) FILTER (g = 'EUROPE') AS n_right FROM r HAVING n_left > 0 AND n_right > 0"""
+)
+def mann_whitney_vs30(spark, d):
+    return SP.mann_whitney(view(spark, d, "v_stations"), "vs30", "mapped_region_type", "ASIA", "EUROPE").select("u", "n_left", "n_right")
+
+
+@query(
+    """WITH s AS (SELECT upper(trim(station)) AS station, coalesce(upper(CASE WHEN lower(trim(network)) NOT IN ('', 'nan', 'none', 'null') THEN trim(network) END), 'UNKNOWN') AS network, station_lat AS lat, station_lon AS lon, loaded_at FROM selected_stations WHERE isfinite(station_lat) AND isfinite(station_lon))
+SELECT station, min_by(lat, loaded_at) AS lat, min_by(lon, loaded_at) AS lon FROM s WHERE lower(station) NOT IN ('', 'nan', 'none', 'null') GROUP BY 1""",
+    views=False,
+)
+def normalized_stations(spark, d):
+    """The station list in its logical schema, the first row of each station."""
+    s = table(spark, d, "selected_stations").drop("station_id")
+    return N.stations(s, order="loaded_at").select("station", "lat", "lon")
+
+
+_SNAP = r"""CASE WHEN lower(trim(model)) NOT IN ('','nan','none','null') THEN lower(trim(model)) END AS model,
+ CASE WHEN regexp_matches(lower(trim(band)), '^[0-9.]+ *[-_] *[0-9.]+ *(s|sec)$') THEN regexp_extract(lower(trim(band)), '^([0-9.]+) *[-_] *([0-9.]+)', 1) || '-' || regexp_extract(lower(trim(band)), '^([0-9.]+) *[-_] *([0-9.]+)', 2) || ' sec' END AS band,
+ CASE WHEN isfinite(log2_residual) AND abs(log2_residual) <= 64 THEN log2_residual END AS v"""
+
+
+@query(f"SELECT model, band, {_STATS} FROM (SELECT {_SNAP} FROM example_metrics_snapshot) GROUP BY ALL", views=False)
+def snapshot_model_band_summary(spark, d):
+    """Statistics of the usable residuals of the metric snapshot, whatever the spelling of its labels."""
+    rows = table(spark, d, "example_metrics_snapshot").select(L.lower_key("model").alias("model"), L.band_key("band").alias("band"), L.usable_residual().alias("v"))
+    return M.summarize(rows, "v", ["model", "band"])
+
+
+@query(
+    f"""WITH p AS (SELECT log2_residual AS v, {hav("event_lat", "event_lon", "sta_lat", "sta_lon")} AS km FROM example_metrics_snapshot WHERE isfinite(log2_residual) AND abs(log2_residual) <= 64 AND isfinite(event_lat) AND isfinite(event_lon) AND isfinite(sta_lat) AND isfinite(sta_lon) AND sta_lat BETWEEN 32 AND 36 AND sta_lon BETWEEN -121 AND -114)
+SELECT floor(km / 50) * 50e0 AS distance_bin_km, count(*) AS n, {r6("avg(v)")} AS mean_residual FROM p GROUP BY 1""",
+    views=False,
+)
+def snapshot_distance_bins(spark, d):
+    """Mean residual of the metric snapshot by distance, computed from usable coordinates."""
+    rows = table(spark, d, "example_metrics_snapshot").where(L.usable_position("sta_lat", "sta_lon") & L.finite("event_lat").isNotNull() & L.finite("event_lon").isNotNull())
+    g = rows.select(L.usable_residual().alias("v"), G.haversine_km("event_lat", "event_lon", "sta_lat", "sta_lon").alias("km")).where(F.col("v").isNotNull())
+    return g.groupBy(G.grid_cell("km", 50.0).alias("distance_bin_km")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_residual"))
+
+
+@query("WITH g AS (SELECT station, network, row_number() OVER (ORDER BY station) - 1 AS k FROM v_stations) SELECT CAST(floor(k / 7) AS BIGINT) AS batch, count(*) AS n, min(station) AS first_station FROM g GROUP BY 1")
+def work_batches(spark, d):
+    """Stations in slices of seven by name."""
+    b = V.batches(view(spark, d, "v_stations").select("station", "network"), 7, "station")
+    return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("station").alias("first_station"))
