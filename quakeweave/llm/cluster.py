@@ -7,6 +7,7 @@ the same passes. The driver holds the tree (centres of nodes), never records.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -110,7 +111,7 @@ def _stats(points: DataFrame, of) -> dict[tuple[int, int, int], tuple]:
     return out
 
 
-def bisect(points: DataFrame, *, rms_limit: float, radius_limit: float, rounds: int = 25, least: int = 2, tolerance: float = 1e-6) -> Tree:
+def bisect(points: DataFrame, *, rms_limit: float, radius_limit: float, rounds: int = 20, least: int = 2, tolerance: float = 1e-3) -> Tree:
     """The tree of a bisecting k-means over ``features`` (arrays of equal length without NULL).
 
     A node is split while its root mean square distance to the centre exceeds
@@ -190,13 +191,55 @@ def bisect(points: DataFrame, *, rms_limit: float, radius_limit: float, rounds:
     return tree
 
 
-def assign(points: DataFrame, tree: Tree) -> DataFrame:
-    """The points with ``leaf`` and ``distance``, to the nearest of all leaves' centres.
+def merged_leaves(tree: Tree, *, rms_limit: float, radius_limit: float) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """Leaves that are compact together become one: a group for each leaf, and the groups' centres.
+
+    A split near the root can cut through a compact set, whose parts then end up in several
+    leaves. The nearest groups are joined first, as long as the join keeps both limits (its
+    radius being taken as the most it can be).
+    """
+    groups = {k: (tree.nodes[k].n, tree.nodes[k].centre, tree.nodes[k].sse, tree.nodes[k].radius, [k]) for k in tree.leaves}
+
+    def joined(a: tuple, b: tuple) -> tuple:
+        n = a[0] + b[0]
+        c = (a[0] * a[1] + b[0] * b[1]) / max(n, 1)
+        sse = a[2] + b[2] + a[0] * b[0] / max(n, 1) * float(((a[1] - b[1]) ** 2).sum())
+        far = max(float(np.sqrt(((x[1] - c) ** 2).sum())) + x[3] for x in (a, b))
+        return n, c, sse, far, a[4] + b[4]
+
+    def gap(i: int, j: int) -> float:
+        return float(((groups[i][1] - groups[j][1]) ** 2).sum())
+
+    ids = sorted(groups)
+    # Centres further apart than two radii are never joined, so they are not looked at.
+    near = lambda i, j: gap(i, j) <= 4 * radius_limit**2
+    heap = [(gap(i, j), i, j) for x, i in enumerate(ids) for j in ids[x + 1 :] if near(i, j)]
+    heapq.heapify(heap)
+    fresh = len(tree.nodes)
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        if i not in groups or j not in groups:
+            continue
+        new = joined(groups[i], groups[j])
+        if np.sqrt(new[2] / max(new[0], 1)) <= rms_limit and new[3] <= radius_limit:
+            del groups[i], groups[j]
+            groups[fresh] = new
+            for k in list(groups):
+                if k != fresh and near(k, fresh):
+                    heapq.heappush(heap, (gap(k, fresh), k, fresh))
+            fresh += 1
+    return {leaf: g for g, x in groups.items() for leaf in x[4]}, {g: x[1] for g, x in groups.items()}
+
+
+def assign(points: DataFrame, tree: Tree, group: dict[int, int], centre: dict[int, np.ndarray]) -> DataFrame:
+    """The points with the group of the nearest leaf, and the distance to the group's centre.
 
     Going by the nearest leaf instead of the splits mends records near a split's border.
     """
     leaves = tree.leaves
     centres = np.array([tree.nodes[k].centre for k in leaves])
+    groups = np.array([group[k] for k in leaves])
+    own = np.array([centre[group[k]] for k in leaves])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +248,8 @@ def assign(points: DataFrame, tree: Tree) -> DataFrame:
             for k, c in enumerate(centres):
                 d = ((x - c) ** 2).sum(1) if len(x) else best
                 near, best = np.where(d < best, k, near), np.minimum(d, best)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near), pa.array(np.sqrt(best))], names=["id", "leaf", "distance"])
+            far = np.sqrt(((x - own[near]) ** 2).sum(1)) if len(x) else best
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(groups[near]), pa.array(far)], names=["id", "leaf", "distance"])
 
     return points.select("id", "features").mapInArrow(place, "id bigint, leaf bigint, distance double")
 
@@ -214,18 +258,20 @@ def cluster(points: DataFrame, *, rms_limit: float, radius_limit: float) -> Data
     """Clusters of mutually similar records: ``id``, ``cluster_id``, ``distance`` to the centre.
 
     ``points`` has ``id`` (bigint) and ``features`` (array of doubles). ``cluster_id`` is the
-    smallest id of the cluster. Defined results: records whose id is NULL or whose features
-    are NULL or hold a NULL, NaN or infinity are left out; equal records share a cluster; an
-    id given twice is two records; other columns are ignored; an empty input gives no rows.
+    smallest id of the cluster. Clusters are the leaves of ``bisect``, those that are compact
+    together being joined. Defined results: records whose id is NULL or whose features are
+    NULL or hold a NULL, NaN or infinity are left out; equal records share a cluster; an id
+    given twice is two records; other columns are ignored; an empty input gives no rows.
     """
     usable = F.col("id").isNotNull() & F.col("features").isNotNull() & ~F.exists("features", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     kept = cut_lineage(points.where(usable).select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features")), "points")
     tree = bisect(kept, rms_limit=rms_limit, radius_limit=radius_limit)
     if not tree.nodes:
         return kept.select("id", F.lit(None).cast("bigint").alias("cluster_id"), F.lit(None).cast("double").alias("distance"))
-    placed = cut_lineage(assign(kept, tree), "placed")
+    group, centre = merged_leaves(tree, rms_limit=rms_limit, radius_limit=radius_limit)
+    placed = cut_lineage(assign(kept, tree, group, centre), "placed")
     smallest = placed.groupBy("leaf").agg(F.min("id").alias("cluster_id"))
-    # One row per leaf, as many as the tree on the driver has.
+    # One row per group, at most as many as the tree on the driver has leaves.
     return placed.join(F.broadcast(smallest), "leaf").select("id", "cluster_id", "distance")
 
 

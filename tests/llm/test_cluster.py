@@ -46,3 +46,14 @@ def test_edges(spark):
 def test_tree_routes_to_leaves():
     t = C.Tree([C.Node(np.zeros(1), left=1, right=2), C.Node(np.array([-1.0])), C.Node(np.array([1.0]), left=3, right=4), C.Node(np.array([0.5])), C.Node(np.array([3.0]))])
     assert t.leaves == [1, 3, 4] and t.route(np.array([[-5.0], [0.4], [9.0]])).tolist() == [1, 3, 4]
+
+
+def test_sets_that_a_split_cut_are_joined_again(spark):
+    rng = np.random.default_rng(7)
+    shapes = np.array([[0.9, 0.8, 0.9, 0.8, 0.8], [-0.9, -0.8, -0.9, -0.8, -0.8], [0.9, 0.7, 0, -0.4, -0.9], [-0.9, -0.6, 0, 0.5, 0.9], [0, -0.8, 1, -0.8, 0.1], [-0.2, 0.9, -1, 0.9, 0]])
+    rows, truth = [], []
+    for c, n in enumerate((900, 500, 700, 60, 350, 150)):
+        rows += [(len(rows) + k, x.tolist()) for k, x in enumerate(shapes[c] + rng.normal(0, 0.14, (n, 5)))]
+        truth += [c] * n
+    got = C.cluster(points(spark, rows), rms_limit=0.5, radius_limit=1.25).toPandas()
+    assert len({(truth[i], c) for i, c in zip(got.id, got.cluster_id)}) == 6
