@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeweave.functions import text as X
@@ -121,16 +121,26 @@ def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str], a: tupl
     return left.join(right, keys).where(F.greatest(a[0], b[0]) < F.least(a[1], b[1]))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, columns: list[str]) -> DataFrame:
-    """The latest right row at or before each left row.
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, columns: list[str], *, bucket: str = "DAY") -> DataFrame:
+    """The latest right row at or before each left row (of several at one time, the greatest by ``columns``).
 
-    Both sides are put in order within their keys together; the last right row seen is
-    carried along.
+    Rows are put in order within a key and a ``bucket`` of time (a unit of ``date_trunc``), so a key with
+    a large part of all rows is as many tasks as it has buckets. What a bucket starts with is
+    carried over from those before on one row per key and bucket. Left rows without a key or
+    time, or without an earlier right row, get NULL.
     """
-    from pyspark.sql import Window
-
-    mark = lambda d, side, t: d.select(*keys, F.col(t).alias("__t"), F.lit(side).alias("__side"), *[(F.col(c) if side == 0 else F.lit(None)).alias(f"__{c}") for c in columns], *[(F.lit(None) if side == 0 else F.col(c)).alias(c) for c in left.columns if c not in keys])
-    both = mark(right, 0, since).unionByName(mark(left, 1, at))
-    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("__row", F.last(F.when(F.col("__side") == 0, F.struct(*[f"__{c}" for c in columns])), ignorenulls=True).over(w))
-    return carried.where(F.col("__side") == 1).select(*left.columns, *[F.col(f"__row.__{c}").alias(c) for c in columns])
+    row = F.struct(F.col(since).alias("__since"), *[F.col(c).alias(f"__{c}") for c in columns])
+    named = right.select(*keys, F.col(since).alias("__t"), F.date_trunc(bucket, since).alias("__b"), row.alias("__row"))
+    others = [c for c in left.columns if c not in keys]
+    empty = named.schema["__row"].dataType
+    a = named.select(*keys, "__t", "__b", F.lit(0).alias("__side"), "__row", *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in others])
+    b = left.select(*keys, F.col(at).alias("__t"), F.date_trunc(bucket, at).alias("__b"), F.lit(1).alias("__side"), F.lit(None).cast(empty).alias("__row"), *others)
+    w = Window.partitionBy(*keys, "__b").orderBy("__t", "__side", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    within = a.unionByName(b).withColumn("__row", F.last("__row", ignorenulls=True).over(w)).where(F.col("__side") == 1)
+    # The last row of every bucket, and of the latest one before each bucket of the left side.
+    lasts = named.groupBy(*keys, "__b").agg(F.max("__row").alias("__last")).unionByName(left.select(*keys, F.date_trunc(bucket, at).alias("__b")).distinct().withColumn("__last", F.lit(None).cast(empty)))
+    per = lasts.groupBy(*keys, "__b").agg(F.max("__last").alias("__last"))
+    v = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(*keys, "__b", F.last("__last", ignorenulls=True).over(v).alias("__before"))
+    joined = within.join(carried, [*keys, "__b"], "left").withColumn("__row", F.coalesce("__row", "__before"))
+    return joined.select(*left.columns, *[F.col(f"__row.__{c}").alias(c) for c in columns])

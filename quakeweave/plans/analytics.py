@@ -305,7 +305,11 @@ def nearest_stations(spark, d):
     return n.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.min("distance_km").alias("nearest_km"), F.max("distance_km").alias("farthest_km"))
 
 
-@query()
+@query(
+    f"""WITH {_RES}, {_CENTRE}, {_KNN}, b AS (SELECT station, avg(field_centered) AS v FROM c GROUP BY 1), z AS (SELECT station, v - (SELECT avg(v) FROM b) AS z FROM b),
+n AS (SELECT knn.station, neighbour FROM knn WHERE station IN (SELECT station FROM b) AND neighbour IN (SELECT station FROM b))
+SELECT (SELECT count(*) FROM z) AS n, CAST(2 AS INTEGER) AS k, {r6("(SELECT count(*) FROM z) / CAST((SELECT count(*) FROM n) AS DOUBLE) * (SELECT sum(p.z * q.z) FROM n JOIN z p USING (station) JOIN z q ON q.station = neighbour) / (SELECT sum(z * z) FROM z)")} AS moran_i"""
+)
 def global_morans_i(spark, d):
     return SP.morans_i(M.station_bias(M.center_by_event(_field(spark, d))))
 

@@ -248,3 +248,24 @@ def test_stream_is_incremental(spark, tmp_path):
         ingest.run_available(ingest.file_stream(spark, src, df.schema), work, f"{tmp_path}/ck").awaitTermination()
         df.union(spark.createDataFrame([(3, "c")], df.schema)).write.mode("append").parquet(src)
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_as_of_equals_pandas(spark):
+    rng = np.random.default_rng(4)
+    t0 = pd.Timestamp("2024-01-01")
+    left = pd.DataFrame({"k": rng.integers(0, 3, 300).astype(str), "at": t0 + pd.to_timedelta(rng.integers(0, 20 * 86400, 300), "s"), "i": range(300)})
+    right = pd.DataFrame({"k": rng.integers(0, 2, 25).astype(str), "since": t0 + pd.to_timedelta(rng.choice(20 * 86400, 25, replace=False), "s"), "v": rng.random(25)})
+    got = J.as_of(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "at", "since", ["v"]).toPandas().sort_values("i")
+    want = pd.merge_asof(left.sort_values("at"), right.sort_values("since"), left_on="at", right_on="since", by="k").sort_values("i")
+    assert len(got) == 300 and got.v.isna().any() and got.v.notna().any()
+    pd.testing.assert_series_equal(got.v.reset_index(drop=True), want.v.reset_index(drop=True))
+    none = spark.createDataFrame([(None, None, 1)], "k string, at timestamp, i int")
+    assert J.as_of(none, spark.createDataFrame(right), ["k"], "at", "since", ["v"]).collect()[0]["v"] is None
+
+
+def test_running_total(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"x": rng.permutation(2000).astype(float), "n": rng.integers(1, 9, 2000)})
+    got = SP.running_total(spark.createDataFrame(pdf), "x", "n", "before").toPandas().sort_values("x")
+    want = pdf.sort_values("x").n.cumsum() - pdf.sort_values("x").n
+    assert (got.before.to_numpy() == want.to_numpy()).all()
