@@ -69,16 +69,23 @@ def column_token(name: str) -> str:
     return re.sub(r"\W+", "_", name.lower().replace(".", "p")).strip("_") or "unnamed"
 
 
-def _tokens(attributes: list[Attribute]) -> dict[str, str]:
-    """One token per attribute; names that would clash get a number."""
-    out: dict[str, str] = {}
-    taken: set[str] = set()
+_OWN = ("n_attributes", "n_rows", "conflicts")
+
+
+def wide_names(attributes: list[Attribute], suffixes: list[str], reserved: list[str]) -> dict[str, list[str]]:
+    """Column names of each attribute, one per suffix; attributes whose names would clash with others get a number."""
+    taken = {c.lower() for c in reserved}
+    out: dict[str, list[str]] = {}
     for a in attributes:
-        token, k = column_token(a.name), 2
-        while token in taken:
-            token, k = f"{column_token(a.name)}_{k}", k + 1
-        taken.add(token)
-        out[a.name] = token
+        base, k = column_token(a.name), 1
+        while True:
+            token = base if k == 1 else f"{base}_{k}"
+            names = [f"{token}_{s}" if s else token for s in suffixes]
+            if not taken & {n.lower() for n in names}:
+                break
+            k += 1
+        taken |= {n.lower() for n in names}
+        out[a.name] = names
     return out
 
 
@@ -142,19 +149,18 @@ def widen(
     NULL; among rows of one cell the ``resolution`` decides, ``latest`` by the greatest
     ``order`` columns and then the greatest value; a value that does not cast to the
     discovered type becomes NULL (none can, if the types come from the same rows);
-    attributes whose column names would clash are numbered; an empty input gives the
+    attributes whose column names would clash with others or the entity's are numbered; an empty input gives the
     entity columns and an empty table. Other columns of the input are ignored.
     """
     attributes = discover_attributes(df, attribute, values) if attributes is None else attributes
     suffixes = suffixes if suffixes is not None else ([""] if len(values) == 1 else list(values))
-    tokens = _tokens(attributes)
+    names = wide_names(attributes, suffixes, [*entity, *_OWN])
     cells = reduce_cells(df, entity, attribute, values, order, resolution=resolution, tolerance=tolerance)
     aggs = []
     for a in attributes:
         here = F.col(attribute) == F.lit(a.name)
-        for v, kind, suffix in zip(values, a.types, suffixes):
+        for v, kind, name in zip(values, a.types, names[a.name]):
             value = F.max(F.when(here, F.col(v)))
-            name = f"{tokens[a.name]}_{suffix}" if suffix else tokens[a.name]
             aggs.append((value if kind == "string" else value.try_cast(kind)).alias(name))
     flags = [F.when(F.max(F.when(F.col(attribute) == F.lit(a.name), F.col("__conflict"))), F.lit(a.name)) for a in attributes]
     named = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")

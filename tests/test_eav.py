@@ -46,3 +46,11 @@ def test_hot_entity_equals_pandas(spark):
     want = pdf.sort_values("t").groupby(["e", "a"])["v"].last().unstack()
     for a in want.columns:
         pd.testing.assert_series_equal(got[a].sort_index(), want[a].sort_index(), check_names=False)
+
+
+def test_attributes_named_like_other_columns(spark):
+    df = spark.createDataFrame([("1", "E", 1.0, 1), ("1", "conflicts", 2.0, 1), ("1", "e 2", 3.0, 1), ("1", "", 4.0, 1)], "e string, a string, v double, t int")
+    wide = eav.widen(df, ["e"], "a", ["v"], ["t"])
+    assert len({c.lower() for c in wide.columns}) == len(wide.columns) == 8
+    r = wide.first()
+    assert r["e"] == "1" and r["e_2"] == 1.0 and r["e_2_2"] == 3.0 and r["conflicts_2"] == 2.0 and r["unnamed"] == 4.0
