@@ -131,26 +131,66 @@ def principal_modes(df: DataFrame, key: str, features: list[str], *, modes: int
 # ---------------------------------------------------------------- regions of neighbouring stations
 
 
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(x), len(y)))
+    for a, b in zip(x.T, y.T):
+        d += (a[:, None] - b[None]) ** 2
+    return d
+
+
+def _blocks(n: int, cells: int = 2_000_000) -> list[slice]:
+    """Slices of rows whose distances to all n points are about ``cells`` numbers."""
+    step = max(1, cells // max(n, 1))
+    return [slice(i, min(i + step, n)) for i in range(0, n, step)]
+
+
 def neighbour_graph(xy: np.ndarray, k: int) -> dict[int, set[int]]:
-    """Symmetric k-nearest graph whose parts are joined at their nearest points until it is connected."""
+    """Symmetric k-nearest graph whose parts are joined at their nearest points until it is connected.
+
+    Distances are made for a block of points at a time, so memory grows with n, not its square.
+    """
     n = len(xy)
-    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
-    np.fill_diagonal(d, np.inf)
+    k = min(k, n - 1)
     graph: dict[int, set[int]] = {i: set() for i in range(n)}
-    for i in range(n):
-        for j in np.argsort(d[i], kind="stable")[: min(k, n - 1)]:
-            graph[i].add(int(j))
-            graph[int(j)].add(i)
-    while len(parts := components(graph)) > 1:
-        inside = np.zeros(n, bool)
-        inside[list(parts[0])] = True
-        own, other = np.flatnonzero(inside), np.flatnonzero(~inside)
-        i, j = np.unravel_index(d[np.ix_(own, other)].argmin(), (len(own), len(other)))
-        graph[int(own[i])].add(int(other[j]))
-        graph[int(other[j])].add(int(own[i]))
+    if k < 1:
+        return graph
+    for rows in _blocks(n):
+        d = _squared(xy[rows], xy)
+        d[np.arange(len(d)), np.arange(rows.start, rows.stop)] = np.inf
+        at, near = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        order = np.lexsort((near, d[at, near], at))
+        at, near = at[order], near[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        for i, j in zip((at[first] + rows.start).tolist(), near[first].tolist()):
+            graph[i].add(j)
+            graph[j].add(i)
+    _connect(xy, graph)
     return graph
 
 
+def _connect(xy: np.ndarray, graph: dict[int, set[int]]) -> None:
+    """Add the edges of the shortest tree over the parts of the graph, one point's distances at a time."""
+    parts = components(graph)
+    part = np.empty(len(xy), int)
+    for p, members in enumerate(parts):
+        part[list(members)] = p
+    best, source = np.full(len(xy), np.inf), np.zeros(len(xy), int)
+    fresh = 0
+    for _ in range(len(parts) - 1):
+        best[part == fresh] = np.inf
+        outside = np.flatnonzero(part >= 0)
+        outside = outside[part[outside] != fresh]
+        for i in sorted(parts[fresh]):
+            d = ((xy[outside] - xy[i]) ** 2).sum(1)
+            closer = d < best[outside]
+            best[outside[closer]], source[outside[closer]] = d[closer], i
+        part[part == fresh] = -1
+        j = int(best.argmin())
+        graph[int(source[j])].add(j)
+        graph[j].add(int(source[j]))
+        fresh = part[j]
+
+
 def components(graph: dict[int, set[int]]) -> list[set[int]]:
     seen: set[int] = set()
     out = []
@@ -205,11 +245,10 @@ def contiguous_regions(features: np.ndarray, graph: dict[int, set[int]], counts:
 
 
 def _silhouette_np(x: np.ndarray, labels: np.ndarray) -> float:
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    groups = np.unique(labels)
-    sums = np.stack([d[:, labels == g].sum(1) for g in groups], 1)
-    n = np.array([(labels == g).sum() for g in groups])
-    own = np.searchsorted(groups, labels)
+    groups, own = np.unique(labels, return_inverse=True)
+    member = (own[:, None] == np.arange(len(groups))).astype(float)
+    sums = np.concatenate([np.sqrt(_squared(x[rows], x)) @ member for rows in _blocks(len(x))])
+    n = member.sum(0)
     at = np.arange(len(x))
     a = sums[at, own] / np.maximum(n[own] - 1, 1)
     other = sums / n
@@ -221,7 +260,7 @@ def _silhouette_np(x: np.ndarray, labels: np.ndarray) -> float:
 def redcap(stations: DataFrame, value: str, *, groups: list[str] | None = None, k_range: tuple[int, int] = (2, 8), neighbours: int = 2, location_weight: float = 0.1, value_weight: float = 2.0, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Contiguous regions of similar stations, one task per group: ``region``, ``n_regions``, ``silhouette``.
 
-    For station tables of up to some thousands per group. Regions are numbered by their mean value.
+    Time grows with the square of a group's stations, memory with their number. Regions are numbered by their mean value.
     """
     by = groups or []
     base = stations.where(finite(value).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*by, "station", lat, lon, value)

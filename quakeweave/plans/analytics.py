@@ -372,9 +372,9 @@ def pca_spatial_modes(spark, d):
 
 @query()
 def redcap_regions(spark, d):
-    """Contiguous station regions, one task per network."""
-    b = M.station_bias(M.center_by_event(_field(spark, d))).join(view(spark, d, "v_stations").select("station", "network"), "station")
-    return ML.redcap(b, "mean_centered", groups=["network"], k_range=(2, 4)).select("network", "station", "region", "n_regions")
+    """Contiguous regions over all stations, across network borders."""
+    got = ML.redcap(M.station_bias(M.center_by_event(_field(spark, d))), "mean_centered")
+    return got.join(view(spark, d, "v_stations").select("station", "network"), "station").select("network", "station", "region", "n_regions")
 
 
 # ---------------------------------------------------------------- plans, joins, quality control

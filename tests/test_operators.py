@@ -15,6 +15,7 @@ from quakeweave.operators import qc as Q
 from quakeweave.operators import selection as SEL
 from quakeweave.operators import spatial as SP
 from quakeweave.operators import workflow as W
+from quakeweave.plans import analytics
 from quakeweave.sources import geojson, tables, waveforms
 from quakeweave.streaming import ingest
 
@@ -147,6 +148,41 @@ def test_redcap(spark):
     assert ML.components({0: {1}, 1: {0}, 2: set()}) == [{0, 1}, {2}]
 
 
+def _dense_graph(xy, k):
+    d = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    graph = {i: set() for i in range(len(xy))}
+    for i in range(len(xy)):
+        for j in np.argsort(d[i], kind="stable")[:k]:
+            graph[i].add(int(j))
+            graph[int(j)].add(i)
+    while len(parts := ML.components(graph)) > 1:
+        a = sorted(parts[0])
+        b = sorted(set(range(len(xy))) - parts[0])
+        i, j = np.unravel_index(d[np.ix_(a, b)].argmin(), (len(a), len(b)))
+        graph[a[i]].add(b[j])
+        graph[b[j]].add(a[i])
+    return graph
+
+
+def test_neighbour_graph_in_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(c, 0.3, (30, 2)) for c in (0, 5, 20)])
+    want = _dense_graph(xy, 2)
+    blocks = ML._blocks
+    monkeypatch.setattr(ML, "_blocks", lambda n: blocks(n, 7 * n))
+    assert ML.neighbour_graph(xy, 2) == want and len(ML.components(want)) == 1
+    grid = np.stack(np.meshgrid(np.arange(5.0), np.arange(4.0)), -1).reshape(-1, 2)
+    assert ML.neighbour_graph(grid, 2) == _dense_graph(grid, 2)
+
+
+def test_redcap_query_spans_networks(spark, small):
+    got = analytics.QUERIES["redcap_regions"](spark, small).toPandas()
+    assert got.station.is_unique and got.network.nunique() > 1
+    assert got.n_regions.nunique() == 1 and got.region.nunique() == got.n_regions.iloc[0] >= 2
+    assert got.groupby("region").network.nunique().max() > 1
+
+
 def test_joins(spark):
     left = spark.createDataFrame([("a", None, 1.0), ("b", 5.0, None)], "k string, x double, y double")
     dim = spark.createDataFrame([("a", 9.0, "n"), ("a", 9.0, "n"), ("b", 7.0, "m")], "k string, x double, name string")
