@@ -7,8 +7,6 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,21 +69,96 @@ def silhouette(points: DataFrame, *, tile: int = 2_000) -> float | None:
     return s.agg(F.avg("s")).first()[0]
 
 
-def kmeans_clusters(df: DataFrame, key: str, features: list[str], *, k_range: tuple[int, int] = (2, 6), seed: int = 42, position: tuple[str, str] | None = ("lat", "lon")) -> tuple[DataFrame, list[dict]]:
+def seed_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each further centre is drawn in proportion to the squared distance from those before."""
+    rng = np.random.default_rng(seed)
+    at = [int(rng.integers(len(x)))]
+    d = ((x - x[at[0]]) ** 2).sum(1)
+    for _ in range(k - 1):
+        total = d.sum()
+        at.append(int(rng.choice(len(x), p=d / total)) if total > 0 else int(rng.integers(len(x))))
+        d = np.minimum(d, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at]
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = _squared(x, centres)
+    label = d.argmin(1)
+    return label, d[np.arange(len(x)), label]
+
+
+def lloyd(points: DataFrame, starts: dict[tuple[int, int], np.ndarray], *, max_iter: int = 300, tol: float = 1e-8) -> dict[tuple[int, int], tuple[float, np.ndarray]]:
+    """Cost and centres of each start after k-means over all ``features``; every pass over the points moves all starts.
+
+    A start is done when no centre moves farther than ``tol``. A centre without points stays where it is.
+    """
+    done: dict[tuple[int, int], tuple[float, np.ndarray]] = {}
+    moving = dict(starts)
+    schema = "k int, start int, cluster int, n bigint, cost double, total array<double>"
+    for step in range(max_iter + 1):
+        if not moving:
+            break
+        now = dict(moving)
+
+        def run(parts, now=now):
+            x = [np.stack(pdf.features) for pdf in parts if len(pdf)]
+            if not x:
+                return
+            x, rows = np.concatenate(x), []
+            for (k, start), centres in now.items():
+                label, d = _nearest(x, centres)
+                n, cost = np.bincount(label, minlength=k), np.bincount(label, d, k)
+                total = np.stack([np.bincount(label, c, k) for c in x.T], 1)
+                rows += [(k, start, c, int(n[c]), float(cost[c]), total[c].tolist()) for c in range(k) if n[c]]
+            yield pd.DataFrame(rows, columns=["k", "start", "cluster", "n", "cost", "total"])
+
+        sums: dict[tuple[int, int], list] = {key: [np.zeros(key[0]), 0.0, np.zeros_like(c)] for key, c in now.items()}
+        for r in sorted(points.select("features").mapInPandas(run, schema).collect()):
+            s = sums[r["k"], r["start"]]
+            s[0][r["cluster"]] += r["n"]
+            s[1] += r["cost"]
+            s[2][r["cluster"]] += r["total"]
+        for key, (n, cost, total) in sums.items():
+            fresh = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now[key])
+            if step == max_iter or ((fresh - now[key]) ** 2).sum(1).max() <= tol**2:
+                done[key] = (cost, moving.pop(key))
+            else:
+                moving[key] = fresh
+    return done
+
+
+def kmeans_clusters(df: DataFrame, key: str, features: list[str], *, k_range: tuple[int, int] = (2, 6), seed: int = 42, starts: int = 20, position: tuple[str, str] | None = ("lat", "lon"), sample: int = 5_000) -> tuple[DataFrame, list[dict]]:
     """Best k-means by silhouette (the smaller k on a tie): assignments and a summary of every k.
 
+    For each k the lowest cost of ``starts`` seeded starts counts. First centres are drawn from
+    ``sample`` points picked by hash (all of a smaller table); the clusters are made from all points.
     Clusters are numbered by the mean position of their members.
     """
     points, used = prepare_features(df, key, features)
-    points = cut_lineage(points, "features").withColumn("v", array_to_vector("features"))
+    points = cut_lineage(points, "features")
     n, summary, best = points.count(), [], None
-    for k in range(k_range[0], min(k_range[1], n - 1) + 1):
-        model = KMeans(k=k, seed=seed + 17 * k, featuresCol="v", predictionCol="cluster", maxIter=100, tol=1e-8).fit(points)
-        placed = cut_lineage(model.transform(points).drop("v"), f"k{k}")
-        s = silhouette(placed)
-        summary.append({"n_clusters": k, "silhouette": s, "inertia": model.summary.trainingCost, "n_samples": n, "n_features": len(used)})
+    wanted = range(k_range[0], min(k_range[1], n - 1) + 1)
+    if not wanted:
+        return points.select(key, F.lit(0).alias("cluster")), summary
+    drawn = points.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample).collect()
+    x = np.array([r["features"] for r in drawn], float)
+    found = lloyd(points, {(k, i): seed_centres(x, k, (seed + 17 * k) * 1_000 + i) for k in wanted for i in range(starts)})
+    least = {k: min((found[k, i] for i in range(starts)), key=lambda f: f[0]) for k in wanted}
+    schema = T.StructType([*points.schema.fields, *[T.StructField(f"k{k}", T.IntegerType()) for k in wanted]])
+
+    def place(parts):
+        for pdf in parts:
+            if len(pdf):
+                x = np.stack(pdf.features)
+                yield pdf.assign(**{f"k{k}": _nearest(x, c)[0].astype("int32") for k, (_, c) in least.items()})
+
+    placed = cut_lineage(points.mapInPandas(place, schema), "placed")
+    for k, (cost, _) in least.items():
+        at_k = placed.select(key, "features", F.col(f"k{k}").alias("cluster"))
+        s = silhouette(at_k)
+        summary.append({"n_clusters": k, "silhouette": s, "inertia": cost, "n_samples": n, "n_features": len(used)})
         if s is not None and (best is None or s > best[0] + 1e-12):
-            best = (s, placed)
+            best = (s, at_k)
     if best is None:
         return points.select(key, F.lit(0).alias("cluster")), summary
     out = best[1].select(key, "cluster")

@@ -354,20 +354,23 @@ def pattern_similarity(spark, d):
 # ---------------------------------------------------------------- clusters and modes
 
 
+_FEATURES = ["PGA", "PGV", "PGD", "PSA", "FAS", "CAV", "arias_duration"]
+
+
 def _profiles(spark, d) -> DataFrame:
     b = M.station_bias(M.center_by_event(_field(spark, d)), groups=["metric"])
-    return M.pivot_statistic(b, "station", "metric", "mean_centered", "mean", ["PGA", "PGV", "PGD", "PSA"]).join(view(spark, d, "v_stations").select("station", "lat", "lon"), "station")
+    return M.pivot_statistic(b, "station", "metric", "mean_centered", "mean", _FEATURES).join(view(spark, d, "v_stations").select("station", "lat", "lon"), "station")
 
 
 @query()
 def station_kmeans(spark, d):
-    got, _ = ML.kmeans_clusters(cut_lineage(_profiles(spark, d)), "station", ["PGA", "PGV", "PGD", "PSA"], k_range=(2, 3))
+    got, _ = ML.kmeans_clusters(cut_lineage(_profiles(spark, d)), "station", _FEATURES)
     return got
 
 
 @query()
 def pca_spatial_modes(spark, d):
-    return ML.principal_modes(cut_lineage(_profiles(spark, d)), "station", ["PGA", "PGV", "PGD", "PSA"])[1]
+    return ML.principal_modes(cut_lineage(_profiles(spark, d)), "station", _FEATURES)[1]
 
 
 @query()

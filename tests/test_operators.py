@@ -141,6 +141,32 @@ def test_clusters_and_modes(spark):
     assert ML.silhouette(points.join(got, "station"), tile=7) == pytest.approx(want, rel=1e-9)
 
 
+def test_kmeans_keeps_the_best_of_its_starts(spark):
+    rng = np.random.default_rng(5)
+    centres = np.array([[0, 0], [0, 4], [4, 0], [4, 4], [20, 20]])
+    xy = np.concatenate([rng.normal(c, 0.2, (12, 2)) for c in centres])
+    df = spark.createDataFrame([(f"s{i}", float(i), 0.0, float(a), float(b)) for i, (a, b) in enumerate(xy)], "station string, lat double, lon double, a double, b double")
+    got, summary = ML.kmeans_clusters(df, "station", ["a", "b"], k_range=(5, 5))
+    z = (xy - xy.mean(0)) / xy.std(0)
+    want = sum(((g - g.mean(0)) ** 2).sum() for g in z.reshape(5, 12, 2))
+    assert summary[0]["inertia"] == pytest.approx(want, rel=1e-9)
+    assert {r["station"]: r["cluster"] for r in got.collect()} == {f"s{i}": i // 12 for i in range(60)}
+    xy = rng.random((60, 2))
+    df = spark.createDataFrame([(f"s{i}", float(a), float(b)) for i, (a, b) in enumerate(xy)], "station string, a double, b double")
+    once, all_ = (ML.kmeans_clusters(df, "station", ["a", "b"], k_range=(6, 6), position=None, starts=n)[1][0]["inertia"] for n in (1, 20))
+    costs = [c for c, _ in ML.lloyd(ML.prepare_features(df, "station", ["a", "b"])[0], {(6, i): ML.seed_centres((xy - xy.mean(0)) / xy.std(0), 6, i) for i in range(20)}).values()]
+    assert all_ <= once and all_ < np.median(costs) < max(costs)
+
+
+def test_kmeans_query_tries_all_k_and_metrics(spark, small, monkeypatch):
+    seen = {}
+    kmeans = ML.kmeans_clusters
+    monkeypatch.setattr(ML, "kmeans_clusters", lambda *a, **k: seen.setdefault("out", kmeans(*a, **k)))
+    analytics.QUERIES["station_kmeans"](spark, small)
+    assert [s["n_clusters"] for s in seen["out"][1]] == [2, 3, 4, 5, 6] and seen["out"][1][0]["n_features"] == 7
+    assert analytics.QUERIES["pca_spatial_modes"](spark, small).select("feature").distinct().count() == 7
+
+
 def test_redcap(spark):
     rows = [(f"s{k}", 33.0, -118 + 0.1 * k, 1.0 if k >= 5 else -1.0) for k in range(10)]
     got = ML.redcap(spark.createDataFrame(rows, "station string, lat double, lon double, v double"), "v", k_range=(2, 4)).toPandas().sort_values("lon")
