@@ -12,7 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -186,14 +186,20 @@ def ngrams(chars: np.ndarray, line: np.ndarray, orders: tuple[int, ...] = ORDERS
     return (np.concatenate(keys), np.concatenate(lines)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _bit(mask: np.ndarray, language: int) -> np.ndarray:
+    return (mask >> mask.dtype.type(language % 64)) & mask.dtype.type(1) != 0
+
+
 class Filters:
-    """Bit-sliced Bloom filters of all languages."""
+    """Bit-sliced Bloom filters of all languages, however many."""
 
     def __init__(self, languages: list[str], slots: int, hashes: int = 3):
         self.languages, self.hashes = languages, hashes
         self.bits = max(10, int(np.ceil(np.log2(max(2, slots)))))
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(languages))
-        self.masks = np.zeros(1 << self.bits, kind)
+        # One array of masks for each 64 languages; those of up to 64 are as narrow as they can be.
+        groups = [languages[k : k + 64] for k in range(0, len(languages), 64)]
+        kinds = [next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(g)) for g in groups]
+        self.masks = [np.zeros(1 << self.bits, kind) for kind in kinds]
         self.false_rate = np.zeros(len(languages))
 
     def _slots(self, keys: np.ndarray, k: int) -> np.ndarray:
@@ -201,21 +207,19 @@ class Filters:
         return ((h ^ (h >> np.uint64(32))) >> np.uint64(64 - self.bits - 8) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def add(self, keys: np.ndarray, language: int) -> None:
+        mask = self.masks[language // 64]
         for k in range(self.hashes):
-            self.masks[self._slots(keys, k)] |= self.masks.dtype.type(1 << language)
+            mask[self._slots(keys, k)] |= mask.dtype.type(1 << language % 64)
 
     def close(self) -> Filters:
         for k in range(len(self.languages)):
-            fill = float(((self.masks >> self.masks.dtype.type(k)) & self.masks.dtype.type(1)).mean())
-            self.false_rate[k] = fill**self.hashes
+            self.false_rate[k] = float(_bit(self.masks[k // 64], k).mean()) ** self.hashes
         return self
 
-    def languages_of(self, keys: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages containing each n-gram."""
-        out = self.masks[self._slots(keys, 0)]
-        for k in range(1, self.hashes):
-            out = out & self.masks[self._slots(keys, k)]
-        return out
+    def languages_of(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Bitmasks of the languages containing each n-gram."""
+        slots = [self._slots(keys, k) for k in range(self.hashes)]
+        return [reduce(np.bitwise_and, [mask[s] for s in slots]) for mask in self.masks]
 
     def scores(self, keys: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
         """n-grams per line, and those found per language, less the false ones expected.
@@ -223,16 +227,18 @@ class Filters:
         Each n-gram counts as often as it occurs; one that all of several languages share
         tells nothing and is left out.
         """
-        mask = self.languages_of(keys)
-        tells = (mask != self.masks.dtype.type((1 << len(self.languages)) - 1)) | (len(self.languages) == 1)
-        every = np.bincount(line[tells], minlength=lines)
-        hits = np.empty((lines, len(self.languages)))
-        for k in range(len(self.languages)):
-            has = tells & ((mask >> self.masks.dtype.type(k)) & self.masks.dtype.type(1) != 0)
-            got = np.bincount(line[has], minlength=lines)
+        masks = self.languages_of(keys)
+        every = len(self.languages)
+        tells = np.full(len(keys), every == 1)
+        for g, mask in enumerate(masks):
+            tells |= mask != mask.dtype.type((1 << min(64, every - 64 * g)) - 1)
+        total = np.bincount(line[tells], minlength=lines)
+        hits = np.empty((lines, every))
+        for k in range(every):
+            got = np.bincount(line[tells & _bit(masks[k // 64], k)], minlength=lines)
             p = self.false_rate[k]
-            hits[:, k] = np.maximum(0, got - every * p) / (1 - p)
-        return every, hits
+            hits[:, k] = np.maximum(0, got - total * p) / (1 - p)
+        return total, hits
 
 
 @dataclass(frozen=True)
@@ -241,12 +247,15 @@ class Rules:
 
     At least ``least`` n-grams that tell languages apart (a word of seven letters), of which
     the language has a share of ``cover``, and ``margin`` more than the second. A text is mixed
-    if a sure line is in another language than most of the text.
+    if a sure line is in another language than most of the text. A line that isn't sure has
+    a language all the same: its own n-grams decide, with as many as ``prior`` more shared
+    out by what the text's other lines and above all the lines around it are in.
     """
 
     least: int = 12
     cover: float = 0.5
     margin: float = 0.12
+    prior: float = 3.0
 
 
 def _best(every: np.ndarray, hits: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,30 +341,52 @@ def fit_filters(df: DataFrame, key: str, text: str, label: str, *, texts: int =
 
 
 def identify(texts: list[str | None], filters: Filters, rules: Rules = Rules()) -> tuple[list, ...]:
-    """Rows (text, line, language, confidence, mixed): line 0 for a text in one language, else one for each line with words."""
+    """Rows (text, line, language, confidence, mixed): line 0 for a text in one language, else one for each line with words.
+
+    Every text with words has rows. Confidence is the lead over the second language as a
+    share of the n-grams, less for lines and texts of fewer than ``least`` n-grams; a text
+    none of whose n-grams is known has the language ``und`` and confidence 0.
+    """
     parts = split_lines(texts)
     keys, line = ngrams(parts.chars, parts.line)
-    lines = len(parts.text)
+    lines, n = len(parts.text), len(texts)
+    worded = np.bincount(line, minlength=lines) > 0
     total, hits = filters.scores(keys, line, lines)
     best, lead, sure = _best(total, hits, rules)
     # The text as a whole goes by its sure lines; without any, by all of them together.
-    n = len(texts)
     any_sure = np.bincount(parts.text[sure], minlength=n) > 0
     counted = sure | ~any_sure[parts.text]
     whole = np.zeros((n, hits.shape[1]))
     whole_total = np.bincount(parts.text[counted], weights=total[counted], minlength=n)
     for k in range(hits.shape[1]):
         whole[:, k] = np.bincount(parts.text[counted], weights=hits[counted, k], minlength=n)
-    text_best, text_lead, known = _best(whole_total, whole, rules)
+    text_best, text_lead, _ = _best(whole_total, whole, rules)
     other = sure & (best != text_best[parts.text])
     mixed = np.bincount(parts.text[other], minlength=n) > 0
-    known |= any_sure
+    names = [*filters.languages, "und"]
     out: list[tuple[int, int, str, float, bool]] = []
-    for t in np.flatnonzero(known & ~mixed):
-        out.append((int(t), 0, filters.languages[text_best[t]], float(text_lead[t]), False))
-    of_mixed = np.flatnonzero(mixed[parts.text] & (parts.number > 0) & (hits.max(1) >= rules.least))
-    for k in of_mixed:
-        out.append((int(parts.text[k]), int(parts.number[k]), filters.languages[best[k]], float(lead[k]), True))
+    known = whole.max(1) > 0
+    for t in np.flatnonzero((np.bincount(parts.text[worded], minlength=n) > 0) & ~mixed):
+        some = min(1.0, float(whole[t].max()) / rules.least)
+        out.append((int(t), 0, names[text_best[t] if known[t] else -1], float(text_lead[t]) * some if known[t] else 0.0, False))
+    of_mixed = np.flatnonzero(mixed[parts.text] & (parts.number > 0) & worded)
+    for k in of_mixed[sure[of_mixed]]:
+        out.append((int(parts.text[k]), int(parts.number[k]), names[best[k]], float(lead[k]), True))
+    unsure = of_mixed[~sure[of_mixed]]
+    if len(unsure):
+        # Half of the prior is shared by the text's sure lines, half by the nearest sure line before and the one after.
+        prior = whole[parts.text[unsure]]
+        prior = prior / np.maximum(prior.sum(1, keepdims=True), 1e-9)
+        at = np.flatnonzero(sure)
+        for side in (-1, 0):
+            near = np.clip(np.searchsorted(at, unsure) + side, 0, len(at) - 1)
+            same = parts.text[at[near]] == parts.text[unsure]
+            prior[same, best[at[near[same]]]] += 0.5
+        some = hits[unsure] + rules.prior * prior / np.maximum(prior.sum(1, keepdims=True), 1e-9)
+        best2, lead2, _ = _best(total[unsure] + rules.prior, some, rules)
+        lead2 = lead2 * np.minimum(1, hits[unsure].max(1) / rules.least)
+        for k, b, c in zip(unsure, best2, lead2):
+            out.append((int(parts.text[k]), int(parts.number[k]), names[b], float(c), True))
     out.sort()
     return tuple(zip(*out)) if out else ((), (), (), (), ())
 
@@ -364,11 +395,12 @@ def identify_languages(df: DataFrame, key: str, text: str, filters: Filters, *,
     """``key``, ``line_no``, ``language``, ``confidence`` and ``mixed``.
 
     A text in one language has one row with line_no 0; a mixed text one for each of its
-    lines with words. Confidence is the lead over the second language as a share of the
-    n-grams (0 to 1). Texts are taken whole, in the tasks that read them; nothing is shuffled.
+    lines with words, however short. Confidence is the lead over the second language as a
+    share of the n-grams (0 to 1). Texts are taken whole, in the tasks that read them; nothing
+    is shuffled.
 
-    Defined results: NULL and empty texts, and texts without words of a known language, have
-    no row; repeated keys give rows each; other columns are ignored; an empty table gives
+    Defined results: NULL and empty texts and texts without words have no row; texts with
+    words of which no n-gram is known are ``und`` with confidence 0; repeated keys give rows each; other columns are ignored; an empty table gives
     no rows. Lines end with a line feed; those of blanks, tabs and carriage returns only
     are not counted.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,16 @@ from quakeweave.runtime import cut_lineage, table
 
 # ------------------------------------------------------------------------- p1
 
-SPEC = S.SketchSpec(low=-L.USABLE_RESIDUAL, high=L.USABLE_RESIDUAL, bits=22, depth=5, width=1024, exact=4096)
+SPEC = S.SketchSpec(low=-L.USABLE_RESIDUAL, high=L.USABLE_RESIDUAL, bits=20, depth=5, width=1024, exact=2048)
 CLOSE = 0.1
+#: A group is a level with those labels that belong to it; the others are NULL.
+GROUP = ["level", "model", "band", "metric", "event_id", "period_month"]
+LABELS = {"metric_band": ["model", "band", "metric", "period_month"], "model_band": ["model", "band", "period_month"], "event_model": ["event_id", "model"]}
+QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
-def _group(*parts: str) -> Column:
-    """A group's key; NULL if one of its labels is."""
-    return F.concat(*[x for p in parts for x in (F.col(p), F.lit("|"))])
+def _group(level: str, *labels: str) -> Column:
+    return F.struct(F.lit(level).alias("level"), *[(F.col(c) if c in labels else F.lit(None).cast("string")).alias(c) for c in GROUP[1:]])
 
 
 def _residuals(spark: SparkSession, d: str) -> DataFrame:
@@ -38,20 +42,29 @@ def _residuals(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.col("v").isNotNull())
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """Each row under its finest month group and its event group: all other groups are merged from these."""
-    named = rows.withColumn("metric", F.coalesce("metric", F.lit("")))
-    keys = F.array_compact(F.array(F.concat(F.lit("m|"), _group("model", "band", "period_month", "metric")), F.concat(F.lit("e|"), _group("event_id", "model"))))
-    return named.select(F.explode(keys).alias("key"), "v")
+def _in_groups(rows: DataFrame, *levels: str) -> DataFrame:
+    """Each row once for every level of which it has all labels."""
 
+    def complete(labels: list[str]) -> Column:
+        return reduce(Column.__and__, [F.col(c).isNotNull() for c in labels])
 
-def _group_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches by (model, band, month, metric), by (model, band, month), merged from those, and by (event, model)."""
-    cells = cut_lineage(S.build_sketches(_cells(_residuals(spark, d)), F.col("key"), F.col("v"), SPEC), "sketches")
-    month = F.col("key").startswith("m|")
-    by_metric = cells.where(~F.col("key").endswith("||"))
-    by_band = cells.where(month).withColumn("key", F.concat(F.lit("b|"), F.regexp_extract("key", r"^m(\|.*?\|.*?\|.*?\|)", 1).substr(F.lit(2), F.lit(1000))))
-    return by_metric.unionByName(S.merge_sketches(by_band, SPEC))
+    groups = F.array_compact(F.array(*[F.when(complete(LABELS[x]), _group(x, *LABELS[x])) for x in levels]))
+    return rows.select(F.explode(groups).alias("g"), "v").select("g.*", "v")
+
+
+def _group_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Median and its bounds for every group of the three levels.
+
+    The parts of the metrics' sketches are written once. Added up by metric they give
+    ``metric_band``, added up over the metrics ``model_band``; rows without a metric are in
+    the latter only.
+    """
+    rows = _residuals(spark, d)
+    whole = _in_groups(rows.withColumn("metric", F.coalesce("metric", F.lit(""))), "metric_band", "event_model")
+    parts = cut_lineage(S.sketch_parts(whole, {c: F.col(c) for c in GROUP}, F.col("v"), SPEC), "sketches")
+    by_band = parts.where(F.col("level") == "metric_band").withColumn("level", F.lit("model_band")).withColumn("metric", F.lit(None).cast("string"))
+    every = parts.where((F.col("level") != "metric_band") | (F.col("metric") != "")).unionByName(by_band)
+    return S.merge_sketches(every, SPEC, qs=[0.5])
 
 
 def _stated(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +78,12 @@ def _stated(spark: SparkSession, d: str) -> DataFrame:
         L.present("period_month").alias("period_month"),
         F.col("median_value").cast("double").alias("stated"),
     )
-    key = (
-        F.when(F.col("level") == "metric_band", F.concat(F.lit("m|"), _group("model", "band", "period_month", "metric")))
-        .when(F.col("level") == "model_band", F.concat(F.lit("b|"), _group("model", "band", "period_month")))
-        .when(F.col("level") == "event_model", F.concat(F.lit("e|"), _group("event_id", "model")))
-    )
-    return s.select("summary_id", "stated", key.alias("key"))
+    # Labels that don't belong to the level are no part of the group.
+    return s.select("summary_id", "stated", "level", *[F.when(F.col("level").isin(*[x for x, labels in LABELS.items() if c in labels]), F.col(c)).alias(c) for c in GROUP[1:]])
+
+
+def _same_group(a: DataFrame, b: DataFrame) -> Column:
+    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in GROUP])
 
 
 def _exactly_wrong(rows: DataFrame, open_: DataFrame) -> DataFrame:
@@ -79,9 +92,8 @@ def _exactly_wrong(rows: DataFrame, open_: DataFrame) -> DataFrame:
     By counting only: a middle value is too far above if enough values are. One row per
     summary row and task is shuffled.
     """
-    named = rows.withColumn("b", F.concat(F.lit("b|"), _group("model", "band", "period_month"))).withColumn("m", F.concat(F.lit("m|"), _group("model", "band", "period_month", "metric")))
-    keys = F.array_compact(F.array("m", "b", F.concat(F.lit("e|"), _group("event_id", "model"))))
-    joined = named.select(F.explode(keys).alias("key"), "v").join(open_, "key")
+    grouped = _in_groups(rows, "metric_band", "model_band", "event_model")
+    joined = grouped.join(open_, _same_group(grouped, open_)).select("summary_id", "stated", "v")
     above, below = F.col("v") - F.col("stated") > CLOSE, F.col("stated") - F.col("v") > CLOSE
     c = joined.groupBy("summary_id", "stated").agg(
         F.count(F.lit(1)).alias("n"),
@@ -101,33 +113,54 @@ def _exactly_wrong(rows: DataFrame, open_: DataFrame) -> DataFrame:
     return c.where(wrong).select("summary_id")
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Summary rows whose stated median is absent or more than 0.1 from the group's."""
-    stated = _stated(spark, d)
-    median = S.sketch_quantiles(_group_sketches(spark, d), SPEC, [0.5]).select("key", F.col("lower")[0].alias("lower"), F.col("upper")[0].alias("upper"))
-    joined = stated.join(median, "key", "left")
+def judge_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Every summary row with its group and the verdict of the median's bounds: ``wrong``, ``right`` or ``open``."""
+    stated, m = _stated(spark, d), _group_medians(spark, d)
+    got = stated.join(m, _same_group(stated, m), "left").select(stated["*"], m["lower"][0].alias("lower"), m["upper"][0].alias("upper"))
     none = F.col("stated").isNull() | F.isnan("stated")
     far = F.greatest(F.abs(F.col("lower") - F.col("stated")), F.abs(F.col("upper") - F.col("stated")))
     inside = (F.col("lower") <= F.col("stated")) & (F.col("stated") <= F.col("upper"))
     near = F.when(inside, F.lit(0.0)).otherwise(F.least(F.abs(F.col("lower") - F.col("stated")), F.abs(F.col("upper") - F.col("stated"))))
     verdict = F.when(none | (near > CLOSE), F.lit("wrong")).when(F.col("lower").isNull() | (far <= CLOSE), F.lit("right")).otherwise(F.lit("open"))
-    judged = cut_lineage(joined.select("summary_id", "key", "stated", verdict.alias("verdict")), "judged")
+    return got.select("summary_id", "stated", *GROUP, verdict.alias("verdict"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Summary rows whose stated median is absent or more than 0.1 from the group's."""
+    judged = cut_lineage(judge_medians(spark, d), "judged")
     wrong = judged.where(F.col("verdict") == "wrong").select("summary_id")
-    open_ = judged.where(F.col("verdict") == "open").select("summary_id", "key", "stated")
+    open_ = judged.where(F.col("verdict") == "open").drop("verdict")
     if open_.isEmpty():
         return wrong
     return wrong.unionByName(_exactly_wrong(_residuals(spark, d), open_))
 
 
+def _merged_months(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles by model and band, from the months' sketches added up."""
+    rows = _residuals(spark, d).where(F.col("model").isNotNull() & F.col("band").isNotNull() & F.col("period_month").isNotNull())
+    months = cut_lineage(S.build_sketches(rows, {c: F.col(c) for c in ("model", "band", "period_month")}, F.col("v"), SPEC), "months")
+    return S.merge_sketches(months.drop("period_month"), SPEC, qs=list(QUANTILES.values()))
+
+
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of the usable residuals by model and band, merged from the months' sketches."""
-    qs = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    months = S.build_sketches(_residuals(spark, d), _group("model", "band", "period_month"), F.col("v"), SPEC)
-    every = S.merge_sketches(months.withColumn("key", F.regexp_extract("key", r"^(.*?\|.*?)\|", 1)), SPEC)
-    got = S.sketch_quantiles(every, SPEC, list(qs.values()))
-    cols = [F.col("value")[k].alias(q) for k, q in enumerate(qs)]
-    part = F.split("key", r"\|")
-    return got.select(part[0].alias("model"), part[1].alias("band"), "n", "exact", *cols, F.col("lower")[2].alias("p50_lower"), F.col("upper")[2].alias("p50_upper"))
+    cols = [F.col("value")[k].alias(q) for k, q in enumerate(QUANTILES)]
+    return _merged_months(spark, d).select("model", "band", "n", *cols, F.col("lower")[2].alias("p50_lower"), F.col("upper")[2].alias("p50_upper"))
+
+
+def p1_percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """For each of those percentiles whether it keeps its promise: the true one lies within the bounds, which span at most 4 % of the ranks.
+
+    By counting the values below the bounds: one row per group, percentile and task is shuffled.
+    """
+    got = cut_lineage(_merged_months(spark, d), "quantiles")
+    one = got.select("model", "band", "n", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in QUANTILES]).alias("q"), F.array(*[F.lit(x) for x in QUANTILES.values()]).alias("at"), "lower", "upper")).alias("b"))
+    one = one.select("model", "band", "n", "b.*")
+    rows = _residuals(spark, d).where(F.col("period_month").isNotNull())
+    c = rows.join(one, ["model", "band"]).groupBy("model", "band", "q", "at", "n").agg(F.count_if(F.col("v") < F.col("lower")).alias("below"), F.count_if(F.col("v") <= F.col("upper")).alias("to"), F.count(F.lit(1)).alias("rows"))
+    place = F.col("at") * (F.col("n") - 1)
+    within = (F.col("rows") == F.col("n")) & (F.col("below") <= F.floor(place)) & (F.col("to") > F.ceil(place))
+    return c.select("model", "band", F.col("q").alias("percentile"), "n", within.alias("within"), ((F.col("to") - F.col("below")) <= F.greatest(0.04 * F.col("n"), F.lit(4))).alias("narrow"))
 
 
 # ------------------------------------------------------------------------- p4
@@ -212,7 +245,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     found = G.identify_languages(docs.select(F.struct("doc_id", G.language_code(F.col("lang")).alias("label")).alias("k"), "text"), "k", "text", G.fit_filters(docs, "doc_id", "text", "lang"))
     case = F.col("mixed") | F.col("k.label").isNull() | (F.col("k.label") != F.col("language"))
-    return found.where(case).select("k.doc_id", "line_no", F.col("language").alias("lang"))
+    return found.where(case & (F.col("language") != "und")).select("k.doc_id", "line_no", F.col("language").alias("lang"))
 
 
 # ------------------------------------------------------------------------- SQL
@@ -241,6 +274,7 @@ WHERE s.median_value IS NULL OR isnan(s.median_value) OR abs(s.median_value - g.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_percentiles": p1_percentiles,
+    "p1_percentile_bounds": p1_percentile_bounds,
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
     "p6_ids": p6_ids,
@@ -249,4 +283,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }
-SQL = {"p1_found": P1_SQL}
+P1_BOUNDS_SQL = (
+    _KEYED
+    + """SELECT model, band, percentile, count(*) AS n, true AS within, true AS narrow FROM r, (SELECT unnest(['p05', 'p25', 'p50', 'p75', 'p95']) AS percentile)
+WHERE model IS NOT NULL AND band IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2, 3"""
+)
+SQL = {"p1_found": P1_SQL, "p1_percentile_bounds": P1_BOUNDS_SQL}

@@ -4,10 +4,12 @@ A value is encoded as an integer of ``bits`` bits. For each binary resolution, f
 halves down to single codes, there is one array of signed counters: exact counts while
 the resolution has few nodes, a Count-sketch below. Sketches are linear, so they are
 merged by adding counters, and a value is deleted by adding it with weight -1. Ranks are
-inverted by descending the levels.
+inverted by descending the levels; every quantile comes from that descent, however few or
+many values a group has.
 
-A sketch of few values is kept as its list of codes with weights, from which the counters
-follow; it turns into counters as soon as those are smaller. Both forms merge by addition.
+On the way between tasks, a part of a sketch is sent in the shorter of two encodings: its
+counters other than zero, or the combined updates (codes with weights) from which exactly
+these counters follow. Which one is taken never changes a counter, a quantile or a bound.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -28,7 +31,9 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     h = (x.astype(np.uint64) + np.uint64((salt * _PRIMES[1]) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(_PRIMES[0])
     h ^= h >> np.uint64(29)
     h *= np.uint64(_PRIMES[2])
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_PRIMES[1])
+    return h ^ (h >> np.uint64(29))
 
 
 @dataclass(frozen=True)
@@ -38,7 +43,7 @@ class SketchSpec:
     ``low`` and ``high`` bound the values (others count as the nearest bound), ``bits`` is
     the resolution: the error of a value from encoding is at most ``(high - low) / 2**bits``.
     Levels of at most ``exact`` nodes are counted exactly; each level below is a
-    Count-sketch of ``depth`` rows of ``width`` counters.
+    Count-sketch of ``depth`` rows of ``width`` counters, a power of two.
     """
 
     low: float = -64.0
@@ -48,6 +53,10 @@ class SketchSpec:
     width: int = 1024
     exact: int = 4096
 
+    def __post_init__(self):
+        if self.width & (self.width - 1) or not 1 <= self.bits <= 31:
+            raise ValueError("width is a power of two, bits are 1 to 31")
+
     @property
     def step(self) -> float:
         return (self.high - self.low) / (1 << self.bits)
@@ -61,17 +70,6 @@ class SketchSpec:
     def cells(self) -> int:
         return (1 << self.exact_levels) + (self.bits - self.exact_levels) * self.depth * self.width
 
-    def rank_error(self, n: int) -> float:
-        """Bound on the error of a rank that holds in all but about one of a thousand cases.
-
-        The estimate of one node has a standard deviation of at most n / sqrt(width) for a
-        row, made smaller by the median over rows; a rank adds one node of each sketched
-        level, whose errors are independent. Nodes at fine levels hold few of the n values,
-        which makes the true error far smaller (see ``Sketch.rank_error`` for that).
-        """
-        levels = self.bits - self.exact_levels
-        return 3.3 * 1.2533 / np.sqrt(self.depth) * n * np.sqrt(levels / self.width)
-
     def encode(self, values: np.ndarray) -> np.ndarray:
         return np.clip(np.floor((np.asarray(values, float) - self.low) / self.step), 0, (1 << self.bits) - 1).astype(np.int64)
 
@@ -82,6 +80,20 @@ class SketchSpec:
         c = F.floor((value - F.lit(self.low)) / F.lit(self.step))
         return F.least(F.greatest(c, F.lit(0)), F.lit((1 << self.bits) - 1)).cast("int")
 
+    def rows_of(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counter and sign of nodes in each row of a sketched level, with the rows as first axis."""
+        w = self.width.bit_length() - 1
+        per = 64 // (w + 1)
+        at = (1 << self.exact_levels) + (level - self.exact_levels - 1) * self.depth * self.width
+        idx, sign = np.empty((self.depth, *node.shape), np.int64), np.empty((self.depth, *node.shape))
+        for row in range(self.depth):
+            if row % per == 0:
+                h = _mix(node, level * 64 + row)
+            b = (h >> np.uint64((row % per) * (w + 1))).astype(np.int64)
+            idx[row] = at + row * self.width + (b & (self.width - 1))
+            sign[row] = 1 - 2 * (b >> w & 1)
+        return idx, sign
+
 
 def combine(idx: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Add the weights of equal indices; indices with weight 0 go."""
@@ -95,287 +107,368 @@ def combine(idx: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return idx[first][keep], total[keep]
 
 
-class Sketch:
-    """One sketch: ``codes`` with ``weights``, or an array of ``counters``."""
+class Bank:
+    """Sketches of several groups, one row of counters each (whole numbers, held as doubles)."""
 
-    __slots__ = ("spec", "codes", "weights", "counters", "pending")
-
-    def __init__(self, spec: SketchSpec, codes=(), weights=()):
+    def __init__(self, spec: SketchSpec, groups: int = 1):
         self.spec = spec
-        self.codes, self.weights = combine(np.asarray(codes, np.int64), np.asarray(weights, np.int64))
-        self.counters: np.ndarray | None = None
-        self._settle()
-
-    def _settle(self) -> None:
-        if self.counters is None and 2 * len(self.codes) > self.spec.cells:
-            self.counters = self._count(self.codes, self.weights)
-            self.codes = self.weights = np.zeros(0, np.int64)
-
-    def _count(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        s, e = self.spec, self.spec.exact_levels
-        out = np.bincount(codes >> (s.bits - e), weights=weights, minlength=1 << e)
-        parts = [out]
-        for level in range(e + 1, s.bits + 1):
-            node = codes >> (s.bits - level)
-            for row in range(s.depth):
-                h = _mix(node, level * 64 + row)
-                sign = (h >> np.uint64(63)).astype(np.int64) * 2 - 1
-                parts.append(np.bincount((h % np.uint64(s.width)).astype(np.int64), weights=weights * sign, minlength=s.width))
-        return np.rint(np.concatenate(parts)).astype(np.int64)
+        self.counters = np.zeros((groups, spec.cells))
+
+    def update(self, group: np.ndarray, codes: np.ndarray, weights: np.ndarray, step: int = 1 << 18) -> Bank:
+        """Add codes with weights to their groups."""
+        s, e, g = self.spec, self.spec.exact_levels, len(self.counters)
+        for a in range(0, len(codes), step):
+            own, c, w = group[a : a + step], codes[a : a + step], weights[a : a + step].astype(float)
+            self.counters[:, : 1 << e] += np.bincount(own << e | c >> (s.bits - e), weights=w, minlength=g << e).reshape(g, -1)
+            for level in range(e + 1, s.bits + 1):
+                idx, sign = s.rows_of(level, c >> (s.bits - level))
+                size = s.depth * s.width
+                low = (1 << e) + (level - e - 1) * size
+                got = np.bincount((own * size + (idx - low)).ravel(), weights=(sign * w).ravel(), minlength=g * size)
+                self.counters[:, low : low + size] += got.reshape(g, -1)
+        return self
 
-    def add(self, values, weights=1) -> Sketch:
-        """Add values; a weight of -1 deletes."""
+    def add(self, values, weights=1, group: int = 0) -> Bank:
+        """Add values to one group; a weight of -1 deletes."""
         codes = self.spec.encode(np.atleast_1d(values))
-        return self.merge(Sketch(self.spec, codes, np.broadcast_to(np.asarray(weights, np.int64), codes.shape)))
+        return self.update(np.full(len(codes), group), codes, np.broadcast_to(np.asarray(weights), codes.shape))
 
-    def merge(self, other: Sketch) -> Sketch:
+    def merge(self, other: Bank) -> Bank:
         if other.spec != self.spec:
             raise ValueError("sketches of different parameters do not merge")
-        if self.counters is None and other.counters is None:
-            self.codes, self.weights = combine(np.r_[self.codes, other.codes], np.r_[self.weights, other.weights])
-            self._settle()
-            return self
-        mine, theirs = (x.counters if x.counters is not None else x._count(x.codes, x.weights) for x in (self, other))
-        self.counters, self.codes, self.weights = mine + theirs, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.counters += other.counters
         return self
 
     @property
-    def n(self) -> int:
-        return int(self.weights.sum() if self.counters is None else self.counters[: 1 << self.spec.exact_levels].sum())
-
-    @property
-    def is_exact(self) -> bool:
-        """Ranks are exact while the codes themselves are kept."""
-        return self.counters is None
+    def n(self) -> np.ndarray:
+        return self.counters[:, : 1 << self.spec.exact_levels].sum(1)
 
-    def _node(self, level: int, node: int) -> float:
-        """Estimated weight below a node."""
+    def _noise(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each group and sketched level: the error of a node's estimate (in all but a thousandth of cases), and the share of counters in use."""
         s, e = self.spec, self.spec.exact_levels
-        if level <= e:
-            return float(self.counters[node << (e - level) : (node + 1) << (e - level)].sum())
-        at = (1 << e) + (level - e - 1) * s.depth * s.width
-        one, got = np.array([node]), []
-        for row in range(s.depth):
-            h = _mix(one, level * 64 + row)[0]
-            got.append((int(h >> np.uint64(63)) * 2 - 1) * self.counters[at + row * s.width + int(h % np.uint64(s.width))])
-        return float(np.median(got))
-
-    def rank_error(self) -> float:
-        """Error of a rank from the energy of each sketched level; 0 for an exact sketch."""
-        if self.is_exact:
-            return 0.0
+        rows = self.counters[:, 1 << e :].reshape(len(self.counters), s.bits - e, s.depth, s.width)
+        energy = np.median(np.einsum("gldw,gldw->gld", rows, rows), axis=2)
+        used = np.count_nonzero(rows, axis=(2, 3)) / (s.depth * s.width)
+        return 3.3 * 1.2533 / np.sqrt(s.depth) * np.sqrt(energy / s.width), used
+
+    def descend(self, ranks: np.ndarray, noise: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the given ranks (groups by ranks, counted from 0), and the errors of the ranks on their way down.
+
+        A node's estimate is the median over the rows of its level. Where few counters are
+        in use and the rows agree, no other node was in the way: the chance that all of five
+        rows (with at most a quarter of the counters in use), or four of them (with at most
+        a tenth), are wrong by the same amount is below one in ten thousand.
+        """
         s, e = self.spec, self.spec.exact_levels
-        rows = self.counters[1 << e :].reshape(s.bits - e, s.depth, s.width).astype(float)
-        energy = np.median((rows**2).sum(2), axis=1)
-        return float(3.3 * 1.2533 / np.sqrt(s.depth) * np.sqrt((energy / s.width).sum())) + 1
-
-    def value_at(self, rank: float) -> float:
-        """The value of a rank, counted from 0, by descending the levels."""
-        s = self.spec
-        if self.is_exact:
-            at = np.searchsorted(np.cumsum(self.weights), rank, side="right")
-            return float(s.decode(self.codes[min(at, len(self.codes) - 1)]))
-        e = s.exact_levels
-        top = np.cumsum(self.counters[: 1 << e])
-        node = int(min(np.searchsorted(top, rank, side="right"), (1 << e) - 1))
-        below, inside = float(top[node] - self.counters[node]), float(self.counters[node])
+        g = np.arange(len(self.counters))[:, None]
+        top = np.cumsum(self.counters[:, : 1 << e], axis=1)
+        node = np.stack([np.searchsorted(np.maximum.accumulate(t), r, side="right") for t, r in zip(top, ranks)]) if len(top) else np.zeros(ranks.shape, np.int64)
+        node = np.minimum(node, (1 << e) - 1)
+        inside = self.counters[g, node]
+        below, error = top[g, node] - inside, np.zeros(ranks.shape)
         for level in range(e + 1, s.bits + 1):
-            left = min(max(self._node(level, 2 * node), 0.0), inside)
-            node, inside, below = (2 * node, left, below) if rank < below + left else (2 * node + 1, inside - left, below + left)
-        return float(s.decode(node))
-
-    def quantiles(self, qs) -> list[tuple[float, float, float]]:
-        """Estimate, lower and upper bound for each quantile; the mean of two ranks where it lies between."""
-        n, slack = self.n, self.rank_error()
-        out = []
-        for q in qs:
-            at = q * (n - 1)
-            a, b, part = int(np.floor(at + 1e-9)), int(np.ceil(at - 1e-9)), at - np.floor(at + 1e-9)
-            low, high = self.value_at(a), self.value_at(b)
-            value = low + (high - low) * max(0.0, part)
-            half = self.spec.step / 2
-            if slack:
-                least, most = self.value_at(max(0, a - slack)), self.value_at(min(n - 1, b + slack))
-                out.append((value, min(least, value) - half, max(most, value) + half))
-            else:
-                out.append((value, value - half, value + half))
-        return out
+            idx, sign = s.rows_of(level, 2 * node)
+            rows = sign * self.counters[g[None], idx]
+            got = np.median(rows, axis=0)
+            agree = (rows == got).sum(0)
+            share = used[:, level - e - 1, None]
+            sure = ((agree == s.depth) & (share <= 0.25)) | ((agree >= max(3, s.depth - 1)) & (share <= 0.1))
+            error += np.where(sure, 0.0, noise[:, level - e - 1, None] ** 2)
+            left = np.clip(got, 0, np.maximum(inside, 0))
+            right = ranks >= below + left
+            node, inside, below = 2 * node + right, np.where(right, inside - left, left), below + np.where(right, left, 0)
+        return node, np.sqrt(error)
+
+    def quantiles(self, qs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Estimates, lower and upper bounds, each groups by quantiles; the mean of two ranks where a quantile lies between.
+
+        Groups without values have NaN.
+        """
+        s, n, qs = self.spec, self.n[:, None], np.asarray(qs, float)[None, :]
+        noise, used = self._noise()
+        at = qs * np.maximum(n - 1, 0)
+        a, b = np.floor(at + 1e-9), np.ceil(at - 1e-9)
+        k = qs.shape[1]
+        code, error = self.descend(np.c_[a, b], noise, used)
+        low, high = s.decode(code[:, :k]), s.decode(code[:, k:])
+        value = low + (high - low) * np.maximum(0.0, at - a)
+        slack = np.maximum(error[:, :k], error[:, k:])
+        # The bounds' own ways down may be less certain than that of the quantile.
+        for _ in range(2):
+            wide = np.where(slack > 0, slack + 1, 0)
+            code, error = self.descend(np.c_[np.maximum(0, a - wide), np.minimum(n - 1, b + wide)], noise, used)
+            slack = np.where(slack > 0, np.maximum(slack, np.maximum(error[:, :k], error[:, k:])), 0)
+        least, most = s.decode(code[:, :k]), s.decode(code[:, k:])
+        out = np.stack([value, np.minimum(least, value) - s.step / 2, np.maximum(most, value) + s.step / 2])
+        out[:, self.n <= 0] = np.nan
+        return out[0], out[1], out[2]
+
+
+# ---------------------------------------------------------------- encodings between tasks
 
-    def pack(self) -> tuple[bool, bytes, bytes]:
-        """(as counters, indices, weights); zero counters are left out."""
-        idx, w = (self.codes, self.weights) if self.counters is None else (np.flatnonzero(self.counters), self.counters[self.counters != 0])
-        return self.counters is not None, idx.astype(np.int32).tobytes(), w.astype(np.int64).tobytes()
-
-    @classmethod
-    def unpack(cls, spec: SketchSpec, counted: bool, idx: bytes, weight: bytes) -> Sketch:
-        i, w = np.frombuffer(idx, np.int32).astype(np.int64), np.frombuffer(weight, np.int64)
-        if not counted:
-            return cls(spec, i, w)
-        out = cls(spec)
-        out.counters = np.zeros(spec.cells, np.int64)
-        out.counters[i] = w
+_PACKED = [T.StructField("counted", T.BooleanType()), T.StructField("idx", T.BinaryType()), T.StructField("weight", T.BinaryType())]
+
+
+def _pack(idx: np.ndarray, weight: np.ndarray) -> tuple[bytes, bytes]:
+    """Indices and weights as bytes, the weights as narrow as they can be, none at all if they are all 1."""
+    if (weight == 1).all():
+        return idx.astype(np.int32).tobytes(), b""
+    for kind in (np.int8, np.int16, np.int32):
+        if np.abs(weight).max() <= np.iinfo(kind).max:
+            return idx.astype(np.int32).tobytes(), weight.astype(kind).tobytes()
+    return idx.astype(np.int32).tobytes(), weight.astype(np.int64).tobytes()
+
+
+def _unpack(idx: bytes, weight: bytes) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(idx, np.int32).astype(np.int64)
+    if not weight:
+        return i, np.ones(len(i), np.int64)
+    return i, np.frombuffer(weight, f"<i{len(weight) // len(i)}").astype(np.int64)
+
+
+def pack_counters(counters: np.ndarray) -> tuple[bool, bytes, bytes]:
+    idx = np.flatnonzero(counters)
+    return (True, *_pack(idx, np.rint(counters[idx]).astype(np.int64)))
+
+
+class _Parts:
+    """Parts of sketches of some groups as they come in, kept within a bounded number of bytes.
+
+    A group's updates become counters as soon as those are shorter.
+    """
+
+    def __init__(self, spec: SketchSpec, room: int = 1 << 20):
+        self.spec, self.room = spec, room
+        self.dense: dict[int, np.ndarray] = {}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows = self.waiting = 0
+
+    def updates(self, group: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> None:
+        self.held.append((group << self.spec.bits | codes, weights))
+        self.rows += len(codes)
+        self.waiting += len(codes)
+        if self.waiting > self.room:
+            self.compact()
+            # If little could be combined, the next round waits for as many rows again.
+            self.waiting = -self.rows if self.rows > self.room // 2 else 0
+
+    def counters(self, group: int, idx: np.ndarray, weights: np.ndarray) -> None:
+        if group not in self.dense:
+            self.dense[group] = np.zeros(self.spec.cells)
+        self.dense[group][idx] += weights
+
+    def compact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Combine the updates; they are returned as group, code and weight, sorted by group."""
+        s = self.spec
+        if not self.held:
+            z = np.zeros(0, np.int64)
+            return z, z, z
+        joint, w = combine(*(np.concatenate(x) for x in zip(*self.held)))
+        g, c = joint >> s.bits, joint & ((1 << s.bits) - 1)
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(g)])
+        dense = 2 * size > s.cells
+        for k in np.flatnonzero(dense):
+            own = slice(first[k], first[k] + size[k])
+            made = Bank(s).update(np.zeros(size[k], np.int64), c[own], w[own]).counters[0]
+            at = int(g[first[k]])
+            self.dense[at] = self.dense[at] + made if at in self.dense else made
+        keep = np.repeat(~dense, size)
+        self.held, self.rows = [(joint[keep], w[keep])], int(keep.sum())
+        return g[keep], c[keep], w[keep]
+
+    def bank(self, groups: int) -> Bank:
+        out = Bank(self.spec, groups).update(*self.compact())
+        for k, c in self.dense.items():
+            out.counters[k] += c
         return out
 
+    def packed(self, groups: int) -> Iterator[tuple[int, bool, bytes, bytes]]:
+        """Every group in the shorter encoding, the empty ones too."""
+        g, c, w = self.compact()
+        start = np.searchsorted(g, np.arange(groups + 1))
+        for k in range(groups):
+            codes, weights = c[start[k] : start[k + 1]], w[start[k] : start[k + 1]]
+            if k in self.dense:
+                yield (k, *pack_counters(self.dense[k] + Bank(self.spec).update(np.zeros(len(codes), np.int64), codes, weights).counters[0]))
+            else:
+                yield (k, False, *_pack(codes, weights))
 
-_PACKED = "counted boolean, idx binary, weight binary"
 
+def _batch(keys: list[tuple], schema: pa.Schema, cols: list) -> pa.RecordBatch:
+    by_key = list(zip(*keys)) if keys else [[] for _ in range(len(schema) - len(cols))]
+    arrays = [pa.array(v, f.type) for v, f in zip([*by_key, *cols], schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-def _rows(keys: list, sketches: list[Sketch], key_type: pa.DataType, extra: dict | None = None) -> pa.RecordBatch:
-    packed = [s.pack() for s in sketches]
-    cols = [pa.array(keys, key_type), *[pa.array(v, t) for v, t in (extra or {}).values()]]
-    cols += [pa.array([p[0] for p in packed], pa.bool_()), pa.array([p[1] for p in packed], pa.binary()), pa.array([p[2] for p in packed], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["key", *(extra or {}), "counted", "idx", "weight"])
 
+def _arrow(fields: list[T.StructField]) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in fields])
 
-def build_sketches(df: DataFrame, key: Column, value: Column, spec: SketchSpec, *, weight: Column | None = None, salts: int = 16, buffer_rows: int = 1_000_000) -> DataFrame:
-    """One sketch per key: ``key``, ``counted``, ``idx``, ``weight``.
 
-    Each input task makes its own sketches, so what is shuffled is at most one sketch per
-    key and task and never more than the task's rows. The sketches of a key are merged in
-    two rounds, first within ``salts`` parts, so that no task has to merge all of a hot key.
+def sketch_parts(df: DataFrame, keys: dict[str, Column], value: Column, spec: SketchSpec, *, weight: Column | None = None, task_rows: int = 4_000_000) -> DataFrame:
+    """Parts of one sketch per group, made by each task over its own rows: the keys (as strings), ``counted``, ``idx``, ``weight``.
 
-    Defined results: rows with a NULL key, value or weight, or a NaN value, are left out;
-    infinite values count as the bound of the spec; a key all of whose values were
-    deleted has an empty sketch; an empty input gives no rows.
+    Rows with a NULL value or weight, or a NaN value, are left out. Keys group as in GROUP
+    BY: NULL is a key like others. A task holds at most about ``task_rows`` updates and sends
+    what it has when there are more.
     """
+    names = list(keys)
     w = F.lit(1) if weight is None else weight
-    base = df.select(key.cast("string").alias("key"), value.cast("double").alias("v"), w.cast("bigint").alias("w"))
-    base = base.where(F.col("key").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v") & F.col("w").isNotNull())
-    base = base.select("key", spec.code_column(F.col("v")).alias("code"), "w")
-    weighted = weight is not None
-    if not weighted:
-        base = base.drop("w")
+    base = df.select(*[k.cast("string").alias(n) for n, k in keys.items()], value.cast("double").alias("__v"), w.cast("bigint").alias("__w"))
+    base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v") & F.col("__w").isNotNull())
+    base = base.select(*names, spec.code_column(F.col("__v")).alias("__v"), *([] if weight is None else ["__w"]))
+    fields = [T.StructField(n, T.StringType()) for n in names] + _PACKED
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        counted: dict[int, Sketch] = {}
-        rows = 0
-
-        def compact() -> None:
-            nonlocal held, rows
-            if not held:
-                return
-            g, c, n = (np.concatenate(x) for x in zip(*held))
-            joint, n = combine(g << spec.bits | c, n)
-            g, c = joint >> spec.bits, joint & ((1 << spec.bits) - 1)
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            size = np.diff(np.r_[first, len(g)])
-            big = 2 * size > spec.cells
-            for k in np.flatnonzero(big):
-                own = slice(first[k], first[k] + size[k])
-                made = Sketch(spec, c[own], n[own])
-                at = int(g[first[k]])
-                counted[at] = counted[at].merge(made) if at in counted else made
-            small = np.repeat(~big, size)
-            held, rows = [(g[small], c[small], n[small])], int(small.sum())
-
-        seen = 0
+        known: dict[tuple, int] = {}
+        parts = _Parts(spec)
         for b in batches:
             if not b.num_rows:
                 continue
-            d = b.column(0).dictionary_encode()
-            local = np.array([names.setdefault(k, len(names)) for k in d.dictionary.to_pylist()], np.int64)
-            code = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            n = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if weighted else np.ones(len(code), np.int64)
-            held.append((local[d.indices.to_numpy()], code, n))
-            rows += len(code)
-            seen += len(code)
-            if seen > buffer_rows:
-                compact()
-                # If little could be combined, the next round waits for as many rows again.
-                seen = 0 if rows < buffer_rows else -rows
-        compact()
-        words = list(names)
-        if held and len(held[0][0]):
-            g, c, n = held[0]
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            ends = np.r_[first[1:], len(g)]
-            c4, n8 = c.astype(np.int32), n.astype(np.int64)
-            for s in range(0, len(first), 4096):
-                part = range(s, min(s + 4096, len(first)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([words[g[first[k]]] for k in part]),
-                        pa.array([False] * len(part)),
-                        pa.array([c4[first[k] : ends[k]].tobytes() for k in part], pa.binary()),
-                        pa.array([n8[first[k] : ends[k]].tobytes() for k in part], pa.binary()),
-                    ],
-                    names=["key", "counted", "idx", "weight"],
-                )
-        for at, s in counted.items():
-            yield _rows([words[at]], [s], pa.string())
-
-    parts = base.mapInArrow(scan, f"key string, {_PACKED}")
-    return merge_sketches(merge_sketches(parts, spec, by=F.spark_partition_id() % F.lit(salts)), spec)
-
-
-def merge_sketches(sketches: DataFrame, spec: SketchSpec, *, by: Column | None = None) -> DataFrame:
-    """Add up the sketches of each key, or of each key and value of ``by``; the columns stay.
-
-    The rows come sorted by key, so a task holds one key's sketch at a time.
+            joint, words = np.zeros(b.num_rows, np.int64), []
+            for k in range(len(names)):
+                d = b.column(k).dictionary_encode(null_encoding="encode")
+                words.append(d.dictionary.to_pylist())
+                joint = joint * len(words[-1]) + d.indices.to_numpy()
+            uniq, back = np.unique(joint, return_inverse=True)
+            digits, rest = [], uniq
+            for v in reversed(words):
+                digits.append(rest % len(v))
+                rest = rest // len(v)
+            tuples = zip(*[[v[i] for i in d] for v, d in zip(words, reversed(digits))]) if words else [()]
+            local = np.array([known.setdefault(t, len(known)) for t in tuples], np.int64)
+            code = b.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = np.ones(len(code), np.int64) if weight is None else b.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts.updates(local[back], code, n)
+            if parts.rows > task_rows:
+                yield from send(known, parts)
+                known, parts = {}, _Parts(spec)
+        yield from send(known, parts)
+
+    def send(known: dict[tuple, int], parts: _Parts) -> Iterator[pa.RecordBatch]:
+        groups, out, size = list(known), [], 0
+        for p in parts.packed(len(groups)):
+            out.append(p)
+            size += len(p[2]) + len(p[3])
+            if size > 1 << 22 or len(out) == 8192:
+                yield _batch([groups[p[0]] for p in out], _arrow(fields), list(zip(*out))[1:])
+                out, size = [], 0
+        if out:
+            yield _batch([groups[p[0]] for p in out], _arrow(fields), list(zip(*out))[1:])
+
+    return base.mapInArrow(scan, T.StructType(fields))
+
+
+def merge_sketches(sketches: DataFrame, spec: SketchSpec, *, salts: int = 16, qs: list[float] | None = None) -> DataFrame:
+    """Add up the sketches of each group; every column besides ``counted``, ``idx`` and ``weight`` is a key.
+
+    In two rounds, first within ``salts`` parts, so that no task has to merge all of a hot
+    group. The result has one sketch per group, as counters; or with ``qs`` what
+    ``sketch_quantiles`` gives, without the sketches' passing through another stage.
     """
+    names = [c for c in sketches.columns if c not in ("counted", "idx", "weight")]
+    keys = [T.StructField(n, T.StringType()) for n in names]
+
+    def merge(fields: list[T.StructField], final: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = _arrow(fields)
+            groups: list[tuple] = []
+            parts, now = _Parts(spec), None
+
+            def close() -> Iterator[pa.RecordBatch]:
+                nonlocal groups, parts
+                if groups and qs is not None and final:
+                    yield _asked(groups, parts.bank(len(groups)), qs, schema)
+                elif groups and final:
+                    packed = [pack_counters(c) for c in parts.bank(len(groups)).counters]
+                    yield _batch(groups, schema, list(zip(*packed)))
+                elif groups:
+                    yield _batch(groups, schema, list(zip(*parts.packed(len(groups))))[1:])
+                groups, parts = [], _Parts(spec)
+
+            for b in batches:
+                held: list[tuple[int, np.ndarray, np.ndarray]] = []
+                cols = [b.column(k).to_pylist() for k in range(b.num_columns)]
+                for *key, part, counted, idx, w in zip(*cols):
+                    if (key, part) != now:
+                        # Banks of at most so many groups are filled at once.
+                        if len(groups) >= 64:
+                            _flush(parts, held)
+                            held = []
+                            yield from close()
+                        groups.append(tuple(key))
+                        now = (key, part)
+                    i, x = _unpack(idx, w)
+                    if counted:
+                        parts.counters(len(groups) - 1, i, x)
+                    else:
+                        held.append((len(groups) - 1, i, x))
+                _flush(parts, held)
+            yield from close()
+
+        return run
+
+    packed = T.StructType([*keys, *_PACKED])
+    once = sketches.withColumn("__part", F.spark_partition_id() % F.lit(salts))
+    for final in (False, True):
+        if final:
+            once = once.withColumn("__part", F.lit(0))
+        placed = once.select(*names, F.col("__part").cast("int").alias("__part"), "counted", "idx", "weight")
+        by = [*names, *([] if final else ["__part"])]
+        placed = (placed.repartition(*by) if by else placed.repartition(1)).sortWithinPartitions(*names, "__part")
+        fields = [*keys, *(_ASKED if final and qs is not None else _PACKED)]
+        once = placed.mapInArrow(merge(fields, final), T.StructType(fields) if final else packed)
+    return once
+
+
+def _flush(parts: _Parts, held: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+    if held:
+        group = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+        parts.updates(group, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+
+
+def build_sketches(df: DataFrame, keys: dict[str, Column], value: Column, spec: SketchSpec, *, weight: Column | None = None, salts: int = 16) -> DataFrame:
+    """One sketch per group: the keys, ``counted``, ``idx``, ``weight``.
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list = []
-        done: list[Sketch] = []
-        now, part, codes, weights, dense = None, None, [], [], None
-
-        def close() -> None:
-            nonlocal codes, weights, dense
-            if now is not None:
-                s = Sketch(spec, np.concatenate(codes), np.concatenate(weights)) if codes else Sketch(spec)
-                if dense is not None:
-                    s = dense.merge(s)
-                keys.append(now), done.append(s)
-            codes, weights, dense = [], [], None
-
-        size = 0
-        for b in batches:
-            for k, p, counted, idx, w in zip(*(b.column(n).to_pylist() for n in ("key", "part", "counted", "idx", "weight"))):
-                if k != now or p != part:
-                    close()
-                    now, part, size = k, p, 0
-                    if len(keys) >= 512:
-                        yield _rows(keys, done, pa.string())
-                        keys, done = [], []
-                if counted:
-                    s = Sketch.unpack(spec, True, idx, w)
-                    dense = s if dense is None else dense.merge(s)
-                else:
-                    codes.append(np.frombuffer(idx, np.int32).astype(np.int64)), weights.append(np.frombuffer(w, np.int64))
-                    size += len(codes[-1])
-                    if size > 4 * spec.cells:
-                        s = Sketch(spec, np.concatenate(codes), np.concatenate(weights))
-                        codes, weights, size = ([s.codes], [s.weights], len(s.codes)) if s.is_exact else ([], [], 0)
-                        if not s.is_exact:
-                            dense = s if dense is None else dense.merge(s)
-        close()
-        if keys:
-            yield _rows(keys, done, pa.string())
-
-    placed = sketches.withColumn("part", (F.lit(0) if by is None else by).cast("int")).select("key", "part", "counted", "idx", "weight")
-    placed = placed.repartition("key", "part") if by is not None else placed.repartition("key")
-    return placed.sortWithinPartitions("key", "part").mapInArrow(merge, f"key string, {_PACKED}")
+    Each input task makes its own sketches, so what is shuffled is at most one sketch per
+    group and task and never more than the task's rows.
+
+    Defined results: rows with a NULL value or weight, or a NaN value, are left out; a NULL
+    key is a group like others; infinite values count as the bound of the spec; a group
+    all of whose values were deleted has an empty sketch; an empty input gives no rows.
+    """
+    return merge_sketches(sketch_parts(df, keys, value, spec, weight=weight), spec, salts=salts)
+
+
+_ASKED = [T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("value", "lower", "upper")]]
+
+
+def _asked(groups: list[tuple], bank: Bank, qs: list[float], schema: pa.Schema) -> pa.RecordBatch:
+    n = np.rint(bank.n).astype(np.int64)
+    value, lower, upper = bank.quantiles(qs)
+    some = np.flatnonzero(n > 0)
+    return _batch([groups[k] for k in some], schema, [n[some], *[[row.tolist() for row in x[some]] for x in (value, lower, upper)]])
 
 
 def sketch_quantiles(sketches: DataFrame, spec: SketchSpec, qs: list[float]) -> DataFrame:
-    """``key``, ``n``, ``exact`` and arrays ``value``, ``lower``, ``upper`` over the quantiles ``qs``.
+    """The keys, ``n`` and arrays ``value``, ``lower``, ``upper`` over the quantiles ``qs``.
 
-    The true quantile lies within the bounds but for about one case in a thousand; for
-    exact sketches always. Keys without values are left out.
+    The true quantile lies within the bounds but for about one case in a thousand. Groups
+    without values are left out.
     """
+    names = [c for c in sketches.columns if c not in ("counted", "idx", "weight")]
+    fields = [*[T.StructField(n, T.StringType()) for n in names], *_ASKED]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for k, counted, idx, w in zip(*(b.column(n).to_pylist() for n in ("key", "counted", "idx", "weight"))):
-                s = Sketch.unpack(spec, counted, idx, w)
-                if s.n > 0:
-                    v = s.quantiles(qs)
-                    out.append((k, s.n, s.is_exact, *[[x[i] for x in v] for i in range(3)]))
-            cols = list(zip(*out)) if out else [[]] * 6
-            types = [pa.string(), pa.int64(), pa.bool_(), *[pa.list_(pa.float64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "n", "exact", "value", "lower", "upper"])
-
-    return sketches.mapInArrow(ask, "key string, n bigint, exact boolean, value array<double>, lower array<double>, upper array<double>")
+            for s in range(0, b.num_rows, 64):
+                cols = [c.to_pylist() for c in b.slice(s, 64).columns]
+                parts = _Parts(spec)
+                for k, (counted, idx, w) in enumerate(zip(*cols[len(names) :])):
+                    i, x = _unpack(idx, w)
+                    parts.counters(k, i, x) if counted else parts.updates(np.full(len(i), k), i, x)
+                groups = list(zip(*cols[: len(names)])) if names else [()] * len(cols[0])
+                yield _asked(groups, parts.bank(len(groups)), qs, _arrow(fields))
+
+    return sketches.select(*names, "counted", "idx", "weight").mapInArrow(ask, T.StructType(fields))

@@ -59,25 +59,62 @@ def test_mixed_lines_are_numbered_without_blank_ones():
     lines = [text(r, "en", 12), " \t\r", text(r, "ru", 12) + "\r", "", text(r, "en", 12), "12; 0.5"]
     at, number, lang, _, mixed = G.identify(["\n".join(lines)], f)
     assert list(zip(number, lang)) == [(1, "en"), (2, "ru"), (3, "en")] and all(mixed)
+    at, number, *_ = G.identify(["\n".join(["12; 0.5", *lines])], f)
+    assert list(number) == [2, 3, 4]
 
 
 def test_texts_without_words():
     assert G.identify(["", None, "12; 0.5\n---", "A1B2 99", "\n\n"], fitted())[0] == ()
 
 
+def test_short_texts_and_lines_have_a_language():
+    f = fitted()
+    r = random.Random(6)
+    short = {"en": "night repair", "es": "agua", "de": "wartung", "ru": "часы"}
+    at, number, lang, sure, mixed = G.identify(list(short.values()), f)
+    assert list(at) == [0, 1, 2, 3] and list(lang) == list(short) and set(number) == {0} and not any(mixed)
+    assert max(sure) < 1 and sure[0] > sure[1] >= 0
+    for other in ("es", "de", "ru"):
+        lines = [text(r, "en", 14), short[other], text(r, other, 14), "night", "ox", short[other] + " 12"]
+        at, number, lang, sure, mixed = G.identify(["\n".join(lines)], f)
+        assert list(number) == [1, 2, 3, 4, 5, 6] and all(mixed)
+        assert [lang[k] for k in (0, 1, 2, 3, 5)] == ["en", other, other, "en", other] and lang[4] in ("en", other)
+        assert sure[0] > sure[1]
+
+
+def test_lines_without_known_ngrams_go_by_their_neighbours():
+    f = fitted()
+    r = random.Random(7)
+    at, number, lang, sure, _ = G.identify(["\n".join([text(r, "en", 14), "ζζζ", text(r, "ru", 14), text(r, "ru", 14), "ξξξ", text(r, "ru", 14)]), "ψψψ"], f)
+    assert list(lang)[4] == "ru" and lang[1] in ("en", "ru") and max(sure[1], sure[4]) < 0.02
+    assert (at[-1], number[-1], lang[-1], sure[-1]) == (1, 0, "und", 0)
+
+
 def test_filters_tell_all_languages_of_an_ngram():
     f = G.Filters(["a", "b", "c"], 4096)
     keys = np.arange(1, 200, dtype=np.uint64) * np.uint64(7919)
     f.add(keys[:100], 0)
     f.add(keys[50:150], 2)
     f.close()
-    assert (f.languages_of(keys[:50]) & 1 == 1).all() and (f.languages_of(keys[50:100]) & 5 == 5).all()
-    miss = f.languages_of(np.arange(10_000, 30_000, dtype=np.uint64) * np.uint64(104729))
+    assert (f.languages_of(keys[:50])[0] & 1 == 1).all() and (f.languages_of(keys[50:100])[0] & 5 == 5).all()
+    miss = f.languages_of(np.arange(10_000, 30_000, dtype=np.uint64) * np.uint64(104729))[0]
     assert abs((miss & 1).mean() - f.false_rate[0]) < 0.01
     total, hits = f.scores(keys[:50], np.zeros(50, int), 1)
     assert total[0] == 50 and hits[0, 0] == 50 and hits[0, 1] == 0
 
 
+def test_more_than_64_languages():
+    names = [f"l{k:03d}" for k in range(150)]
+    f = G.Filters(names, 1 << 15)
+    keys = np.arange(1, 150 * 20 + 1, dtype=np.uint64) * np.uint64(7919)
+    for k in range(150):
+        f.add(keys[20 * k : 20 * k + 20], k)
+    f.close()
+    line = np.repeat(np.arange(150), 20)
+    total, hits = f.scores(keys, line, 150)
+    assert (hits.argmax(1) == np.arange(150)).all() and (total == 20).all() and len(f.masks) == 3
+
+
 def test_language_codes(spark):
     labels = [" EN", "en-US", "English", "eng", "pt_BR", "deu", "German", "es-419", "und", "", None, "n/a", "mul", "unk"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in labels], "l string").select(G.language_code(F.col("l"))).collect()]
@@ -95,4 +132,4 @@ def test_spark(spark):
     assert all(list(WORDS)[k % 4] == x for k, x in zip(got.doc_id, got.language) if k < 200)
     assert G.identify_languages(df.limit(0), "doc_id", "text", f).count() == 0
     none = G.fit_filters(df.limit(0), "doc_id", "text", "lang")
-    assert G.identify_languages(df, "doc_id", "text", none).count() == 0
+    assert {tuple(r) for r in G.identify_languages(df, "doc_id", "text", none).select("language", "confidence").collect()} == {("und", 0.0)}
