@@ -317,7 +317,8 @@ def sketch_parts(df: DataFrame, keys: dict[str, Column], value: Column, spec: Sk
     w = F.lit(1) if weight is None else weight
     base = df.select(*[k.cast("string").alias(n) for n, k in keys.items()], value.cast("double").alias("__v"), w.cast("bigint").alias("__w"))
     base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v") & F.col("__w").isNotNull())
-    base = base.select(*names, spec.code_column(F.col("__v")).alias("__v"), *([] if weight is None else ["__w"]))
+    weighted = weight is not None
+    base = base.select(*names, spec.code_column(F.col("__v")).alias("__v"), *(["__w"] if weighted else []))
     fields = [T.StructField(n, T.StringType()) for n in names] + _PACKED
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +340,7 @@ def sketch_parts(df: DataFrame, keys: dict[str, Column], value: Column, spec: Sk
             tuples = zip(*[[v[i] for i in d] for v, d in zip(words, reversed(digits))]) if words else [()]
             local = np.array([known.setdefault(t, len(known)) for t in tuples], np.int64)
             code = b.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
-            n = np.ones(len(code), np.int64) if weight is None else b.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = np.ones(len(code), np.int64) if not weighted else b.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(np.int64)
             parts.updates(local[back], code, n)
             if parts.rows > task_rows:
                 yield from send(known, parts)
