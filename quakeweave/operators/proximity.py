@@ -1,9 +1,10 @@
 """Points near other points or inside regions, by dual-tree joins.
 
-One tree is made over the points (quadtree blocks of bounded size over the whole
-cluster, a k-d tree inside each block) and one over the regions or edges. Node pairs
-that cannot match are discarded by their bounds, pairs that must match are accepted as
-a whole, and only the uncertain ones are refined down to single points.
+One tree is made over the points (quadtree blocks of bounded size over the whole cluster,
+a k-d tree inside each block; for regions and boundaries a tree over each task's batch)
+and one over the other points, the regions or the edges. The two are walked together:
+node pairs that cannot match are discarded by their bounds, pairs that must match are
+accepted as a whole, and only the uncertain ones are refined down to single points.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quakeweave.runtime import cut_lineage
+
 # Fixed value: radius in km of the sphere on which distances are taken.
 EARTH_RADIUS_KM = 6371.0088
 
-#: Regions are broadcast in blocks of at most so many vertices (16 bytes each).
+#: Regions and boundaries go to the executors in blocks of at most so many vertices (or of one ring, if that has more).
 BLOCK_VERTICES = 500_000
+#: Pairs are handed on in batches of about so many.
+PAIR_ROWS = 100_000
 
 
 def unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -61,13 +66,23 @@ class KdTree:
         self.points = xyz[self.order] if len(xyz) else xyz
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start..start+size-1 of all ranges, one range after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 def near_index_pairs(a: KdTree, b: KdTree, chord: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into the points the trees were made of) less than ``chord`` apart, in blocks."""
+    """Index pairs (into the points the trees were made of) less than ``chord`` apart, about ``PAIR_ROWS`` at a time.
+
+    With the same tree twice, each pair of different points comes once.
+    """
     if not a.start or not b.start:
         return
-    limit = chord * chord
+    limit, self_join = chord * chord, a is b
     pairs = np.array([[0, 0]])
-    size_a, size_b = np.array(a.stop) - np.array(a.start), np.array(b.stop) - np.array(b.start)
+    start_a, start_b = np.array(a.start), np.array(b.start)
+    size_a, size_b = np.array(a.stop) - start_a, np.array(b.stop) - start_b
     la, ra, lb, rb = (np.array(x) for x in (a.left, a.right, b.left, b.right))
     while len(pairs):
         i, j = pairs[:, 0], pairs[:, 1]
@@ -76,22 +91,36 @@ def near_index_pairs(a: KdTree, b: KdTree, chord: float) -> Iterator[tuple[np.nd
         possible = (gap * gap).sum(1) < limit
         certain = possible & ((far * far).sum(1) < limit * (1 - 1e-9))
         leaves = (la[i] < 0) & (lb[j] < 0)
-        for k in np.flatnonzero(possible & (certain | leaves)):
-            p, q = slice(a.start[i[k]], a.stop[i[k]]), slice(b.start[j[k]], b.stop[j[k]])
-            if certain[k]:
-                yield np.repeat(a.order[p], size_b[j[k]]), np.tile(b.order[q], size_a[i[k]])
-            else:
-                # In slices, so that a leaf of many equal points stays small in memory.
-                for s in range(p.start, p.stop, 1024):
-                    rows = slice(s, min(s + 1024, p.stop))
-                    d = ((a.points[rows, None, :] - b.points[None, q, :]) ** 2).sum(2)
-                    x, y = np.nonzero(d < limit)
-                    if len(x):
-                        yield a.order[rows][x], b.order[q][y]
-        i, j = i[possible & ~certain & ~leaves], j[possible & ~certain & ~leaves]
+        done = np.flatnonzero(possible & (certain | leaves))
+        # Node pairs that are settled, as rows of the first node against all of the second, in slices.
+        rows = _ranges(start_a[i[done]], size_a[i[done]])
+        of = np.repeat(done, size_a[i[done]])
+        width = size_b[j[of]]
+        cut = 0
+        while cut < len(rows):
+            stop = cut + max(1, int(np.searchsorted(np.cumsum(width[cut : cut + PAIR_ROWS]), PAIR_ROWS, side="right")))
+            x = np.repeat(rows[cut:stop], width[cut:stop])
+            y = _ranges(start_b[j[of[cut:stop]]], width[cut:stop])
+            keep = np.repeat(certain[of[cut:stop]], width[cut:stop])
+            unsure = np.flatnonzero(~keep)
+            keep[unsure] = ((a.points[x[unsure]] - b.points[y[unsure]]) ** 2).sum(1) < limit
+            if self_join:
+                keep &= (x < y) | np.repeat(i[of[cut:stop]] != j[of[cut:stop]], width[cut:stop])
+            if keep.any():
+                yield a.order[x[keep]], b.order[y[keep]]
+            cut = stop
+        go = possible & ~certain & ~leaves
+        i, j = i[go], j[go]
+        if self_join:
+            same = i == j
+            k = i[same]
+            inner = [np.stack(p, 1) for p in ((la[k], la[k]), (la[k], ra[k]), (ra[k], ra[k]))]
+            i, j = i[~same], j[~same]
+        else:
+            inner = []
         first = (lb[j] < 0) | ((la[i] >= 0) & (size_a[i] >= size_b[j]))
         pairs = np.concatenate(
-            [np.stack([c[i[first]], j[first]], 1) for c in (la, ra)] + [np.stack([i[~first], c[j[~first]]], 1) for c in (lb, rb)]
+            inner + [np.stack([c[i[first]], j[first]], 1) for c in (la, ra)] + [np.stack([i[~first], c[j[~first]]], 1) for c in (lb, rb)]
         )
 
 
@@ -178,168 +207,313 @@ def plan_blocks(points: DataFrame, lat: str, lon: str, radius_km: float, block_p
     return Blocks(box, bits, starts, np.maximum(1, -(-counts // block_points)))
 
 
-def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_km: float, *, block_points: int = 40_000) -> DataFrame:
-    """Pairs ``left_id < right_id`` of points less than ``radius_km`` apart.
+def near_places(points: DataFrame, key: str, lat: str, lon: str, radius_km: float, *, block_points: int = 40_000) -> tuple[DataFrame, DataFrame]:
+    """Members and near pairs of places, a place being all points at the same position.
 
-    Each point goes to its quadtree block and, if it lies within the radius of another
-    block's border, to that block too as a guest; blocks then run their dual-tree joins as
-    separate tasks. A block that is still too full when it is as narrow as two radii is
-    cut into parts by hash, and each pair of parts is a task, so no task holds more than
-    about twice ``block_points`` points of its own.
+    The members are ``id``, ``lat``, ``lon``; the pairs ``a_id``, ``a_lat``, ``a_lon``, ``a_n``
+    and the same of ``b``, with the smallest id at a place and the number of points there.
+    Each pair of different places less than ``radius_km`` apart comes once, and a place with
+    several points once with itself; pairs of points at one place need not be spelt out.
 
-    Defined results: points without key or position (NULL, NaN, infinite, |lat| > 90) have
-    no neighbours; points at the same place are neighbours; a key given twice counts once
-    for each different position; an empty input gives no rows; other columns are ignored.
-    Longitudes are taken as given, so points on both sides of the 180th meridian are not
-    compared.
+    Each place goes to its quadtree block and, if it lies within the radius of another
+    block's border, to that block too as a guest; blocks then run their dual-tree joins as
+    separate tasks. A block that has too many places and guests when it is as narrow as
+    two radii is cut into parts by hash, and each pair of parts is a task, so no task holds
+    more than about twice ``block_points`` places. Pairs leave the tasks in batches.
     """
     la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
     ok = F.col(key).isNotNull() & F.coalesce(la.between(-90, 90) & lo.between(-540, 540), F.lit(False))
-    pts = points.where(ok).select(F.col(key).cast("bigint").alias("id"), la.alias("lat"), lo.alias("lon"))
-    blocks = plan_blocks(pts, "lat", "lon", radius_km, block_points)
+    # One way to write each longitude, so that positions on both sides of the 180th meridian meet.
+    around = F.when(lo >= 180, lo - 360 * F.ceil((lo - 179.999999999) / 360)).when(lo < -180, lo + 360).otherwise(lo)
+    members = points.where(ok).select(F.col(key).cast("bigint").alias("id"), (la + F.lit(0.0)).alias("lat"), (around + F.lit(0.0)).alias("lon")).distinct()
+    places = members.groupBy("lat", "lon").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "lat", "lon", "n")
+    blocks = plan_blocks(places, "lat", "lon", radius_km, block_points)
     chord = 2 * np.sin(radius_km / (2 * EARTH_RADIUS_KM))
 
+    def leaves(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, block and whether it is a guest there."""
+        own = blocks.leaf(y, x)
+        dlat, dlon = _margins(y, radius_km)
+        rows, leaf = [np.arange(len(y))], [own]
+        for sy in (-1, 1):
+            for sx in (-1, 1):
+                other = blocks.leaf(y + sy * dlat, (x + sx * dlon + 180) % 360 - 180)
+                k = np.flatnonzero(other != own)
+                rows.append(k), leaf.append(other[k])
+        rows, leaf = np.concatenate(rows), np.concatenate(leaf)
+        once = np.unique(np.stack([rows, leaf], 1), axis=0)
+        return once[:, 0], once[:, 1], once[:, 1] != own[once[:, 0]]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(blocks.starts), np.int64)
+        for b in batches:
+            n += np.bincount(leaves(*(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)))[1], minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["leaf", "n"])
+
+    for r in places.mapInArrow(weigh, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        blocks.splits[r["leaf"]] = max(1, -(-r["n"] // block_points))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, y, x = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            own = blocks.leaf(y, x)
-            dlat, dlon = _margins(y, radius_km)
-            rows, leaf, guest = [np.arange(len(ids))], [own], [np.zeros(len(ids), bool)]
-            for sy in (-1, 1):
-                for sx in (-1, 1):
-                    other = blocks.leaf(y + sy * dlat, x + sx * dlon)
-                    k = np.flatnonzero(other != own)
-                    rows.append(k), leaf.append(other[k]), guest.append(np.ones(len(k), bool))
-            rows, leaf, guest = (np.concatenate(v) for v in (rows, leaf, guest))
-            once = np.unique(np.stack([rows, leaf], 1), axis=0, return_index=True)[1]
-            rows, leaf, guest = rows[once], leaf[once], guest[once]
+            ids, y, x, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            rows, leaf, guest = leaves(y, x)
             m = blocks.splits[leaf]
-            part = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % m
+            spread = y[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ x[rows].view(np.uint64)
+            part = (spread * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)).astype(np.int64) % m
             repeat = np.repeat(np.arange(len(rows)), m)
             other = np.arange(len(repeat)) - np.repeat(np.cumsum(m) - m, m)
             rows, leaf, guest, part, m = (v[repeat] for v in (rows, leaf, guest, part, m))
             task = np.minimum(part, other) * m + np.maximum(part, other)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v) for v in (leaf, task, part, guest, ids[rows], y[rows], x[rows])], names=["leaf", "task", "part", "guest", "id", "lat", "lon"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (leaf, task, part, guest, ids[rows], y[rows], x[rows], n[rows])], names=["leaf", "task", "part", "guest", "id", "lat", "lon", "n"])
 
-    def join(t: pa.Table) -> pa.Table:
-        part, guest, ids, y, x = (t.column(c).to_numpy() for c in ("part", "guest", "id", "lat", "lon"))
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        part, guest, ids, y, x, n = (t.column(c).to_numpy() for c in ("part", "guest", "id", "lat", "lon", "n"))
         xyz = unit_vectors(y, x)
         # Pairs of two parts are made in their own task, pairs within a part in the part's own.
         same = part.min() == part.max()
-        sides = [(np.arange(len(ids)), np.arange(len(ids)))] if same else [(np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max()))]
-        left, right = [np.array([], np.int64)], [np.array([], np.int64)]
-        for a, b in sides:
-            ta = KdTree(xyz[a])
-            for i, j in near_index_pairs(ta, ta if same else KdTree(xyz[b]), chord):
-                i, j = a[i], b[j]
-                swap = ids[i] > ids[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                # A pair is found in the block that owns its smaller id.
-                keep = (ids[i] < ids[j]) & ~guest[i]
-                left.append(ids[i[keep]]), right.append(ids[j[keep]])
-        pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pa.table({"left_id": pair[:, 0], "right_id": pair[:, 1]})
-
-    placed = pts.mapInArrow(place, "leaf bigint, task bigint, part bigint, guest boolean, id bigint, lat double, lon double")
-    return placed.groupBy("leaf", "task").applyInArrow(join, "left_id bigint, right_id bigint")
+        a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max()))
+        ta = KdTree(xyz[a])
+        for i, j in near_index_pairs(ta, ta if same else KdTree(xyz[b]), chord):
+            i, j = a[i], b[j]
+            swap = (y[i] > y[j]) | ((y[i] == y[j]) & (x[i] > x[j]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            # A pair is found in the block that owns its first place.
+            i, j = i[~guest[i]], j[~guest[i]]
+            yield _place_pairs([v[k] for k in (i, j) for v in (ids, y, x, n)])
+        if same:
+            k = np.flatnonzero((n > 1) & ~guest)
+            yield _place_pairs([v[k] for _ in range(2) for v in (ids, y, x, n)])
+
+    placed = places.mapInArrow(place, "leaf bigint, task bigint, part bigint, guest boolean, id bigint, lat double, lon double, n bigint")
+    return members, placed.groupBy("leaf", "task").applyInArrow(join, ", ".join(f"{side}_{c}" for side in "ab" for c in ("id bigint", "lat double", "lon double", "n bigint")))
+
+
+def _place_pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f"{side}_{c}" for side in "ab" for c in ("id", "lat", "lon", "n")])
+
+
+def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_km: float, *, block_points: int = 40_000) -> DataFrame:
+    """Pairs ``left_id < right_id`` of points less than ``radius_km`` apart, from the pairs of their places (see ``near_places``).
+
+    Defined results: points without key or position (NULL, NaN, infinite, |lat| > 90) have
+    no neighbours; points at the same place are neighbours; a key given twice counts once
+    for each different position; an empty input gives no rows; other columns are ignored.
+    Longitudes 360 degrees apart are the same.
+    """
+    members, pairs = near_places(points, key, lat, lon, radius_km, block_points=block_points)
+    pairs = cut_lineage(pairs, "near")
+    single = (F.col("a_n") == 1) & (F.col("b_n") == 1)
+    sides = pairs.where(single).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"))
+    # Only places of several points are looked up among the members.
+    crowd = pairs.where(~single)
+    a = members.select(F.col("id").alias("i"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    b = members.select(F.col("id").alias("j"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    spelt = crowd.join(a, ["a_lat", "a_lon"]).join(b, ["b_lat", "b_lon"])
+    one = (F.col("a_lat") == F.col("b_lat")) & (F.col("a_lon") == F.col("b_lon"))
+    spelt = spelt.where(~one | (F.col("i") < F.col("j"))).select("i", "j")
+    every = sides.unionByName(spelt).where(F.col("i") != F.col("j"))
+    return every.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id"))
 
 
 # ---------------------------------------------------------------- regions around points
 
-_UNKNOWN = -2
 _NONE = -1
+#: Depth of the Morton codes by which points are sorted; no cell of a region tree lies deeper.
+_MORTON_BITS = 26
 
 
 class RegionTree:
-    """Quadtree over region polygons.
-
-    Cells without an edge belong to one region or to none as a whole; cells with edges are
-    split down to ``depth`` and then decided point by point. Regions are rings in degrees;
-    a position is in a region if a line from it crosses the region's rings an odd number of
-    times, so holes and several outer rings need no special care. Where regions overlap,
-    the one with the smallest id wins.
+    """Quadtree over region polygons, split until a cell has few edges.
+
+    Each cell knows the regions around its lower left corner. A cell without edges belongs
+    to one region or to none as a whole. In a cell with edges, a position is told from the
+    corner by the edges that the way between them crosses: along the cell's left side, then
+    along its latitude. Only the cell's own edges are looked at. Regions are rings in
+    degrees; holes and several outer rings need no special care. Where regions overlap, the
+    one with the smallest id wins.
     """
 
-    def __init__(self, region_ids: list[int], edges: list[np.ndarray], depth: int = 8):
+    def __init__(self, region_ids: list[int], edges: list[np.ndarray], depth: int = 20, leaf: int = 8):
         order = np.argsort(np.array(region_ids, np.int64), kind="stable") if region_ids else []
         self.ids = np.array([region_ids[k] for k in order], np.int64)
-        self.edges = [np.asarray(edges[k], float).reshape(-1, 4) for k in order]
-        every = np.concatenate(self.edges) if self.edges else np.zeros((0, 4))
-        self.depth = depth
-        n = 1 << depth
-        self.cells = np.full((n, n), _NONE, np.int32)
-        self.candidates: list[np.ndarray] = []
+        held = [np.asarray(edges[k], float).reshape(-1, 4) for k in order]
+        self.edges = np.concatenate(held) if held else np.zeros((0, 4))
+        self.owner = np.repeat(np.arange(len(held)), [len(e) for e in held]).astype(np.int64)
         self.box = (0.0, 0.0, 1.0, 1.0)
-        if not len(every):
-            return
-        owner = np.repeat(np.arange(len(self.edges)), [len(e) for e in self.edges])
-        xs, ys = every[:, [0, 2]], every[:, [1, 3]]
-        pad = 1e-9 + 1e-6 * max(np.ptp(xs), np.ptp(ys))
-        self.box = (xs.min() - pad, ys.min() - pad, xs.max() + pad, ys.max() + pad)
-        # Level by level: pairs of a cell and an edge that touches it. Cells left without edges are settled at once.
-        cell, edge = np.zeros((1, 2), np.int64).repeat(len(every), 0), np.arange(len(every))
-        live = np.zeros((1, 2), np.int64)
-        for d in range(1, depth + 1):
-            live = (2 * live[:, None] + [[0, 0], [0, 1], [1, 0], [1, 1]]).reshape(-1, 2)
-            cell, edge = (2 * cell[:, None] + [[0, 0], [0, 1], [1, 0], [1, 1]]).reshape(-1, 2), edge.repeat(4)
-            touch = _edges_touch(every[edge], *self._bounds(d, cell))
-            cell, edge = cell[touch], edge[touch]
-            busy = np.isin(live[:, 0] << d | live[:, 1], np.unique(cell[:, 0] << d | cell[:, 1]))
-            free, live = live[~busy], live[busy]
-            x0, y0, x1, y1 = self._bounds(d, free)
-            owners = self._exact((y0 + y1) / 2, (x0 + x1) / 2, np.arange(len(self.edges)))
-            wide = depth - d
-            for (ix, iy), k in zip(free.tolist(), owners.tolist()):
-                self.cells[ix << wide : (ix + 1) << wide, iy << wide : (iy + 1) << wide] = k
-        x0, y0, x1, y1 = self._bounds(depth, live)
-        around = [_inside(e, (y0 + y1) / 2, (x0 + x1) / 2) for e in self.edges]
-        key = cell[:, 0] << depth | cell[:, 1]
-        order = np.argsort(key, kind="stable")
-        starts = np.searchsorted(key[order], live[:, 0] << depth | live[:, 1])
-        ends = np.searchsorted(key[order], live[:, 0] << depth | live[:, 1], side="right")
-        numbers: dict[tuple[int, ...], int] = {}
-        for k, (ix, iy) in enumerate(live.tolist()):
-            among = {*owner[edge[order[starts[k] : ends[k]]]].tolist(), *(r for r in range(len(around)) if around[r][k])}
-            at = numbers.setdefault(tuple(sorted(among)), len(numbers))
-            self.cells[ix, iy] = _UNKNOWN - at
-        self.candidates = [np.array(c, np.int64) for c in numbers]
-
-    def _bounds(self, d: int, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.edges):
+            xs, ys = self.edges[:, [0, 2]], self.edges[:, [1, 3]]
+            pad = 1e-9 + 1e-6 * max(np.ptp(xs), np.ptp(ys))
+            self.box = (xs.min() - pad, ys.min() - pad, xs.max() + pad, ys.max() + pad)
+        # Per node: depth, cell, first of four children (-1 for a leaf), region of the whole cell, ranges of edges and of regions at the corner.
+        self.level, self.ix, self.iy, self.child, self.whole = [], [], [], [], []
+        self.edge_at, self.edge_of, self.corner_at, self.corner_of = [0], [], [0], []
+        self._grow(depth, leaf)
+
+    def bounds(self, d, ix, iy) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         x0, y0, x1, y1 = self.box
-        w, h = (x1 - x0) / (1 << d), (y1 - y0) / (1 << d)
-        return x0 + cell[:, 0] * w, y0 + cell[:, 1] * h, x0 + (cell[:, 0] + 1) * w, y0 + (cell[:, 1] + 1) * h
-
-    def _exact(self, lat: np.ndarray, lon: np.ndarray, among: np.ndarray) -> np.ndarray:
-        out = np.full(len(lat), _NONE, np.int32)
-        for k in among:
-            open_ = np.flatnonzero(out == _NONE)
-            if len(open_):
-                out[open_[_inside(self.edges[k], lat[open_], lon[open_])]] = k
-        return out
+        w, h = (x1 - x0) / 2.0**d, (y1 - y0) / 2.0**d
+        return x0 + ix * w, y0 + iy * h, x0 + (ix + 1) * w, y0 + (iy + 1) * h
+
+    def _grow(self, depth: int, leaf: int) -> None:
+        regions = max(1, len(self.ids))
+        ix = iy = np.zeros(1, np.int64)
+        # Pairs of a cell of the level and an edge that touches it, and of a cell and a region around its corner.
+        cell, edge = np.zeros(len(self.edges), np.int64), np.arange(len(self.edges))
+        in_cell = in_region = np.zeros(0, np.int64)
+        held, room = 0, 8 * len(self.edges) + 10_000
+        made, out = 0, {k: [] for k in ("level", "ix", "iy", "child", "whole", "edges", "edge_of", "corners", "corner_of")}
+        d = 0
+        while len(ix):
+            n = len(ix)
+            count = np.bincount(cell, minlength=n)
+            # Where splitting only multiplies the edges, as with many long ones side by side, it ends.
+            held += len(cell)
+            split = (count > leaf) & (d < depth) & (held <= room)
+            held -= int(count[split].sum())
+            whole = np.full(n, regions)
+            np.minimum.at(whole, in_cell, in_region)
+            rank = np.cumsum(split) - 1
+            out["level"].append(np.full(n, d)), out["ix"].append(ix), out["iy"].append(iy)
+            out["child"].append(np.where(split, made + n + 4 * rank, -1))
+            out["whole"].append(np.where((count == 0) & (whole < regions), whole, _NONE))
+            kept, inside = ~split[cell], ~split[in_cell] & (count[in_cell] > 0)
+            order = np.argsort(cell[kept], kind="stable")
+            out["edges"].append(np.where(split, 0, count)), out["edge_of"].append(edge[kept][order])
+            order = np.argsort(in_cell[inside], kind="stable")
+            out["corners"].append(np.bincount(in_cell[inside], minlength=n)), out["corner_of"].append(in_region[inside][order])
+            made += n
+            # The four children of each cell that is split.
+            cell, edge = rank[cell[~kept]], edge[~kept]
+            go = split[in_cell]
+            in_cell, in_region = rank[in_cell[go]], in_region[go]
+            x0, y0, _, _ = self.bounds(d, ix[split], iy[split])
+            child = np.arange(4)
+            cx = (2 * ix[split][:, None] + (child & 1)).ravel()
+            cy = (2 * iy[split][:, None] + (child >> 1)).ravel()
+            d += 1
+            bx0, by0, bx1, by1 = self.bounds(d, cx, cy)
+            kid, of = (4 * cell[:, None] + child).ravel(), np.repeat(edge, 4)
+            e = self.edges[of]
+            odd = _crosses(e, np.repeat(x0, 4)[kid], np.repeat(y0, 4)[kid], bx0[kid], by0[kid])
+            key = np.concatenate([(4 * in_cell[:, None] + child).ravel() * regions + np.repeat(in_region, 4), kid[odd] * regions + self.owner[of[odd]]])
+            key = _odd(key)
+            in_cell, in_region = key // regions, key % regions
+            touch = _edges_touch(e, bx0[kid], by0[kid], bx1[kid], by1[kid])
+            cell, edge, ix, iy = kid[touch], of[touch], cx, cy
+        join = {k: np.concatenate(v) for k, v in out.items()}
+        self.level, self.ix, self.iy, self.child, self.whole = (join[k] for k in ("level", "ix", "iy", "child", "whole"))
+        self.edge_at, self.edge_of = np.r_[0, np.cumsum(join["edges"])], join["edge_of"]
+        self.corner_at, self.corner_of = np.r_[0, np.cumsum(join["corners"])], join["corner_of"]
 
     def locate(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        """Index into ``ids`` for each position, -1 for none."""
+        """Index into ``ids`` for each position, -1 for none, by walking a tree over the positions and this one together."""
+        out = np.full(len(lat), _NONE, np.int64)
+        for at, k in self.around(lat, lon, first=True):
+            out[at] = k
+        return out
+
+    def around(self, lat: np.ndarray, lon: np.ndarray, *, first: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and regions (as indices) around them; with ``first`` only the region with the smallest id."""
         x0, y0, x1, y1 = self.box
-        n = 1 << self.depth
-        out = np.full(len(lat), _NONE, np.int32)
         with np.errstate(invalid="ignore"):
             within = np.flatnonzero((lon >= x0) & (lon < x1) & (lat >= y0) & (lat < y1))
-        if not len(within):
-            return out
-        y, x = lat[within], lon[within]
-        ix = np.minimum(((x - x0) / (x1 - x0) * n).astype(np.int64), n - 1)
-        iy = np.minimum(((y - y0) / (y1 - y0) * n).astype(np.int64), n - 1)
-        cell = self.cells[ix, iy]
-        out[within] = cell
-        unsure = np.flatnonzero(cell <= _UNKNOWN)
-        order = unsure[np.argsort(cell[unsure], kind="stable")]
-        for group in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
-            among = self.candidates[_UNKNOWN - cell[group[0]]]
-            # The exact test is right as well for a point that rounding put into the next cell.
-            out[within[group]] = self._exact(y[group], x[group], among)
-        return out
+        if not len(within) or not len(self.edges):
+            return
+        # The tree over the positions: ranges in the order of Morton codes, cells as in this tree.
+        n = 1 << _MORTON_BITS
+        x, y = lon[within], lat[within]
+        code = morton(np.minimum(((x - x0) / (x1 - x0) * n).astype(np.int64), n - 1), np.minimum(((y - y0) / (y1 - y0) * n).astype(np.int64), n - 1), _MORTON_BITS)
+        order = np.argsort(code, kind="stable")
+        code, x, y, at = code[order], x[order], y[order], within[order]
+        node, start, stop, low = np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(at)]), np.zeros(1, np.int64)
+        unsure: list[tuple[np.ndarray, ...]] = []
+        while len(node):
+            sure = (self.child[node] < 0) & (self.edge_at[node + 1] == self.edge_at[node])
+            k = np.flatnonzero(sure & (self.whole[node] >= 0))
+            # Certain pairs of nodes: all positions of the range are in the region.
+            yield at[_ranges(start[k], stop[k] - start[k])], np.repeat(self.whole[node[k]], stop[k] - start[k])
+            k = np.flatnonzero((self.child[node] < 0) & ~sure)
+            if len(k):
+                unsure.append((node[k], start[k], stop[k], self.level[node[k]], low[k]))
+            k = np.flatnonzero(self.child[node] >= 0)
+            start, stop, low, _ = _quarters(code, start[k], stop[k], low[k], self.level[node[k]])
+            node = (self.child[node[k]][:, None] + np.arange(4)).ravel()
+            some = stop > start
+            node, start, stop, low = node[some], start[some], stop[some], low[some]
+        if not unsure:
+            return
+        node, start, stop, level, low = (np.concatenate(v) for v in zip(*unsure))
+        xs, ys = np.append(x, 0.0), np.append(y, 0.0)
+        while len(node):
+            pairs = np.stack([start, stop], 1).ravel()
+            box = [f.reduceat(v, pairs)[::2] for f, v in ((np.minimum, xs), (np.minimum, ys), (np.maximum, xs), (np.maximum, ys))]
+            many = self.edge_at[node + 1] - self.edge_at[node]
+            of, e = np.repeat(np.arange(len(node)), many), self.edges[self.edge_of[_ranges(self.edge_at[node], many)]]
+            busy = np.bincount(of[_edges_touch(e, *(v[of] for v in box))], minlength=len(node)) > 0
+            # No edge near the range: what holds for one of its positions holds for all.
+            free = np.flatnonzero(~busy)
+            for k, r in self._by_edges(node[free], x[start[free]], y[start[free]], first):
+                own = free[k]
+                size = stop[own] - start[own]
+                yield at[_ranges(start[own], size)], np.repeat(r, size)
+            last = np.flatnonzero(busy & ((stop - start <= 16) | (level >= _MORTON_BITS)))
+            size = stop[last] - start[last]
+            each, cell = _ranges(start[last], size), np.repeat(node[last], size)
+            for k, r in self._by_edges(cell, x[each], y[each], first):
+                yield at[each[k]], r
+            more = np.flatnonzero(busy & (stop - start > 16) & (level < _MORTON_BITS))
+            node = np.repeat(node[more], 4)
+            start, stop, low, level = _quarters(code, start[more], stop[more], low[more], level[more])
+            some = stop > start
+            node, start, stop, level, low = node[some], start[some], stop[some], level[some], low[some]
+
+    def _by_edges(self, node: np.ndarray, x: np.ndarray, y: np.ndarray, first: bool, step: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indices of the positions that are in a region and the regions, each position being in a leaf with edges."""
+        regions = max(1, len(self.ids))
+        for s in range(0, len(node), step):
+            own, px, py = node[s : s + step], x[s : s + step], y[s : s + step]
+            many = self.edge_at[own + 1] - self.edge_at[own]
+            of, e = np.repeat(np.arange(len(own)), many), self.edge_of[_ranges(self.edge_at[own], many)]
+            cx, cy, _, _ = self.bounds(self.level[own], self.ix[own], self.iy[own])
+            odd = _crosses(self.edges[e], cx[of], cy[of], px[of], py[of])
+            known = self.corner_at[own + 1] - self.corner_at[own]
+            base = np.repeat(np.arange(len(own)), known) * regions + self.corner_of[_ranges(self.corner_at[own], known)]
+            key = _odd(np.concatenate([base, of[odd] * regions + self.owner[e[odd]]]))
+            k, r = key // regions, key % regions
+            if first and len(k):
+                keep = np.r_[True, k[1:] != k[:-1]]
+                k, r = k[keep], r[keep]
+            yield k + s, r
+
+
+def _quarters(code: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of sorted Morton codes, cut by their next two bits: start, stop, lowest code and level of four parts each."""
+    width = np.int64(1) << (2 * (_MORTON_BITS - level - 1))
+    lows = low[:, None] + width[:, None] * np.arange(5)
+    # The whole array is sorted, so that places in it are places in the range.
+    cuts = np.searchsorted(code, lows)
+    cuts = np.clip(cuts, start[:, None], stop[:, None])
+    return cuts[:, :4].ravel(), cuts[:, 1:].ravel(), lows[:, :4].ravel(), np.repeat(level + 1, 4)
+
+
+def _odd(keys: np.ndarray) -> np.ndarray:
+    """Keys that occur an odd number of times, sorted."""
+    uniq, n = np.unique(keys, return_counts=True)
+    return uniq[n % 2 == 1]
+
+
+def _crosses(e: np.ndarray, cx: np.ndarray, cy: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Whether the way from (cx, cy) straight up or down to py, then along it to px, crosses each edge an odd number of times."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = (e[:, 0] > cx) != (e[:, 2] > cx)
+        at = e[:, 1] + (cx - e[:, 0]) * (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
+        up &= (at > cy) != (at > py)
+        along = (e[:, 1] > py) != (e[:, 3] > py)
+        at = e[:, 0] + (py - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+        along &= (at > cx) != (at > px)
+    return up ^ along
 
 
 def _edges_touch(e: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
@@ -371,140 +545,206 @@ def ring_edges(lons: list[float], lats: list[float]) -> np.ndarray:
     return np.stack([x[:-1], y[:-1], x[1:], y[1:]], 1) if len(x) > 1 else np.zeros((0, 4))
 
 
-def region_trees(rings: DataFrame, depth: int = 8, block_vertices: int = BLOCK_VERTICES) -> list[RegionTree]:
-    """Trees over all regions, each of at most ``block_vertices`` vertices (or one region, if that has more)."""
-    sizes = rings.groupBy("region_id").agg(F.sum(F.size("ring_lons")).alias("n")).orderBy("region_id").collect()
-    blocks, room = [], 0
-    for r in sizes:
-        if not blocks or room < r["n"]:
-            blocks.append([])
-            room = block_vertices
-        blocks[-1].append(r["region_id"])
-        room -= r["n"]
-    out = []
-    for ids in blocks:
-        edges: dict[int, list[np.ndarray]] = {}
-        own = rings.where(F.col("region_id").between(ids[0], ids[-1])).select("region_id", "ring_lons", "ring_lats")
-        for r in own.collect():
-            edges.setdefault(r["region_id"], []).append(ring_edges(r["ring_lons"], r["ring_lats"]))
-        out.append(RegionTree(list(edges), [np.concatenate(e) for e in edges.values()], depth))
-    return out
+def ring_blocks(rings: DataFrame, block_vertices: int = BLOCK_VERTICES) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Region ids and edges of the rings, at most ``block_vertices`` vertices (or one ring) at a time, in order of region and ring.
+
+    The driver holds one block; the rings come to it one partition after the other.
+    """
+    ids: list[int] = []
+    edges: list[np.ndarray] = []
+    room = block_vertices
+    for r in rings.where(F.size("ring_lons") > 0).select("region_id", "ring_lons", "ring_lats").orderBy("region_id").toLocalIterator():
+        own = ring_edges(r["ring_lons"], r["ring_lats"])
+        if ids and len(own) > room:
+            yield ids, edges
+            ids, edges, room = [], [], block_vertices
+        ids.append(r["region_id"]), edges.append(own)
+        room -= len(own)
+    if ids:
+        yield ids, edges
+
+
+def _joined(ids: list[int], edges: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
+    own: dict[int, list[np.ndarray]] = {}
+    for k, e in zip(ids, edges):
+        own.setdefault(k, []).append(e)
+    return list(own), [np.concatenate(e) for e in own.values()]
+
+
+class RegionIndex:
+    """Trees over all regions, one broadcast for each block of rings.
+
+    Since a position is in a region if an odd number of the region's rings are around it,
+    a region may have its rings in several blocks.
+    """
+
+    def __init__(self, rings: DataFrame, block_vertices: int = BLOCK_VERTICES):
+        context = rings.sparkSession.sparkContext
+        self.trees, self.regions, last = [], 0, None
+        self.shared = False
+        for ids, edges in ring_blocks(rings, block_vertices):
+            self.shared |= ids[0] == last
+            self.regions += len(set(ids) - {last})
+            last = ids[-1]
+            self.trees.append(context.broadcast(RegionTree(*_joined(ids, edges))))
 
 
-def locate_regions(points: DataFrame, lat: str, lon: str, rings: DataFrame | list[RegionTree], *, into: str = "region_id") -> DataFrame:
+def locate_regions(points: DataFrame, lat: str, lon: str, rings: DataFrame | RegionIndex, *, into: str = "region_id") -> DataFrame:
     """The points with the id of the region around each, NULL for none.
 
-    The points are not shuffled: each task looks its own positions up, every different
-    position once. Regions are sent to the executors in blocks of at most
-    ``block_vertices`` vertices; if there are several blocks, the points pass them one
-    after the other.
+    The points are not shuffled: each task makes a tree over every batch of its different
+    positions and walks it against the region trees. If there are several blocks of
+    regions, the points pass them one after the other.
 
     Defined results: positions that are NULL, NaN or infinite are in no region; an empty
     set of regions gives NULL everywhere; a column already named like ``into`` is replaced.
     """
-    spark: SparkSession = points.sparkSession
     base = points.drop(into)
-    trees = rings if isinstance(rings, list) else region_trees(rings)
-    out = base.withColumn(into, F.lit(None).cast("bigint"))
-    for tree in trees:
-        shared = spark.sparkContext.broadcast(tree)
-        place = out.schema.fieldNames().index(into)
+    index = rings if isinstance(rings, RegionIndex) else RegionIndex(rings)
+    found = base.withColumn(into, F.array().cast("array<bigint>"))
+    place = found.schema.fieldNames().index(into)
+    for shared in index.trees:
 
-        def look(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tree = shared.value
             for b in batches:
                 y, x = (np.nan_to_num(b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False), nan=np.inf, posinf=np.inf, neginf=np.inf) for c in (lat, lon))
-                if len(y):
-                    key = np.stack([y, x], 1).view(np.complex128).ravel()
-                    uniq, back = np.unique(key, return_inverse=True)
-                    found = tree.locate(uniq.real.copy(), uniq.imag.copy())[back]
-                else:
-                    found = np.zeros(0, np.int32)
-                ids = np.where(found >= 0, tree.ids[np.maximum(found, 0)] if len(tree.ids) else 0, 0)
-                known = b.column(place).to_pylist() if b.column(place).null_count < len(b) else None
-                new = pa.array(ids, pa.int64(), mask=found < 0)
-                if known is not None:
-                    old = b.column(place)
-                    new = pa.compute.coalesce(old, new)
-                yield pa.RecordBatch.from_arrays([new if k == place else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
-
-        out = out.mapInArrow(look, out.schema)
-    return out
+                uniq, back = np.unique(np.stack([y, x], 1).view(np.complex128).ravel(), return_inverse=True)
+                hits = list(tree.around(uniq.real.copy(), uniq.imag.copy()))
+                at, k = (np.concatenate(v) for v in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 2
+                order = np.argsort(at, kind="stable")
+                at, ids = at[order], tree.ids[k[order]]
+                start = np.searchsorted(at, np.arange(len(uniq) + 1))
+                size = np.diff(start)[back]
+                new = ids[_ranges(start[back], size)]
+                old = b.column(place)
+                if len(old.flatten()):
+                    held = np.diff(old.offsets.to_numpy())
+                    row = np.r_[np.repeat(np.arange(len(held)), held), np.repeat(np.arange(len(size)), size)]
+                    order = np.argsort(row, kind="stable")
+                    new, size = np.r_[old.flatten().to_numpy(), new][order], size + held
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(new, pa.int64()))
+                yield pa.RecordBatch.from_arrays([lists if k == place else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+        found = found.mapInArrow(look, found.schema)
+    around = F.col(into)
+    if index.shared:
+        around = F.filter(around, lambda r: F.size(F.filter(F.col(into), lambda q: q == r)) % 2 == 1)
+    return found.withColumn(into, F.array_min(around))
 
 
 # ---------------------------------------------------------------- distance to a boundary
 
 
 class EdgeTree:
-    """Edges in nodes of at most ``leaf`` with bounding boxes, for distances to the nearest of them."""
-
-    def __init__(self, edges: np.ndarray, leaf: int = 64):
-        mid = (edges[:, :2] + edges[:, 2:]) / 2
-        if len(edges):
-            span = np.maximum(np.ptp(mid, axis=0), 1e-12)
-            q = ((mid - mid.min(0)) / span * 1023).astype(np.int64)
-            edges = edges[np.argsort(morton(q[:, 0], q[:, 1], 10), kind="stable")]
-        self.nodes = [edges[k : k + leaf] for k in range(0, len(edges), leaf)]
+    """k-d tree over edges with bounding boxes, for distances to the nearest of them."""
+
+    def __init__(self, edges: np.ndarray, leaf: int = 16):
+        self.edges = np.asarray(edges, float).reshape(-1, 4)
+        self.tree = KdTree((self.edges[:, :2] + self.edges[:, 2:]) / 2, leaf)
+        if len(self.edges):
+            self.edges = self.edges[self.tree.order]
+            pairs = np.stack([self.tree.start, self.tree.stop], 1).ravel()
+            xy = np.append(self.edges, self.edges[:1], axis=0)
+            low, high = np.minimum(xy[:, :2], xy[:, 2:]), np.maximum(xy[:, :2], xy[:, 2:])
+            self.low, self.high = np.minimum.reduceat(low, pairs)[::2], np.maximum.reduceat(high, pairs)[::2]
 
     def distance_km(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        """To the nearest point of any edge; NaN without edges."""
-        best = np.full(len(lat), np.inf)
-        if not self.nodes or not len(lat):
+        """To the nearest point of any edge; NaN without edges.
+
+        A tree over the positions is walked against this one: a node of edges is discarded
+        for a node of positions if it is certainly farther than another one.
+        """
+        if not len(self.edges) or not len(lat):
             return np.full(len(lat), np.nan)
-        q = [((v - v.min()) / max(np.ptp(v), 1e-12) * 1023).astype(np.int64) for v in (lon, lat)]
-        order = np.argsort(morton(q[0], q[1], 10), kind="stable")
-        for s in range(0, len(order), 1024):
-            own = order[s : s + 1024]
-            y, x = lat[own], lon[own]
-            # Bounds of each pair of nodes: a degree of latitude is the least a degree can be apart from east-west.
-            least = np.array([self._least(n, y, x) for n in self.nodes])
-            for k in np.argsort(least, kind="stable"):
-                if least[k] > best[own].max():
-                    break
-                best[own] = np.minimum(best[own], _to_edges(self.nodes[k], y, x))
+        own, edge = KdTree(np.stack([lon, lat], 1)), self.tree
+        start, size = np.array(own.start), np.array(own.stop) - np.array(own.start)
+        e_start, e_size = np.array(edge.start), np.array(edge.stop) - np.array(edge.start)
+        (la, ra), (lb, rb) = ((np.array(t.left), np.array(t.right)) for t in (own, edge))
+        best, most = np.full(len(lat), np.inf), np.full(len(start), np.inf)
+        p = q = np.zeros(1, np.int64)
+        ends: list[np.ndarray] = []
+        while len(p):
+            least, upper = self._bounds(own, p, q)
+            np.minimum.at(most, p, upper)
+            keep = least <= most[p]
+            leaves = (la[p] < 0) & (lb[q] < 0)
+            ends.append(np.stack([p[keep & leaves], q[keep & leaves]], 1))
+            p, q = p[keep & ~leaves], q[keep & ~leaves]
+            first = (lb[q] < 0) | ((la[p] >= 0) & (size[p] >= e_size[q]))
+            for side in (la, ra):
+                np.minimum.at(most, side[p[first]], most[p[first]])
+            p, q = np.concatenate([la[p[first]], ra[p[first]], p[~first], p[~first]]), np.concatenate([q[first], q[first], lb[q[~first]], rb[q[~first]]])
+        ends = np.concatenate(ends)
+        p, q = ends[:, 0], ends[:, 1]
+        least, _ = self._bounds(own, p, q)
+        order = np.lexsort((least, p))
+        p, q, least = p[order], q[order], least[order]
+        nearest = np.r_[True, p[1:] != p[:-1]]
+        # First the nearest node of edges of each leaf; of the others only those that may still be nearer.
+        for part in (np.flatnonzero(nearest), np.flatnonzero(~nearest)):
+            if len(part) and not nearest[part[0]]:
+                far = np.zeros(len(start))
+                leaf = np.unique(p)
+                far[leaf] = [best[own.order[own.start[k] : own.stop[k]]].max() for k in leaf]
+                part = part[least[part] <= far[p[part]]]
+            for s in range(0, len(part), 500):
+                k = part[s : s + 500]
+                row = _ranges(start[p[k]], size[p[k]])
+                many = np.repeat(e_size[q[k]], size[p[k]])
+                e = self.edges[_ranges(np.repeat(e_start[q[k]], size[p[k]]), many)]
+                at = np.repeat(own.order[row], many)
+                np.minimum.at(best, at, _to_edges(e, lat[at], lon[at]))
         return best
 
-    @staticmethod
-    def _least(e: np.ndarray, y: np.ndarray, x: np.ndarray) -> float:
-        xs, ys = e[:, [0, 2]], e[:, [1, 3]]
-        dy = max(0.0, ys.min() - y.max(), y.min() - ys.max())
-        dx = max(0.0, xs.min() - x.max(), x.min() - xs.max())
-        widest = min(89.9, max(abs(ys).max(), abs(y).max()))
+    def _bounds(self, own: KdTree, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest distance that a position of each node may have to the edges of a node."""
+        low, high, e_low, e_high = own.low[p], own.high[p], self.low[q], self.high[q]
+        gap = np.maximum(0, np.maximum(e_low - high, low - e_high))
+        far = np.maximum(e_high - low, high - e_low)
+        widest = np.minimum(89.9, np.abs(np.stack([low[:, 1], high[:, 1], e_low[:, 1], e_high[:, 1]])).max(0))
         km = np.radians(1) * EARTH_RADIUS_KM
-        return 0.9 * km * max(dy, dx * np.cos(np.radians(widest)))
+        return 0.9 * km * np.maximum(gap[:, 1], gap[:, 0] * np.cos(np.radians(widest))), km * (far[:, 0] + far[:, 1])
 
 
 def _to_edges(e: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    best = np.full(len(lat), np.inf)
-    for x0, y0, x1, y1 in e:
-        c = np.cos(np.radians((lat + (y0 + y1) / 2) / 2))
-        ax, ay, bx, by = (x0 - lon) * c, y0 - lat, (x1 - lon) * c, y1 - lat
-        dx, dy = bx - ax, by - ay
-        length = dx * dx + dy * dy
-        t = np.clip(np.where(length > 0, -(ax * dx + ay * dy) / np.where(length > 0, length, 1), 0), 0, 1)
-        best = np.minimum(best, haversine_np(lat, lon, y0 + t * (y1 - y0), x0 + t * (x1 - x0)))
-    return best
-
-
-def boundary_distance(points: DataFrame, lat: str, lon: str, edges: np.ndarray, *, into: str = "boundary_km") -> DataFrame:
-    """The points with the distance in km to the nearest of the edges (rows of lon, lat, lon, lat).
-
-    Inside and outside count alike. Defined results: NULL for a position that is NULL, NaN
-    or infinite, and for every row if there are no edges. ``edges`` is one boundary, which
-    goes to every executor; more than ``BLOCK_VERTICES`` of them raise ValueError.
+    """Distance in km of each position to the nearest point of its edge."""
+    x0, y0, x1, y1 = e.T
+    c = np.cos(np.radians((lat + (y0 + y1) / 2) / 2))
+    ax, ay, bx, by = (x0 - lon) * c, y0 - lat, (x1 - lon) * c, y1 - lat
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = np.clip(np.where(length > 0, -(ax * dx + ay * dy) / np.where(length > 0, length, 1), 0), 0, 1)
+    return haversine_np(lat, lon, y0 + t * (y1 - y0), x0 + t * (x1 - x0))
+
+
+def boundary_distance(points: DataFrame, lat: str, lon: str, boundary: DataFrame | np.ndarray, *, into: str = "boundary_km", block_vertices: int = BLOCK_VERTICES) -> DataFrame:
+    """The points with the distance in km to the nearest edge of a boundary: rings, or rows of lon, lat, lon, lat.
+
+    Inside and outside count alike. The edges go to the executors in blocks of at most
+    ``block_vertices``; if there are several, the points pass them one after the other and
+    keep the smallest distance. Defined results: NULL for a position that is NULL, NaN or
+    infinite, and for every row if there are no edges.
     """
-    if len(edges) > BLOCK_VERTICES:
-        raise ValueError("the boundary has too many edges")
     base = points.drop(into)
     schema = T.StructType([*base.schema.fields, T.StructField(into, T.DoubleType())])
-    shared = points.sparkSession.sparkContext.broadcast(EdgeTree(np.asarray(edges, float).reshape(-1, 4)))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            y, x = (b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (lat, lon))
-            ok = np.isfinite(y) & np.isfinite(x)
-            out = np.full(len(y), np.nan)
-            out[ok] = shared.value.distance_km(y[ok], x[ok])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, mask=np.isnan(out))], names=[*b.schema.names, into])
-
-    return base.mapInArrow(measure, schema)
+    if isinstance(boundary, DataFrame):
+        blocks = (np.concatenate(e) for _, e in ring_blocks(boundary, block_vertices))
+    else:
+        rows = np.asarray(boundary, float).reshape(-1, 4)
+        blocks = (rows[k : k + block_vertices] for k in range(0, len(rows), block_vertices))
+    out = base.withColumn(into, F.lit(None).cast("double"))
+    for edges in blocks:
+        shared = points.sparkSession.sparkContext.broadcast(EdgeTree(edges))
+
+        def measure(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                y, x, known = (b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (lat, lon, into))
+                ok = np.isfinite(y) & np.isfinite(x)
+                km = np.full(len(y), np.nan)
+                km[ok] = shared.value.distance_km(y[ok], x[ok])
+                km = np.fmin(km, known)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(km, mask=np.isnan(km))], names=b.schema.names)
+
+        out = out.mapInArrow(measure, schema)
+    return out

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,43 +25,38 @@ def _sites(spark: SparkSession, d: str) -> DataFrame:
     return one.where(L.usable_position("station_lat", "station_lon"))
 
 
-def _region_labels(rings: DataFrame, label: F.Column) -> DataFrame:
-    """One row per region: at most as many as there are rings."""
-    return rings.groupBy("region_id").agg(F.min(L.label_core(label)).alias("true_label"))
+#: Region labels of at most so many regions are broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_REGIONS = 100_000
 
 
-def _mislabelled(rows: DataFrame, rings: DataFrame, true_label) -> DataFrame:
-    known = _region_labels(rings, true_label)
+def _mislabelled(rows: DataFrame, rings: DataFrame, regions: int, true_label) -> DataFrame:
+    known = rings.groupBy("region_id").agg(F.min(L.label_core(true_label)).alias("true_label"))
+    known = F.broadcast(known) if regions <= BROADCAST_REGIONS else known
     same = F.col("label").eqNullSafe(F.col("true_label"))
-    # The regions are broadcast within the size that locate_regions checks.
-    return rows.where(F.col("region_id").isNotNull()).join(F.broadcast(known), "region_id").where(~same)
-
-
-def boundary_edges(rings: DataFrame, region_code: str) -> np.ndarray:
-    own = rings.where(L.upper_key("region_code") == region_code).select("ring_lons", "ring_lats").collect()
-    return np.concatenate([proximity.ring_edges(r["ring_lons"], r["ring_lats"]) for r in own] or [np.zeros((0, 4))])
+    return rows.where(F.col("region_id").isNotNull()).join(known, "region_id").where(~same)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Near sites, and sites and rows whose region or distance contradicts their position."""
     rings = table(spark, d, "region_rings")
-    trees = proximity.region_trees(rings)
+    index = proximity.RegionIndex(rings)
     sites = cut_lineage(_sites(spark, d), "sites")
     near = proximity.near_pairs(sites, "site_id", "station_lat", "station_lon", NEAR_KM).select(F.lit("near").alias("case_kind"), "left_id", "right_id")
 
     labelled = sites.select("site_id", "station_lat", "station_lon", L.label_core("mapped_region").alias("label"))
-    at_sites = proximity.locate_regions(labelled, "station_lat", "station_lon", trees)
+    at_sites = proximity.locate_regions(labelled, "station_lat", "station_lon", index)
     code_type = F.concat_ws(":", "region_code", "region_type")
-    site_region = _mislabelled(at_sites, rings, code_type).select(F.lit("site_region").alias("case_kind"), F.col("site_id").alias("left_id"), F.col("region_id").alias("right_id"))
+    site_region = _mislabelled(at_sites, rings, index.regions, code_type).select(F.lit("site_region").alias("case_kind"), F.col("site_id").alias("left_id"), F.col("region_id").alias("right_id"))
 
     rows = table(spark, d, "example_metrics_snapshot").where(L.usable_position("sta_lat", "sta_lon"))
     rows = rows.select("row_id", "sta_lat", "sta_lon", L.label_core("region_name").alias("label"))
-    at_rows = proximity.locate_regions(rows, "sta_lat", "sta_lon", trees)
-    row_region = _mislabelled(at_rows, rings, F.col("region_name")).select(F.lit("row_region").alias("case_kind"), F.col("row_id").alias("left_id"), F.col("region_id").alias("right_id"))
+    at_rows = proximity.locate_regions(rows, "sta_lat", "sta_lon", index)
+    row_region = _mislabelled(at_rows, rings, index.regions, F.col("region_name")).select(F.lit("row_region").alias("case_kind"), F.col("row_id").alias("left_id"), F.col("region_id").alias("right_id"))
 
-    region = rings.where(L.upper_key("region_code") == EDGE_REGION).agg(F.min("region_id").alias("right_id"))
+    edge = rings.where(L.upper_key("region_code") == EDGE_REGION)
+    region = edge.agg(F.min("region_id").alias("right_id"))
     stated = sites.where(F.col("lab_edge_distance_km").isNotNull()).select("site_id", "station_lat", "station_lon", F.col("lab_edge_distance_km").alias("stated"))
-    measured = proximity.boundary_distance(stated, "station_lat", "station_lon", boundary_edges(rings, EDGE_REGION))
+    measured = proximity.boundary_distance(stated, "station_lat", "station_lon", edge)
     wrong = F.isnan("stated") | (F.abs(F.col("stated") - F.col("boundary_km")) > 1 + 0.1 * F.col("boundary_km"))
     lab_edge = measured.where(F.col("boundary_km").isNotNull() & wrong).crossJoin(F.broadcast(region)).select(F.lit("lab_edge").alias("case_kind"), F.col("site_id").alias("left_id"), "right_id")
     return near.unionByName(site_region).unionByName(row_region).unionByName(lab_edge)
