@@ -1,21 +1,28 @@
 """References to records that do not exist, kept as incremental state.
 
-The state is keyed by referenced table and key. It has two parts, both written to the
-shared folder: the parent index (first arrival and first deletion of each key) and the
-orphans found so far. Each batch of new references probes the index; arriving parents
-resolve waiting orphans; deletions reopen references that had been fine.
+The state is keyed by referenced table and key, and lies in the shared folder:
+
+- the parent index (first arrival and first deletion of each key), as the changed keys of each batch;
+- the pending orphans, as a log of transitions: a reference found to lead nowhere, resolved, changed or reopened.
+
+Each batch of new references probes the index. Of the older ones only those are looked at
+whose keys the batch changes: arriving parents resolve waiting orphans, deletions reopen
+references that had been fine. The counts are written after each batch, and a manifest
+closes it, so that another process can go on from the folder.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quakeweave.runtime import shared_folder
+from quakeweave.runtime import list_folder, read_text, shared_folder, write_text
 
+KEY = ["ref_table", "ref_key"]
 REFERENCE = T.StructType(
     [T.StructField("row_id", T.LongType()), T.StructField("ref_table", T.StringType()), T.StructField("ref_key", T.StringType()), T.StructField("at", T.TimestampType())]
 )
@@ -23,9 +30,17 @@ PARENT = T.StructType(
     [T.StructField("ref_table", T.StringType()), T.StructField("ref_key", T.StringType()), T.StructField("since", T.TimestampType()), T.StructField("until", T.TimestampType())]
 )
 ORPHAN = T.StructType([*REFERENCE.fields, T.StructField("orphan_kind", T.StringType())])
+#: ``seen`` is the batch in which the reference came, ``batch`` that of the transition, ``was`` the kind before it.
+_LOG = T.StructType([*REFERENCE.fields, T.StructField("seen", T.IntegerType()), T.StructField("was", T.StringType()), T.StructField("orphan_kind", T.StringType()), T.StructField("batch", T.IntegerType())])
+_DELTA = T.StructType([*PARENT.fields, T.StructField("was_since", T.TimestampType()), T.StructField("was_until", T.TimestampType())])
+COUNTS = T.StructType([T.StructField("ref_table", T.StringType()), T.StructField("orphan_kind", T.StringType()), T.StructField("period_month", T.StringType()), T.StructField("change", T.LongType()), T.StructField("batch", T.IntegerType())])
 
-#: A parent index of at most so many keys is broadcast (about 100 bytes a key); a larger one is joined by a salted shuffle.
-BROADCAST_KEYS = 200_000
+#: A parent index of at most so many keys is broadcast (about 100 bytes a key); a larger one is joined by a shuffle.
+BROADCAST_KEYS = 10_000
+#: A key with at least this share of the references is hot: there are at most 1 / HOT_SHARE of them, which are broadcast.
+HOT_SHARE = 0.005
+#: Changes of the index are merged into one table after so many batches.
+MERGE_AFTER = 32
 
 
 def orphan_kind(at: Column, since: Column, until: Column) -> Column:
@@ -36,94 +51,155 @@ def orphan_kind(at: Column, since: Column, until: Column) -> Column:
 def merge_parents(*parts: DataFrame) -> DataFrame:
     """One row per key: it exists from its earliest arrival until its earliest deletion."""
     union = reduce(DataFrame.unionByName, parts)
-    return union.where(F.col("ref_key").isNotNull()).groupBy("ref_table", "ref_key").agg(F.min("since").alias("since"), F.min("until").alias("until"))
+    return union.where(F.col("ref_key").isNotNull()).groupBy(*KEY).agg(F.min("since").alias("since"), F.min("until").alias("until"))
+
 
+def hot_keys(refs: DataFrame, share: float = HOT_SHARE) -> list[tuple[str, str]]:
+    """Keys with at least ``share`` of all references; counted with a partial aggregation, at most 1 / share rows are collected."""
+    counts = refs.where(F.col("ref_key").isNotNull()).groupBy(*KEY).count()
+    total = refs.count()
+    return [(r[0], r[1]) for r in counts.where(F.col("count") >= share * max(1, total)).select(*KEY).collect()]
 
-def probe(refs: DataFrame, index: DataFrame, index_keys: int, *, salts: int = 16, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """References with ``since`` and ``until`` of their parent, NULL where there is none.
 
-    A small index is broadcast. Otherwise the references are salted and the index, one row
-    per key, is repeated once per salt, so that a key with a third of all references is
-    spread over ``salts`` tasks.
+def probe(refs: DataFrame, index: DataFrame, index_keys: int, *, hot: list[tuple[str, str]] = (), broadcast_keys: int = BROADCAST_KEYS, how: str = "left") -> DataFrame:
+    """References with the columns of their parent, NULL where there is none.
+
+    A small index is broadcast. Otherwise references of hot keys meet a broadcast of just
+    these keys, however many references they have, and the others are joined by a shuffle.
     """
-    keys = ["ref_table", "ref_key"]
     if index_keys <= broadcast_keys:
-        return refs.join(F.broadcast(index), keys, "left")
-    salted = refs.withColumn("__salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-    repeated = index.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "__salt"], "left").drop("__salt")
+        return refs.join(F.broadcast(index), KEY, how)
+    if not hot:
+        return refs.join(index, KEY, how)
+    is_hot = reduce(Column.__or__, [(F.col("ref_table") == t) & F.col("ref_key").isin(*[k for u, k in hot if u == t]) for t in sorted({t for t, _ in hot})])
+    some = refs.where(is_hot).join(F.broadcast(index.where(is_hot)), KEY, how)
+    return some.unionByName(refs.where(~F.coalesce(is_hot, F.lit(False))).join(index.where(~is_hot), KEY, how))
 
 
 class OrphanTracker:
     """Keyed pending-orphan state over batches.
 
     ``advance`` takes the references and parent changes of one period. ``snapshot`` gives
-    every orphan known now, ``counts`` its counts per table and month.
+    every orphan known now, ``counts`` its counts per table and month, ``count_history``
+    those counts after every batch. A tracker made on the folder of an earlier one goes on
+    behind that one's last whole batch.
 
     Defined results: references without a key are none; a reference without a time is an
     orphan only if its parent is missing; a parent without any arrival time does not
-    exist; repeated references (same ``row_id``) are reported as often as they are given;
-    repeated parents count once. A reference before its parent's arrival stays an orphan
-    of kind ``late``. An empty batch changes nothing.
+    exist; a reference given twice in a batch counts once, one given in two batches is two
+    references; repeated parents count once. A reference before its parent's arrival stays
+    an orphan of kind ``late``, unless an earlier arrival becomes known. An empty batch
+    changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, *, salts: int = 16, broadcast_keys: int = BROADCAST_KEYS):
+    def __init__(self, spark: SparkSession, folder: str | None = None, *, broadcast_keys: int = BROADCAST_KEYS):
         self.spark = spark
         self.folder = folder or shared_folder(spark, "orphans")
-        self.salts, self.broadcast_keys = salts, broadcast_keys
-        self.batch = 0
-        self.index_keys = 0
-        self.orphan_parts: list[str] = []
-        self._index = spark.createDataFrame([], PARENT)
+        self.broadcast_keys = broadcast_keys
+        #: Batch of the merged index, if any; keys in the index, counted once for each change.
+        self.batch, self.base, self.index_keys = 0, -1, 0
+        done = sorted(n for n in list_folder(spark, self.folder) if n.startswith("done-"))
+        if done:
+            state = json.loads(read_text(spark, f"{self.folder}/{done[-1]}"))
+            self.batch, self.base, self.index_keys = state["batch"] + 1, state["base"], state["index_keys"]
 
-    @property
-    def index(self) -> DataFrame:
-        return self._index
+    def _paths(self, name: str, start: int = 0, stop: int | None = None) -> list[str]:
+        return [f"{self.folder}/{name}-{k:05d}" for k in range(start, self.batch if stop is None else stop)]
+
+    def _read(self, paths: list[str], schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame, name: str, schema: T.StructType) -> DataFrame:
         path = f"{self.folder}/{name}-{self.batch:05d}"
         df.select(*schema.names).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        return self._read([path], schema)
 
-    def _kinds(self, refs: DataFrame, index: DataFrame) -> DataFrame:
-        probed = probe(refs, index, self.index_keys, salts=self.salts, broadcast_keys=self.broadcast_keys)
-        return probed.withColumn("orphan_kind", orphan_kind(F.col("at"), F.col("since"), F.col("until"))).where(F.col("orphan_kind").isNotNull())
+    def _index(self, stop: int) -> DataFrame:
+        merged = [self._read([f"{self.folder}/index-{self.base:05d}"], PARENT)] if self.base >= 0 else []
+        changed = self._read(self._paths("changed", self.base + 1, stop), _DELTA).select(*PARENT.names)
+        return merge_parents(changed, *merged)
 
-    def advance(self, refs: DataFrame, parents: DataFrame, *, history: DataFrame | None = None) -> None:
+    @property
+    def index(self) -> DataFrame:
+        return self._index(self.batch)
+
+    @staticmethod
+    def _latest(log: DataFrame) -> DataFrame:
+        """References with the kind of their last transition; NULL if that resolved them."""
+        return log.groupBy("row_id", *KEY, "at", "seen").agg(F.max_by("orphan_kind", "batch").alias("orphan_kind"))
+
+    def advance(self, refs: DataFrame, parents: DataFrame, *, history: DataFrame | None = None, hot: list[tuple[str, str]] | None = None) -> None:
         """Take in one batch.
 
-        ``history`` are the references of earlier batches (the referring table itself).
-        It is read only for keys whose deletion in this batch lies at or before one of them:
-        those references are reopened. It may be left out if deletions come in time.
+        ``history`` are the references of earlier batches (the referring table itself), with
+        the batch of each in ``seen``; without that column it is 0. It is read only if the
+        batch tells of deletions that lie before now, and only from the earliest of them on
+        (if it is split by a column ``month``, only those months). It may be left out if
+        deletions come in time. ``hot`` are the hot keys, if they are known.
         """
-        changes = merge_parents(parents)
+        batch = F.lit(self.batch)
+        old = self._index(self.batch).withColumnsRenamed({"since": "was_since", "until": "was_until"})
+        changes = merge_parents(parents).join(old, KEY, "left")
+        since, until = F.least("since", "was_since"), F.least("until", "was_until")
+        changes = changes.withColumns({"since": since, "until": until})
+        # Only keys for which something is new.
+        delta = self._write(changes.where(~(F.col("since").eqNullSafe(F.col("was_since")) & F.col("until").eqNullSafe(F.col("was_until")))), "changed", _DELTA)
+        ended = F.col("was_since").isNotNull() & F.col("until").isNotNull() & ~F.col("until").eqNullSafe(F.col("was_until"))
+        said = delta.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(ended, F.col("until"))).alias("first_end")).first()
+        self.index_keys += said["n"]
+
         new = refs.where(F.col("ref_key").isNotNull()).select(*REFERENCE.names)
-        if history is not None:
-            # Those that were fine until now; waiting and late ones are among the orphans already.
-            before = self._index.select("ref_table", "ref_key", F.col("since").alias("was_since"), F.col("until").alias("was_until"))
-            ended = changes.where(F.col("until").isNotNull()).join(before, ["ref_table", "ref_key"])
-            ended = ended.where(F.col("was_until").isNull() | (F.col("until") < F.col("was_until"))).drop("since")
+        hot = hot_keys(new) if hot is None and self.index_keys > self.broadcast_keys else hot or []
+        options = {"hot": hot, "broadcast_keys": self.broadcast_keys}
+        kind = orphan_kind(F.col("at"), F.col("since"), F.col("until"))
+        found = probe(new, self._index(self.batch + 1), self.index_keys, **options).withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull())
+        found = found.select(*ORPHAN.names).distinct()
+        parts = [found.select("*", batch.alias("seen"), F.lit(None).cast("string").alias("was"), batch.alias("batch"))]
+        if said["n"] and self.batch:
+            # Orphans whose key changed: resolved, or of another kind now.
+            waiting = probe(self._read(self._paths("log"), _LOG), delta, said["n"], how="inner", **options)
+            waiting = waiting.groupBy("row_id", *KEY, "at", "seen", "since", "until").agg(F.max_by("orphan_kind", "batch").alias("was")).where(F.col("was").isNotNull())
+            moved = waiting.withColumn("orphan_kind", kind).where(~F.col("orphan_kind").eqNullSafe(F.col("was")))
+            parts.append(moved.select("row_id", *KEY, "at", "seen", "was", "orphan_kind", batch.alias("batch")))
+        if said["first_end"] is not None and history is not None:
             at = F.col("at")
-            touched = history.where(F.col("ref_key").isNotNull()).join(ended, ["ref_table", "ref_key"])
-            reopened = touched.where((at >= F.col("until")) & (at >= F.col("was_since")) & (F.col("was_until").isNull() | (at < F.col("was_until"))))
-            new = new.unionByName(reopened.select(*REFERENCE.names))
-        self._index = self._write(merge_parents(self._index, changes), "index", PARENT)
-        self.index_keys = self._index.count()
-        self._write(self._kinds(new, self._index), "orphans", ORPHAN)
-        self.orphan_parts.append(f"{self.folder}/orphans-{self.batch:05d}")
+            past = history if "seen" in history.columns else history.withColumn("seen", F.lit(0))
+            if "month" in past.columns:
+                past = past.where(F.col("month") >= F.date_format(F.lit(said["first_end"]), "yyyy-MM"))
+            past = past.where((at >= F.lit(said["first_end"])) & F.col("ref_key").isNotNull()).select(*REFERENCE.names, "seen")
+            touched = probe(past, delta.where(ended), said["n"], how="inner", **options)
+            fine = (at >= F.col("was_since")) & (F.col("was_until").isNull() | (at < F.col("was_until")))
+            reopened = touched.where(fine & (at >= F.col("until"))).withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull())
+            parts.append(reopened.select("row_id", *KEY, "at", "seen", "orphan_kind").distinct().select("*", F.lit(None).cast("string").alias("was"), batch.alias("batch")))
+        log = self._write(reduce(DataFrame.unionByName, [p.select(*[F.col(f.name).cast(f.dataType) for f in _LOG.fields]) for p in parts]), "log", _LOG)
+        self._write(self._changes_of(log), "counts", COUNTS)
+        if self.batch - self.base >= MERGE_AFTER:
+            self._write(self._index(self.batch + 1), "index", PARENT)
+            self.base = self.batch
+        write_text(self.spark, f"{self.folder}/done-{self.batch:05d}", json.dumps({"batch": self.batch, "base": self.base, "index_keys": self.index_keys}))
         self.batch += 1
 
+    def _changes_of(self, log: DataFrame) -> DataFrame:
+        steps = F.array(F.struct(F.col("orphan_kind").alias("k"), F.lit(1).alias("d")), F.struct(F.col("was").alias("k"), F.lit(-1).alias("d")))
+        each = log.select("ref_table", F.date_format("at", "yyyy-MM").alias("period_month"), F.explode(steps).alias("s")).where(F.col("s.k").isNotNull())
+        return each.groupBy("ref_table", F.col("s.k").alias("orphan_kind"), "period_month").agg(F.sum("s.d").cast("bigint").alias("change")).withColumn("batch", F.lit(self.batch))
+
     def snapshot(self) -> DataFrame:
         """All orphans, as the index stands: one that waited for a parent which has arrived since is ``late``."""
-        if not self.orphan_parts:
-            return self.spark.createDataFrame([], ORPHAN)
-        known = self.spark.read.schema(ORPHAN).parquet(*self.orphan_parts).drop("orphan_kind")
-        return self._kinds(known, self._index).select(*ORPHAN.names)
+        return self._latest(self._read(self._paths("log"), _LOG)).where(F.col("orphan_kind").isNotNull()).select(*ORPHAN.names)
+
+    def transitions(self) -> DataFrame:
+        """Every change of an orphan's kind: found or reopened (``was`` is NULL), changed, resolved (``orphan_kind`` is NULL)."""
+        return self._read(self._paths("log"), _LOG)
 
     def counts(self) -> DataFrame:
-        """Orphans per referenced table, kind and month of the reference."""
-        month = F.date_format("at", "yyyy-MM").alias("period_month")
-        return self.snapshot().groupBy("ref_table", "orphan_kind", month).agg(F.count(F.lit(1)).alias("orphans"))
+        """Orphans per referenced table, kind and month of the reference, added up from the batches' changes."""
+        total = self._read(self._paths("counts"), COUNTS).groupBy("ref_table", "orphan_kind", "period_month").agg(F.sum("change").alias("orphans"))
+        return total.where(F.col("orphans") != 0)
+
+    def count_history(self) -> DataFrame:
+        """The changes of the counts with each batch: ``ref_table``, ``orphan_kind``, ``period_month``, ``change``, ``batch``."""
+        return self._read(self._paths("counts"), COUNTS)
 
 
 def references(df: DataFrame, row_id: str, at: str, keys: dict[str, Column]) -> DataFrame:
@@ -134,11 +210,15 @@ def references(df: DataFrame, row_id: str, at: str, keys: dict[str, Column]) ->
 
 
 def parent_changes(df: DataFrame, ref_table: str, key: Column, since: str = "loaded_at", until: str = "deleted_at") -> DataFrame:
-    """Arrivals and deletions of one referenced table as separate rows, each with the time it becomes known."""
+    """Arrivals and deletions of one referenced table as separate rows, each with the time it becomes known.
+
+    A deletion is known when it happens, or when the row that tells of it arrives, if that
+    is later.
+    """
     base = df.select(F.lit(ref_table).alias("ref_table"), key.alias("ref_key"), F.col(since).alias("s"), F.col(until).alias("u")).where(F.col("ref_key").isNotNull())
     none = F.lit(None).cast("timestamp")
     arrived = base.where(F.col("s").isNotNull()).select("ref_table", "ref_key", F.col("s").alias("since"), none.alias("until"), F.col("s").alias("known_at"))
-    ended = base.where(F.col("u").isNotNull()).select("ref_table", "ref_key", none.alias("since"), F.col("u").alias("until"), F.col("u").alias("known_at"))
+    ended = base.where(F.col("u").isNotNull()).select("ref_table", "ref_key", none.alias("since"), F.col("u").alias("until"), F.greatest("u", "s").alias("known_at"))
     return arrived.unionByName(ended)
 
 
@@ -146,20 +226,33 @@ def track_by_month(refs: DataFrame, changes: DataFrame, tracker: OrphanTracker)
     """Run a history through the state, one batch per month of the references.
 
     The references are written once, split by month, so that each batch reads only its
-    own. Parent changes before the first month come with it, those after the last one in
-    a closing batch without references, as do references without a time.
+    own, and reopening only the months from the earliest deletion on. Parent changes before
+    the first month come with it, those after the last one in a closing batch without
+    references, as do references without a time. A tracker that has done some months goes
+    on behind them.
     """
     spark, path = tracker.spark, f"{tracker.folder}/references"
     month = F.date_format("at", "yyyy-MM")
-    refs.withColumn("month", F.coalesce(month, F.lit("none"))).write.partitionBy("month").parquet(path)
+    if "_SUCCESS" not in list_folder(spark, path):
+        refs.withColumn("month", F.coalesce(month, F.lit("none"))).write.mode("overwrite").partitionBy("month").parquet(path)
     schema = T.StructType([*REFERENCE.fields, T.StructField("month", T.StringType())])
     staged = spark.read.schema(schema).parquet(path)
-    months = sorted(r["month"] for r in staged.select("month").distinct().collect())
+    months = sorted(n.removeprefix("month=") for n in list_folder(spark, path) if n.startswith("month=") and n != "month=none")
     known = F.date_format("known_at", "yyyy-MM")
-    done = "0000-00"
-    for m in [x for x in months if x != "none"]:
-        tracker.advance(staged.where(F.col("month") == m), changes.where((known > done) & (known <= m)).drop("known_at"))
-        done = m
-    rest = staged.where(F.col("month") == "none")
-    tracker.advance(rest, changes.where(known > done).drop("known_at"))
+    written = f"{tracker.folder}/changes"
+    if "_SUCCESS" not in list_folder(spark, written):
+        changes.select(*PARENT.names, F.coalesce(known, F.lit("0000-00")).alias("known_month")).write.mode("overwrite").parquet(written)
+    changed = spark.read.schema(T.StructType([*PARENT.fields, T.StructField("known_month", T.StringType())])).parquet(written)
+    hot = hot_keys(staged)
+    number = F.create_map(*[F.lit(x) for k, m in enumerate(months) for x in (m, k)]) if months else None
+    for k, m in enumerate([*months, None]):
+        if k < tracker.batch:
+            continue
+        after = months[k - 1] if k else ""
+        due = changed.where((F.col("known_month") > after) & (F.col("known_month") <= m)) if m else changed.where(F.col("known_month") > after)
+        own = staged.where(F.col("month") == (m or "none"))
+        past = None
+        if k:
+            past = (staged.where(F.col("month") < m) if m else staged.where(F.col("month") != "none")).withColumn("seen", number[F.col("month")])
+        tracker.advance(own, due.drop("known_month"), history=past, hot=hot)
     return tracker

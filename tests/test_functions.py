@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quakeweave import runtime
 from quakeweave.functions import geodesy as G
 from quakeweave.functions import kernels as K
 from quakeweave.functions import labels as L
@@ -122,3 +123,36 @@ def test_array_reductions(spark):
     assert got[1]["c"] is None and got[2]["p"] is None
     back = df.withColumns({"x": r, "y": t}).select(*T.rotate_rt_to_ne("x", "y", "b")).first()
     assert back[0] == pytest.approx([3, -4]) and back[1] == pytest.approx([1, 0])
+
+
+class _Cluster:
+    """A session as on a cluster, without a shared folder."""
+
+    class sparkContext:
+        master, applicationId = "spark://host:7077", "app-1"
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    with pytest.raises(RuntimeError):
+        runtime.shared_folder(_Cluster, "step")
+    assert runtime.is_local(spark)
+
+
+def test_small_files_and_folders(spark):
+    folder = runtime.shared_folder(spark, "files")
+    assert runtime.list_folder(spark, folder) == []
+    runtime.write_text(spark, f"{folder}/a", "first")
+    runtime.write_text(spark, f"{folder}/a", "zweite ü")
+    assert runtime.read_text(spark, f"{folder}/a") == "zweite ü"
+    assert [n for n in runtime.list_folder(spark, folder) if not n.endswith(".crc")] == ["a"]
+    runtime.remove_folder(spark, folder)
+    assert runtime.list_folder(spark, folder) == []
+    df = runtime.cut_lineage(spark.range(5), "few")
+    path = df.inputFiles()[0].rsplit("/", 2)
+    assert df.count() == 5 and path[1] in runtime.list_folder(spark, path[0])
+    assert runtime.remove_intermediates(spark) >= 1 and path[1] not in runtime.list_folder(spark, path[0])
