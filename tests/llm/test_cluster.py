@@ -43,12 +43,39 @@ def test_edges(spark):
     assert C.cluster(points(spark, [(3, [1.0])]), rms_limit=1, radius_limit=1).collect()[0]["cluster_id"] == 3
 
 
-def test_tree_routes_to_leaves():
-    t = C.Tree([C.Node(np.zeros(1), left=1, right=2), C.Node(np.array([-1.0])), C.Node(np.array([1.0]), left=3, right=4), C.Node(np.array([0.5])), C.Node(np.array([3.0]))])
-    assert t.leaves == [1, 3, 4] and t.route(np.array([[-5.0], [0.4], [9.0]])).tolist() == [1, 3, 4]
+def test_leaves_keep_the_limits_and_their_records(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, x.tolist()) for k, x in enumerate(rng.uniform(-5, 5, (3_000, 2)))]
+    tree, levels = C.bisect(points(spark, rows), rms_limit=0.5, radius_limit=1.25)
+    at = {}
+    for frame in levels:
+        at |= {r["id"]: r["node"] for r in frame.collect() if tree.nodes[r["node"]].left < 0}
+    assert len(at) == 3_000 and set(at.values()) == set(tree.leaves)
+    for k in tree.leaves:
+        x = np.array([rows[i][1] for i, n in at.items() if n == k])
+        node = tree.nodes[k]
+        assert node.n == len(x) and np.allclose(node.centre, x.mean(0))
+        far = np.sqrt(((x - x.mean(0)) ** 2).sum(1))
+        assert np.sqrt((far**2).mean()) <= 0.5 and far.max() <= 1.25 and abs(far.max() - node.radius) < 1e-9
 
 
-def test_sets_that_a_split_cut_are_joined_again(spark):
+def test_thousands_of_leaves(spark):
+    """5,000 pairs of equal records, each pair far from the others."""
+    n = 5_000
+    rows = [(k, [float(k % n % 71), float(k % n // 71)]) for k in range(2 * n)]
+    got = C.cluster(points(spark, rows), rms_limit=0.1, radius_limit=0.2).toPandas()
+    assert (got.cluster_id == got.id % n).all() and len(got) == 2 * n and got.distance.max() < 1e-9
+
+
+def test_the_cut_runs_through_the_emptiest_place():
+    bins = np.zeros((1, 8, 3))
+    for at, n in enumerate([5, 50, 5, 0, 40, 45, 40, 3]):
+        bins[0, at] = [n, n * at, n * at * at]
+    assert C.best_cut(bins, 1)[:2] == (0, 3) or C.best_cut(bins, 1)[:2] == (0, 2)
+    assert C.best_cut(np.zeros((2, 8, 3)), 1) == (-1, -1, -1, -1)
+
+
+def test_no_split_cuts_a_compact_set(spark):
     rng = np.random.default_rng(7)
     shapes = np.array([[0.9, 0.8, 0.9, 0.8, 0.8], [-0.9, -0.8, -0.9, -0.8, -0.8], [0.9, 0.7, 0, -0.4, -0.9], [-0.9, -0.6, 0, 0.5, 0.9], [0, -0.8, 1, -0.8, 0.1], [-0.2, 0.9, -1, 0.9, 0]])
     rows, truth = [], []
