@@ -11,7 +11,8 @@ from quakeweave.functions.geodesy import hypocentral_km
 from quakeweave.functions.labels import finite
 from quakeweave.functions.residuals import percent_from_log2
 from quakeweave.operators.metrics import collapse_and_demean, pivot_statistic
-from quakeweave.operators.spatial import bootstrap_contrast, kruskal_wallis, morans_i
+from quakeweave.operators.spatial import bootstrap_contrast, kruskal_wallis, moran_by, morans_i
+from quakeweave.runtime import cut_lineage
 
 # Default contrasts as name, left zones, right zones, column.
 CONTRASTS = (
@@ -71,6 +72,26 @@ def spatial_tests(stations: DataFrame, value: str, zone: str, *, k: int = 8) ->
     return morans_i(stations, value, k=k).join(kw, F.lit(True), "left")
 
 
+def grouped_tests(rows: DataFrame, by: list[str], zone: str, contrasts: list[tuple], *, value: str = "field_centered", k: int = 8, permutations: int = 999, samples: int = 500, seed: int = 42) -> DataFrame:
+    """The tests of zones for every group of ``by``, one row per test: ``test``, ``statistic``, ``p_value``, ``n``, bounds for contrasts.
+
+    ``rows`` are centred values with station and position. Kruskal-Wallis and Moran's I (with
+    a permutation p-value) take station means. Contrasts are (name, left zones, right zones).
+    All groups run in the same plans.
+    """
+    v = finite(value)
+    stations = cut_lineage(rows.where(v.isNotNull()).groupBy(*by, "station").agg(F.avg(v).alias("v"), F.min(F.struct("lat", "lon")).alias("at"), F.min(zone).alias(zone)).select(*by, "station", "v", "at.lat", "at.lon", zone), "zones")
+    none = F.lit(None).cast("double")
+    cols = lambda test, stat, p, n, low=none, high=none: [*by, F.lit(test).alias("test"), stat.alias("statistic"), p.alias("p_value"), n.cast("bigint").alias("n"), low.alias("ci_low"), high.alias("ci_high")]
+    kw = kruskal_wallis(stations, "v", zone, by=by).select(*cols("kruskal_wallis", F.col("h"), F.col("p_value"), F.col("n")))
+    moran = moran_by(stations, by, "v", k=k, permutations=permutations, seed=seed).select(*cols("moran_i", F.col("moran_i"), F.col("p_two_sided"), F.col("n")))
+    parts = [kw, moran]
+    for name, left, right in contrasts:
+        c = bootstrap_contrast(rows, zone, list(left), list(right), value=value, by=by, samples=samples, seed=seed)
+        parts.append(c.select(*cols(name, F.col("estimate"), F.col("p_value"), F.col("n_left") + F.col("n_right"), F.col("ci_low"), F.col("ci_high"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def select_anchors(df: DataFrame, strategy: str = "all", *, key: str = "event_id", column: str | None = None, top: int | None = None, value=None, where: str | None = None) -> DataFrame:
     """Anchors of corridors: all, by id, by a SQL condition, or the first by a column (``max``, ``min``), ``top`` of them."""
     if strategy == "id":

@@ -78,7 +78,7 @@ def inside_share(edges: np.ndarray, lat0, lon0, lat1, lon1) -> np.ndarray:
 
 
 def shapes(polygons: DataFrame, name: str = "name", *, most: int = BLOCK_VERTICES) -> list[Shape]:
-    """The polygons on the driver, in order of ``region_id``; ValueError beyond ``most`` vertices."""
+    """A selection of polygons on the driver, in order of ``region_id``; ValueError beyond ``most`` vertices, for which ``proximity.locate_regions`` works in blocks."""
     if (polygons.agg(F.sum(F.size("ring_lons"))).first()[0] or 0) > most:
         raise ValueError("too many vertices for one set of polygons; classify them in parts")
     edges: dict[tuple, list[np.ndarray]] = {}
@@ -232,6 +232,28 @@ def corridor_ring(shape: Shape, lat: float, lon: float, *, form: str = "rectangl
 CORRIDOR = T.StructType([T.StructField("region_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("anchor_id", T.StringType()), T.StructField("distance_km", T.DoubleType()), T.StructField("ring_lons", T.ArrayType(T.DoubleType())), T.StructField("ring_lats", T.ArrayType(T.DoubleType()))])
 
 
+def opposite_width_km(edges: np.ndarray, lat: float, lon: float, bearing_deg: float) -> float:
+    """Distance in km from a boundary point to the next edge along a bearing, in a plane true to distance from the point; NaN if there is none.
+
+    Edges within a metre are those of the point itself.
+    """
+    p, p0 = np.radians(edges[:, [1, 3]]), np.radians(lat)
+    d = np.radians(edges[:, [0, 2]] - lon)
+    c = np.arccos(np.clip(np.sin(p0) * np.sin(p) + np.cos(p0) * np.cos(p) * np.cos(d), -1, 1))
+    k = np.where(c > 1e-12, c / np.where(c > 1e-12, np.sin(c), 1), 1) * EARTH_RADIUS_KM
+    x, y = k * np.cos(p) * np.sin(d), k * (np.cos(p0) * np.sin(p) - np.sin(p0) * np.cos(p) * np.cos(d))
+    # Along the bearing and across it.
+    a = np.radians(bearing_deg)
+    along, across = x * np.sin(a) + y * np.cos(a), x * np.cos(a) - y * np.sin(a)
+    meets = (across[:, 0] > 0) != (across[:, 1] > 0)
+    if not meets.any():
+        return float("nan")
+    u, v = along[meets], across[meets]
+    at = u[:, 0] - v[:, 0] * (u[:, 1] - u[:, 0]) / (v[:, 1] - v[:, 0])
+    at = at[at > 0.001]
+    return float(at.min()) if len(at) else float("nan")
+
+
 def boundary_corridors(anchors: DataFrame, polygons: DataFrame, key: str, lat: str, lon: str, *, near_km: float | None = None, **form) -> DataFrame:
     """A corridor per anchor at its nearest polygon; anchors farther than ``near_km`` from it get none.
 

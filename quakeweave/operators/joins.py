@@ -144,3 +144,15 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
     carried = per.select(*keys, "__b", F.last("__last", ignorenulls=True).over(v).alias("__before"))
     joined = within.join(carried, [*keys, "__b"], "left").withColumn("__row", F.coalesce("__row", "__before"))
     return joined.select(*left.columns, *[F.col(f"__row.__{c}").alias(c) for c in columns])
+
+
+def alias_report(folders: DataFrame, alias: str, folder: str) -> DataFrame:
+    """Distinct folders by alias: ``alias``, ``name``, ``folder``, ``ambiguous``.
+
+    An alias that stands for several folders gets a number behind it, in order of the folders.
+    """
+    each = folders.where(F.col(alias).isNotNull() & F.col(folder).isNotNull()).select(F.col(alias).alias("alias"), F.col(folder).alias("folder")).distinct()
+    listed = each.groupBy("alias").agg(F.array_sort(F.collect_list("folder")).alias("__f"))
+    out = listed.select("alias", F.size("__f").alias("__n"), F.posexplode("__f").alias("__k", "folder"))
+    several = F.col("__n") > 1
+    return out.select("alias", F.when(several, F.concat("alias", F.lit("_"), F.col("__k") + 1)).otherwise(F.col("alias")).alias("name"), "folder", several.alias("ambiguous"))

@@ -15,21 +15,21 @@ from quakeweave.functions import text as X
 from quakeweave.functions.labels import band_key, finite, present
 from quakeweave.operators.metrics import existing, first_row
 
-# The names under which a column may come, in order of preference.
+# The names under which a column may come, in order of preference (capitals and separators make no difference where no exact name is there).
 STATION_NAMES = {
-    "network": ("network", "net", "network_id", "network_code", "station_network"),
-    "station": ("station", "station_id", "station_code", "station_name", "sta", "code", "site"),
-    "lat": ("lat", "latitude", "station_lat", "station_latitude", "sta_lat", "site_lat"),
-    "lon": ("lon", "long", "lng", "longitude", "station_lon", "station_longitude", "sta_lon", "site_lon"),
-    "elev": ("elev", "elevation", "station_elev", "station_elevation"),
+    "network": ("network", "net", "station_network", "network_code", "Network", "Net", "network_id"),
+    "station": ("station", "station_code", "station_name", "code", "Station", "Code", "site", "station_id", "sta"),
+    "lat": ("lat", "latitude", "station_lat", "station_latitude", "stationlat", "Lat", "Latitude", "sta_lat", "site_lat"),
+    "lon": ("lon", "longitude", "station_lon", "station_longitude", "stationlon", "Lon", "Longitude", "long", "lng", "sta_lon", "site_lon"),
+    "elev": ("elev", "elevation", "station_elev", "station_elevation", "Elevation"),
 }
 EVENT_NAMES = {
-    "event_id": ("event_id", "event", "id", "evid", "event_name", "event_title"),
-    "origin_time": ("origin_time", "time", "event_time", "datetime", "timestamp", "start", "start_utc"),
-    "lat": ("lat", "latitude", "event_lat", "event_latitude", "source_lat", "origin_lat", "hypocenter_lat"),
-    "lon": ("lon", "longitude", "event_lon", "event_longitude", "source_lon", "origin_lon", "hypocenter_lon"),
-    "depth_km": ("depth_km", "depth", "event_depth_km", "event_depth", "hypocenter_depth_km"),
-    "magnitude": ("magnitude", "mag", "mw", "ml", "event_magnitude"),
+    "event_id": ("event_id", "event", "id", "evid", "event_name", "event_title", "EventID"),
+    "origin_time": ("origin_time", "time", "event_time", "datetime", "timestamp", "origin", "OriginTime", "start", "start_utc"),
+    "lat": ("lat", "latitude", "event_lat", "event_latitude", "hypocenter_lat", "Lat", "Latitude", "source_lat", "origin_lat"),
+    "lon": ("lon", "longitude", "event_lon", "event_longitude", "hypocenter_lon", "Lon", "Longitude", "source_lon", "origin_lon"),
+    "depth_km": ("depth_km", "depth", "event_depth_km", "hypocenter_depth_km", "DepthKm", "event_depth"),
+    "magnitude": ("magnitude", "mag", "mw", "ml", "event_magnitude", "Magnitude"),
 }
 WAVEFORM_NAMES = {
     "source": ("source", "waveform_source", "waveform_role", "role"),
@@ -63,17 +63,17 @@ QC_NAMES = {
     "valid_end_sample": ("valid_end_sample", "valid_end_index", "usable_end_sample"),
 }
 METRIC_NAMES = {
-    "model": ("model", "simulation_model", "model_name"),
-    "band": ("band", "simulation_band", "passband"),
-    "component": ("component", "station_component"),
-    "event_id": ("event_id", "event_title", "event"),
-    "event_name": ("event_name", "event_title", "event_id", "event"),
-    "event_magnitude": ("event_magnitude", "magnitude", "mag", "mw"),
-    "station": ("station", "station_name"),
-    "lat": ("lat", "station_latitude", "latitude", "sta_lat"),
-    "lon": ("lon", "station_longitude", "longitude", "sta_lon"),
-    "event_lat": ("event_lat", "event_latitude", "source_lat", "origin_latitude"),
-    "event_lon": ("event_lon", "event_longitude", "source_lon", "origin_longitude"),
+    "model": ("simulation_model", "model", "model_name"),
+    "band": ("simulation_band", "Band", "band"),
+    "component": ("station_component", "Component", "component"),
+    "event_id": ("event_title", "event_id", "Event"),
+    "event_name": ("event_name", "event_title", "event_id", "Event"),
+    "event_magnitude": ("event_magnitude", "magnitude", "mag"),
+    "station": ("station_name", "Station", "station"),
+    "lat": ("station_latitude", "latitude", "sta_lat", "lat"),
+    "lon": ("station_longitude", "longitude", "sta_lon", "lon"),
+    "event_lat": ("event_latitude", "event_lat", "source_latitude", "source_lat", "hypocenter_latitude", "origin_latitude"),
+    "event_lon": ("event_longitude", "event_lon", "source_longitude", "source_lon", "hypocenter_longitude", "origin_longitude"),
 }
 PICK_NAMES = {
     "event_id": ("event_id", "event", "id"),

@@ -112,16 +112,19 @@ def model_metric_heatmap(spark, d):
     return M.pivot_statistic(metrics(spark, d), "metric", "model", "log2_residual", "median", ["cvmsi", "cvms5"])
 
 
+_FEATURES = ["PGA", "PGV", "PGD", "PSA", "FAS", "CAV", "arias_duration"]
+
+
 def _wide(spark, d) -> DataFrame:
     m = view(spark, d, "v_metrics")
-    cells = [f(F.when(F.col("metric") == s, F.col(c))).alias(f"{s}_{k}") for s in ("PGA", "PGV") for c, k, f in (("value_obs", "obs", F.max), ("value_syn", "syn", F.max))]
+    cells = [F.max(F.when(F.col("metric") == s, F.col(c))).alias(f"{s}_{k}") for s in _FEATURES for c, k in (("value_obs", "obs"), ("value_syn", "syn"))]
     return m.groupBy("event_id", "station", "model").agg(*cells)
 
 
 @query(
-    f"""WITH w AS (SELECT event_id, station, model, max(value_obs) FILTER (metric = 'PGA') AS ao, max(value_syn) FILTER (metric = 'PGA') AS a_s, max(value_obs) FILTER (metric = 'PGV') AS vo, max(value_syn) FILTER (metric = 'PGV') AS vs FROM v_metrics GROUP BY ALL),
-l AS (SELECT event_id, station, model, 'PGA' AS metric, ao AS o, a_s AS s FROM w UNION ALL SELECT event_id, station, model, 'PGV', vo, vs FROM w)
-SELECT event_id, station, model, metric, {r6("o")} AS value_obs, {r6("s")} AS value_syn, {r6("log10(s / o)")} AS residual, CAST(NULL AS DOUBLE) AS score FROM l"""
+    f"""WITH k AS (SELECT DISTINCT event_id, station, model FROM v_metrics), g AS (SELECT * FROM k, (SELECT unnest({_FEATURES}) AS metric)),
+w AS (SELECT event_id, station, model, metric, max(value_obs) AS o, max(value_syn) AS s FROM v_metrics GROUP BY ALL)
+SELECT event_id, station, model, metric, {r6("o")} AS value_obs, {r6("s")} AS value_syn, {r6("log10(s / o)")} AS residual, CAST(NULL AS DOUBLE) AS score FROM g LEFT JOIN w USING (event_id, station, model, metric)"""
 )
 def wide_to_long(spark, d):
     """Wide metric columns to long rows with the wide tables' residual."""
@@ -262,12 +265,12 @@ def event_locations(spark, d):
 
 # ---------------------------------------------------------------- pairs, neighbours, correlation
 
-_PAIRS = f"""f AS (SELECT DISTINCT event_id, station, lat, lon, v FROM (SELECT event_id, station, avg(field_centered) AS v FROM c WHERE metric = 'PGA' GROUP BY 1, 2) JOIN v_stations USING (station)),
+_PAIRS = f"""f AS (SELECT DISTINCT event_id, station, lat, lon, v FROM (SELECT event_id, station, avg(field_centered) AS v FROM c GROUP BY 1, 2) JOIN v_stations USING (station)),
 p AS (SELECT a.event_id, a.station AS s1, b.station AS s2, a.v AS va, b.v AS vb, {hav("a.lat", "a.lon", "b.lat", "b.lon")} AS km, ({azi("a.lat", "a.lon", "b.lat", "b.lon")}) AS az FROM f a JOIN f b ON a.event_id = b.event_id AND a.station < b.station)"""
 
 
 def _pair_field(spark, d) -> DataFrame:
-    c = M.center_by_event(_field(spark, d)).where(F.col("metric") == "PGA")
+    c = M.center_by_event(_field(spark, d))
     return c.groupBy("event_id", "station", "lat", "lon").agg(F.avg("field_centered").alias("field_centered"))
 
 
@@ -354,9 +357,6 @@ def pattern_similarity(spark, d):
 # ---------------------------------------------------------------- clusters and modes
 
 
-_FEATURES = ["PGA", "PGV", "PGD", "PSA", "FAS", "CAV", "arias_duration"]
-
-
 def _profiles(spark, d) -> DataFrame:
     b = M.station_bias(M.center_by_event(_field(spark, d)), groups=["metric"])
     return M.pivot_statistic(b, "station", "metric", "mean_centered", "mean", _FEATURES).join(view(spark, d, "v_stations").select("station", "lat", "lon"), "station")
@@ -478,20 +478,20 @@ def metadata_fill_join(spark, d):
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT l_orderkey % 5000 AS k, CASE l_linenumber % 3 WHEN 0 THEN '1-2 sec' WHEN 1 THEN '2-3 sec' ELSE '3-5 sec' END AS band FROM lineitem),
-b AS (SELECT o_orderkey % 5000 AS k, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), f AS (SELECT o_orderkey % 5000 AS k, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+    """WITH i AS (SELECT DISTINCT l_orderkey // 8 AS k, CASE l_linenumber % 3 WHEN 0 THEN '1-2 sec' WHEN 1 THEN '2-3 sec' ELSE '3-5 sec' END AS band FROM lineitem),
+b AS (SELECT o_orderkey // 8 AS k, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), f AS (SELECT o_orderkey // 8 AS k, max_by(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
 SELECT band, CASE coalesce(CASE WHEN band = '1-2 sec' THEN b.s END, f.s) WHEN 'F' THEN true ELSE false END AS reject, count(*) AS n FROM i LEFT JOIN b USING (k) LEFT JOIN f USING (k) GROUP BY ALL""",
     views=False,
 )
 def manual_decisions(spark, d):
     """Manual decisions over automatic ones, a band's over the full trace's."""
-    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 5000).cast("string").alias("event_id"), (F.col("l_linenumber") % 3).alias("b")).distinct()
+    li = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 8).cast("string").alias("event_id"), (F.col("l_linenumber") % 3).alias("b")).distinct()
     band = F.when(F.col("b") == 0, F.lit("1-2 sec")).when(F.col("b") == 1, F.lit("2-3 sec")).otherwise(F.lit("3-5 sec"))
     inv = li.select("event_id", F.lit("S").alias("station"), F.lit("Z").alias("component"), band.alias("band"), F.lit(False).alias("reject"), F.lit("").alias("reject_reason"))
     o = table(spark, d, "orders")
     even = F.col("o_orderkey") % 2 == 0
     decision = F.when(F.col("o_orderstatus") == "F", F.lit("reject")).when(F.col("o_orderstatus") == "O", F.lit("accept")).otherwise(F.lit("open"))
-    dec = o.select((F.col("o_orderkey") % 5000).cast("string").alias("event_id"), F.lit("S").alias("station"), F.lit("Z").alias("component"), F.when(even, F.lit("band")).otherwise(F.lit("full")).alias("scope_kind"), F.when(even, F.lit("1-2 sec")).otherwise(F.lit("")).alias("scope_label"), decision.alias("decision"), F.lit("by_hand").alias("reason_code"), F.col("o_orderkey").alias("seq"))
+    dec = o.select(F.floor(F.col("o_orderkey") / 8).cast("string").alias("event_id"), F.lit("S").alias("station"), F.lit("Z").alias("component"), F.when(even, F.lit("band")).otherwise(F.lit("full")).alias("scope_kind"), F.when(even, F.lit("1-2 sec")).otherwise(F.lit("")).alias("scope_label"), decision.alias("decision"), F.lit("by_hand").alias("reason_code"), F.col("o_orderkey").alias("seq"))
     return Q.apply_decisions(inv, dec).groupBy("band", "reject").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -620,7 +620,7 @@ def trace_metrics(spark, d):
 def metric_rows_from_waveforms(spark, d):
     """Long metric rows from waveform pairs: filtered, reduced, compared."""
     t = _traces(spark, d).withColumns({"period_min_s": F.lit(0.2), "period_max_s": F.lit(1.0)})
-    return W.calculate(t, ["pair_id", "grp"], metrics=["PGA", "PGV", "CAV", "PSA", "FAS", "original_cc", "traveltime_delay"], periods=[0.25, 0.5, 1.0])
+    return W.calculate(t, ["pair_id", "grp"], metrics=[m for ms in X.METRIC_GROUPS.values() for m in ms], periods=[0.25, 0.5, 1.0])
 
 
 @query()
@@ -653,7 +653,12 @@ def events_in_polygons(spark, d):
     return GE.annotate_points(e, boxes(spark), "event_lat", "event_lon").select("event_id", "region_labels", "region_inside_any")
 
 
-@query()
+_INTO = ", ".join(
+    f"CASE WHEN NOT (event_lon BETWEEN {w} AND {e} AND event_lat BETWEEN {s} AND {n}) AND sta_lon BETWEEN {w} AND {e} AND sta_lat BETWEEN {s} AND {n} THEN '{name}' END" for name, w, e, s, n in _BOXES
+)
+
+
+@query(f"WITH {_RES}, {_PATHS}, l AS (SELECT row_id, concat_ws(';', {_INTO}) AS path_labels FROM paths) SELECT * FROM l WHERE path_labels <> ''")
 def paths_crossing_polygons(spark, d):
     """Paths that enter a polygon from outside."""
     p = _paths(spark, d).select("row_id", "event_lat", "event_lon", "sta_lat", "sta_lon")

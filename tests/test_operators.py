@@ -331,3 +331,100 @@ def test_running_total(spark):
     got = SP.running_total(spark.createDataFrame(pdf), "x", "n", "before").toPandas().sort_values("x")
     want = pdf.sort_values("x").n.cumsum() - pdf.sort_values("x").n
     assert (got.before.to_numpy() == want.to_numpy()).all()
+
+
+def test_permutations_are_bijections(spark):
+    from quakeweave.operators import spatial as SP
+
+    for n in (1, 2, 7, 40):
+        rows = spark.range(n).selectExpr("id AS seat", f"{n} AS n").crossJoin(spark.range(30).selectExpr("id AS run"))
+        got = {}
+        for r in rows.select("seat", "run", SP.permuted("seat", "n", "run", 5).alias("to")).collect():
+            got.setdefault(r["run"], {})[r["seat"]] = r["to"]
+        assert all(sorted(m.values()) == list(range(n)) for m in got.values()) and got[0] == {k: k for k in range(n)}
+        if n == 40:
+            assert len({tuple(m[k] for k in range(n)) for m in got.values()}) == 30
+            # Each seat goes to any other about equally often.
+            assert sum(m[0] == 0 for m in got.values()) <= 5
+
+
+def test_moran_permutation_p_value(spark):
+    from quakeweave.operators import spatial as SP
+
+    rows = [(g, f"s{k:03d}", 33 + 0.05 * (k // 8), -118 + 0.05 * (k % 8), float(k // 8) if g == "smooth" else float((k * 7919) % 13)) for g in ("smooth", "noise") for k in range(64)]
+    df = spark.createDataFrame(rows, "g string, station string, lat double, lon double, v double")
+    got = {r["g"]: r for r in SP.moran_by(df, ["g"], "v", k=4, permutations=99).collect()}
+    assert got["smooth"]["moran_i"] > 0.6 and got["smooth"]["p_two_sided"] == 0.01 and got["noise"]["p_two_sided"] > 0.05 and got["noise"]["n"] == 64
+    one = SP.moran_test(df.where("g = 'smooth'"), "v", k=4).first()
+    assert one["moran_i"] == pytest.approx(got["smooth"]["moran_i"]) and one["moran_i"] == pytest.approx(SP.morans_i(df.where("g = 'smooth'"), "v", k=4).first()["moran_i"])
+    flat = SP.moran_test(df.withColumn("v", F.lit(1.0)), "v", k=4).first()
+    assert flat["moran_i"] is None and flat["p_two_sided"] is None
+
+
+def test_bootstrap_equals_plain_resampling(spark):
+    from quakeweave.operators import spatial as SP
+
+    rng = np.random.default_rng(3)
+    rows = [(f"e{e}", f"s{s}", "A" if s < 6 else "B", float(rng.normal(0.4 * (s < 6), 0.3))) for e in range(15) for s in range(12) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "event_id string, station string, zone string, field_centered double").repartition(3)
+    got = SP.bootstrap_contrast(df, "zone", ["A"], ["B"], samples=200, seed=7).first()
+    keys = {r[0]: r[1] for r in df.select("event_id", F.xxhash64("event_id")).distinct().collect()}
+    names = sorted(keys)
+    w = SP.poisson_weights(np.array([keys[e] for e in names]), 200, 7)
+    assert w[:, 0].tolist() == [1] * 15 and abs(w[:, 1:].mean() - 1) < 0.1 and abs(w[:, 1:].var() - 1) < 0.2
+    d = []
+    for run in range(201):
+        weight = dict(zip(names, w[:, run]))
+        sides = {"A": [], "B": []}
+        for s in sorted({r[1] for r in rows}):
+            own = [(weight[r[0]], r[3], r[2]) for r in rows if r[1] == s and weight[r[0]] > 0]
+            if own:
+                sides[own[0][2]].append(sum(a * b for a, b, _ in own) / sum(a for a, *_ in own))
+        d.append(np.mean(sides["A"]) - np.mean(sides["B"]))
+    assert got["estimate"] == pytest.approx(d[0]) and got["ci_low"] == pytest.approx(np.quantile(d[1:], 0.025)) and got["ci_high"] == pytest.approx(np.quantile(d[1:], 0.975))
+    assert (got["n_left"], got["n_right"], got["n_events"]) == (6, 6, 15) and got["p_value"] < 0.05
+    middle = SP.bootstrap_contrast(df, "zone", ["A"], ["B"], samples=20, seed=7, statistic="median").first()
+    assert abs(middle["estimate"] - d[0]) < 0.2
+    both = SP.bootstrap_contrast(df.withColumn("m", F.lit("x")).unionByName(df.withColumn("m", F.lit("y"))), "zone", ["A"], ["B"], by=["m"], samples=200, seed=7).collect()
+    assert {r["m"] for r in both} == {"x", "y"} and all(r["ci_low"] == pytest.approx(got["ci_low"]) for r in both)
+    assert SP.bootstrap_contrast(df, "zone", ["A"], ["none"]).count() == 0
+
+
+def test_two_sample_bootstrap(spark):
+    from quakeweave.operators import spatial as SP
+
+    df = spark.createDataFrame([(k, "a" if k % 2 else "b", float(k % 2) + 0.1 * (k % 7)) for k in range(400)], "row_id bigint, g string, v double")
+    r = SP.bootstrap_difference(df, "v", "g", "a", "b", samples=300).first()
+    assert r["estimate"] == pytest.approx(1.0, abs=0.02) and 0.9 < r["ci_low"] < r["estimate"] < r["ci_high"] < 1.1 and r["p_value"] == 0 and r["n_left"] == r["n_right"] == 200
+    assert SP.bootstrap_difference(df, "v", "g", "a", "none").count() == 0
+
+
+def test_pairs_and_neighbours_everywhere_on_the_globe(spark):
+    from quakeweave.operators import spatial as SP
+    from quakeweave.operators.proximity import haversine_np
+
+    rng = np.random.default_rng(2)
+    pos = [(f"s{k:03d}", float(rng.uniform(-10, 10)), float((180 + rng.uniform(-2, 2) + 180) % 360 - 180)) for k in range(40)] + [(f"p{k:03d}", float(rng.uniform(86, 90)), float(rng.uniform(-180, 180))) for k in range(30)]
+    df = spark.createDataFrame([("e", *p, 1.0) for p in pos], "event_id string, station string, lat double, lon double, field_centered double")
+    far = lambda a, b: float(haversine_np(a[1], a[2], b[1], b[2]))
+    got = {(r["station"], r["station_b"]) for r in SP.station_pairs(df, max_km=300).collect()}
+    assert got == {tuple(sorted((a[0], b[0]))) for i, a in enumerate(pos) for b in pos[:i] if far(a, b) <= 300}
+    near = {}
+    for r in SP.nearest_neighbours(df, 3).collect():
+        near.setdefault(r["station"], []).append((r["rank"], r["neighbour"]))
+    for a in pos:
+        want = [n for _, n in sorted((round(far(a, b), 6), b[0]) for b in pos if b is not a)[:3]]
+        assert [n for _, n in sorted(near[a[0]])] == want
+
+
+def test_names_are_preferred_in_order(spark):
+    from quakeweave.operators import normalize as N
+
+    both = spark.createDataFrame([("A", "B", "E1", "E2", "S1", "S2", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, "N1", "N2")], "model string, simulation_model string, event_title string, event_id string, station_name string, station string, station_latitude double, lat double, longitude double, lon double, source_latitude double, log2_residual double, network_code string, station_network string")
+    r = N.metric_field(both).first()
+    assert (r["model"], r["event_id"], r["station"], r["lat"], r["lon"], r["event_lat"]) == ("B", "E1", "S1", 1.0, 3.0, 5.0)
+    s = N.stations(both).first()
+    assert (s["network"], s["station"], s["lat"], s["lon"]) == ("N2", "S2", 2.0, 4.0)
+    old = spark.createDataFrame([("E", "S", 1.0, 2.0, 3.0, 4.0, 0.5)], "Event string, Station string, sta_lat double, sta_lon double, hypocenter_latitude double, hypocenter_longitude double, log2_residual double")
+    r = N.metric_field(old).first()
+    assert (r["event_id"], r["event_name"], r["station"], r["event_lat"], r["event_lon"]) == ("E", "E", "S", 3.0, 4.0)
