@@ -149,7 +149,7 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """For each of those percentiles whether it keeps its promise: the true one lies within the bounds, which span at most 4 % of the ranks.
+    """For each of those percentiles whether it keeps its promise: the true one lies within the bounds, which span at most 4 % of the ranks (12 ranks in small groups).
 
     By counting the values below the bounds: one row per group, percentile and task is shuffled.
     """
@@ -160,7 +160,7 @@ def p1_percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
     c = rows.join(one, ["model", "band"]).groupBy("model", "band", "q", "at", "n").agg(F.count_if(F.col("v") < F.col("lower")).alias("below"), F.count_if(F.col("v") <= F.col("upper")).alias("to"), F.count(F.lit(1)).alias("rows"))
     place = F.col("at") * (F.col("n") - 1)
     within = (F.col("rows") == F.col("n")) & (F.col("below") <= F.floor(place)) & (F.col("to") > F.ceil(place))
-    return c.select("model", "band", F.col("q").alias("percentile"), "n", within.alias("within"), ((F.col("to") - F.col("below")) <= F.greatest(0.04 * F.col("n"), F.lit(4))).alias("narrow"))
+    return c.select("model", "band", F.col("q").alias("percentile"), "n", within.alias("within"), ((F.col("to") - F.col("below")) <= F.greatest(0.04 * F.col("n"), F.lit(12))).alias("narrow"))
 
 
 # ------------------------------------------------------------------------- p4
