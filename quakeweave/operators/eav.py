@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quakeweave.operators.metrics import reattach
+from quakeweave.runtime import cut_lineage
+
 RESOLUTIONS = ("latest", "earliest", "max", "min", "mean")
+#: More columns than these are made in blocks, as one aggregation of thousands is neither compiled nor small in memory.
+BLOCK_COLUMNS = 400
 
 
 @dataclass(frozen=True)
@@ -40,7 +45,8 @@ def discover_attributes(df: DataFrame, attribute: str, values: list[str], max_at
     numbers ``double``, else it stays ``string``; other columns keep their type. Rows
     without an attribute are left out. The result has one entry per attribute, so it is
     a list of column names; beyond ``max_attributes`` a wide table is no longer useful
-    and ValueError is raised rather than a part being dropped.
+    and ValueError is raised rather than a part being dropped. ``reduce_cells`` gives the
+    same cells as rows, for any number of attributes.
     """
     fields = df.schema
     aggs, at = [F.count(F.lit(1)).alias("n")], {}
@@ -156,6 +162,8 @@ def widen(
     suffixes = suffixes if suffixes is not None else ([""] if len(values) == 1 else list(values))
     names = wide_names(attributes, suffixes, [*entity, *_OWN])
     cells = reduce_cells(df, entity, attribute, values, order, resolution=resolution, tolerance=tolerance)
+    if len(attributes) * len(values) > BLOCK_COLUMNS:
+        return _in_blocks(cells, entity, attribute, values, attributes, names)
     aggs = []
     for a in attributes:
         here = F.col(attribute) == F.lit(a.name)
@@ -165,3 +173,23 @@ def widen(
     flags = [F.when(F.max(F.when(F.col(attribute) == F.lit(a.name), F.col("__conflict"))), F.lit(a.name)) for a in attributes]
     named = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
     return cells.groupBy(*entity).agg(*aggs, F.count(F.lit(1)).alias("n_attributes"), F.sum("__rows").alias("n_rows"), named.alias("conflicts"))
+
+
+def _in_blocks(cells: DataFrame, entity: list[str], attribute: str, values: list[str], attributes: list[Attribute], names: dict[str, list[str]]) -> DataFrame:
+    """The wide table in blocks of columns, each made from its own attributes' cells and joined by entity."""
+    cells = cut_lineage(cells, "cells")
+    conflicts = F.sort_array(F.collect_list(F.when(F.col("__conflict") & F.col(attribute).isin(*[a.name for a in attributes]), F.col(attribute))))
+    out = cells.groupBy(*entity).agg(F.count(F.lit(1)).alias("n_attributes"), F.sum("__rows").alias("n_rows"), conflicts.alias("conflicts"))
+    size = max(1, BLOCK_COLUMNS // len(values))
+    for k in range(0, len(attributes), size):
+        block = attributes[k : k + size]
+        aggs = []
+        for a in block:
+            here = F.col(attribute) == F.lit(a.name)
+            for v, kind, name in zip(values, a.types, names[a.name]):
+                value = F.max(F.when(here, F.col(v)))
+                aggs.append((value if kind == "string" else value.try_cast(kind)).alias(name))
+        own = cells.where(F.col(attribute).isin(*[a.name for a in block])).groupBy(*entity).agg(*aggs)
+        out = reattach(out, cut_lineage(own, "block"), entity)
+    ordered = [n for a in attributes for n in names[a.name]]
+    return out.select(*entity, *[F.col(f"`{n}`") for n in ordered], *_OWN)

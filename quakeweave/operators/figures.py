@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from quakeweave.functions.geodesy import haversine_km
 from quakeweave.functions.labels import finite, present
 from quakeweave.functions.traces import normalized
-from quakeweave.operators.metrics import existing, pivot_statistic, reattach
+from quakeweave.operators.metrics import aggregate, existing, pivot_statistic, reattach
 from quakeweave.operators.spatial import fit_curve
 from quakeweave.runtime import cut_lineage
 
@@ -47,7 +47,7 @@ def fitted_curves(df: DataFrame, x: str, y: str, groups: list[str], method: str
 def box_statistics(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR, count and outliers per group."""
     v = finite(value)
-    q = df.groupBy(*groups).agg(*[F.percentile(v, F.lit(p)).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))], F.count(v).alias("n"))
+    q = aggregate(df, groups, [F.count(v).alias("n")], {"q25": (v, 0.25), "median": (v, 0.5), "q75": (v, 0.75)})
     inside = v.between(F.col("q25") - 1.5 * (F.col("q75") - F.col("q25")), F.col("q75") + 1.5 * (F.col("q75") - F.col("q25")))
     w = reattach(df, q, groups).groupBy(*groups).agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(v.isNotNull() & ~inside).alias("outliers"))
     return reattach(q, w, groups)

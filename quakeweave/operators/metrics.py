@@ -6,8 +6,8 @@ here such a key is pre-aggregated and its rows stay where they are (AQE broadcas
 statistics if they are small and splits skewed keys otherwise).
 
 Where the summaries keep NULL group keys (as they do unless said otherwise), NULL is a
-group of its own. Medians and percentiles are exact by default; ``exact=False`` uses
-mergeable summaries of bounded size, for groups of billions of rows.
+group of its own. Medians and percentiles are exact by default, and selected in two passes
+where the input is large (see ``aggregate``); ``exact=False`` uses mergeable summaries of bounded size.
 """
 
 from __future__ import annotations
@@ -21,14 +21,72 @@ from pyspark.sql import functions as F
 from quakeweave.functions import residuals as R
 from quakeweave.functions.geodesy import add_path_geometry, grid_cell
 from quakeweave.functions.labels import finite, present
+from quakeweave.runtime import cut_lineage
 
 
-def quantile(c: Column | str, q: float, exact: bool = True) -> Column:
-    return F.percentile(c, F.lit(q)) if exact else F.percentile_approx(c, q, 10_000)
+#: Inputs of more bytes (of their files, as Spark knows them) get their quantiles by selection, others from one buffer per group.
+SELECT_BYTES = 128 * 1024 * 1024
+#: Ranks of the mergeable summaries that narrow a selection are right to one in so many.
+ACCURACY = 10_000
 
 
-def iqr(c: Column | str, exact: bool = True) -> Column:
-    return quantile(c, 0.75, exact) - quantile(c, 0.25, exact)
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that a frame's plan reads, by the statistics of its sources; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
+def aggregate(df: DataFrame, by: list[str], aggs: list[Column], quantiles: dict[str, tuple[Column, float]], *, exact: bool = True, select_bytes: int | None = None) -> DataFrame:
+    """One row per group with aggregates and quantiles (NULL left out, linear between two ranks).
+
+    Exact quantiles of small inputs come from Spark's ``percentile``, which keeps every
+    different value of a group. Those of large inputs are selected in two passes: a mergeable
+    summary of bounded size narrows each quantile to a few ranks, then only the values there
+    are counted, so that no group's values are ever in one place. Both give the same.
+    Otherwise (``exact=False``) they come from the summary itself.
+    """
+    if not exact:
+        return df.groupBy(*by).agg(*aggs, *[F.percentile_approx(c, q, ACCURACY).alias(n) for n, (c, q) in quantiles.items()])
+    if input_bytes(df) <= (SELECT_BYTES if select_bytes is None else select_bytes):
+        return df.groupBy(*by).agg(*aggs, *[F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in quantiles.items()])
+    return _selected(df, by, aggs, quantiles)
+
+
+def _selected(df: DataFrame, by: list[str], aggs: list[Column], quantiles: dict[str, tuple[Column, float]]) -> DataFrame:
+    wanted = list(quantiles.items())
+    slack = 1.5 / ACCURACY
+    ends = [F.percentile_approx(c.cast("double"), F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), ACCURACY).alias(f"__e{k}") for k, (_, (c, q)) in enumerate(wanted)]
+    sizes = [F.count(c.cast("double")).alias(f"__n{k}") for k, (_, (c, _)) in enumerate(wanted)]
+    stats = cut_lineage(df.groupBy(*by).agg(*aggs, *ends, *sizes), "ranges")
+    values = df.select(*by, *[c.cast("double").alias(f"__v{k}") for k, (_, (c, _)) in enumerate(wanted)])
+    bounds = [c for k in range(len(wanted)) for c in (f"__e{k}",)]
+    rows = reattach(values, stats.select(*by, *bounds), by, "inner") if by else values.crossJoin(F.broadcast(stats.select(*bounds)))
+    value, low, high = (lambda k: F.col(f"__v{k}")), (lambda k: F.col(f"__e{k}")[0]), (lambda k: F.col(f"__e{k}")[1])
+    # How many values lie below each range, and the nearest ones outside it.
+    outside = [f for k in range(len(wanted)) for f in (F.count_if(value(k) < low(k)).alias(f"__b{k}"), F.max(F.when(value(k) < low(k), value(k))).alias(f"__l{k}"), F.min(F.when(value(k) > high(k), value(k))).alias(f"__h{k}"))]
+    around = rows.groupBy(*by).agg(*outside)
+    # The values inside, each with how often it occurs: ties are counted where they are read.
+    picks = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), value(k).alias("v"), value(k).between(low(k), high(k)).alias("in")) for k in range(len(wanted))]), lambda x: x["in"])
+    inside = rows.select(*by, F.explode(picks).alias("p")).groupBy(*by, F.col("p.k").alias("__k"), F.col("p.v").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    listed = inside.groupBy(*by).agg(*[F.array_sort(F.collect_list(F.when(F.col("__k") == k, F.struct(F.col("__v").alias("v"), F.col("__n").alias("n"))))).alias(f"__i{k}") for k in range(len(wanted))])
+    every = stats
+    for part in (around, listed):
+        every = reattach(every, part, by) if by else every.crossJoin(part)
+
+    def at(k: int, rank: Column) -> Column:
+        # The value whose stretch of ranks holds the wanted one.
+        step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when((acc["v"].isNull()) & (acc["seen"] + x["n"] > rank - F.col(f"__b{k}")), x["v"]).otherwise(acc["v"]).alias("v"))
+        found = F.aggregate(f"__i{k}", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v")), step)["v"]
+        return F.when(rank < F.col(f"__b{k}"), F.col(f"__l{k}")).otherwise(F.coalesce(found, F.col(f"__h{k}")))
+
+    out = []
+    for k, (name, (_, q)) in enumerate(wanted):
+        place = (F.col(f"__n{k}") - 1) * F.lit(float(q))
+        first = F.floor(place).cast("bigint")
+        a, b = at(k, first), at(k, F.ceil(place).cast("bigint"))
+        out.append(F.when(F.col(f"__n{k}") > 0, a + (b - a) * (place - first)).alias(name))
+    internal = {f"__{c}{k}" for c in "enblhi" for k in range(len(wanted))}
+    return every.select(*[c for c in every.columns if c not in internal], *out)
 
 
 def existing(df: DataFrame, names: list[str]) -> list[str]:
@@ -96,15 +154,15 @@ def summarize(df: DataFrame, value: str, groups: list[str], *, exact: bool = Tru
     """Count, mean, median, standard deviation and interquartile range of the finite values per group."""
     v = finite(value)
     by = existing(df, groups)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), quantile(v, 0.5, exact).alias("median"), F.stddev_samp(v).alias("std"), iqr(v, exact).alias("iqr"))
+    got = aggregate(df, by, [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")], {"median": (v, 0.5), "__q1": (v, 0.25), "__q3": (v, 0.75)}, exact=exact)
+    return got.select(*by, "n", "mean", "median", "std", (F.col("__q3") - F.col("__q1")).alias("iqr"))
 
 
 def summarize_scores(df: DataFrame, groups: list[str], scores: list[str], *, exact: bool = True) -> DataFrame:
-    aggs = []
-    for s in scores:
-        v = finite(s)
-        aggs += [F.avg(v).alias(f"{s}_mean"), quantile(v, 0.5, exact).alias(f"{s}_median"), F.stddev_samp(v).alias(f"{s}_std"), F.count(v).alias(f"{s}_count")]
-    return df.groupBy(*existing(df, groups)).agg(*aggs)
+    by = existing(df, groups)
+    aggs = [f for s in scores for f in (F.avg(finite(s)).alias(f"{s}_mean"), F.stddev_samp(finite(s)).alias(f"{s}_std"), F.count(finite(s)).alias(f"{s}_count"))]
+    got = aggregate(df, by, aggs, {f"{s}_median": (finite(s), 0.5) for s in scores}, exact=exact)
+    return got.select(*by, *[f"{s}_{k}" for s in scores for k in ("mean", "median", "std", "count")])
 
 
 def group_means(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -128,9 +186,9 @@ def path_table(df: DataFrame, value: str = "residual") -> DataFrame:
 
 def path_bins(df: DataFrame, groups: list[str], value: str = "residual", *, distance_km: float = 10.0, azimuth_deg: float = 30.0, exact: bool = True) -> DataFrame:
     binned = df.withColumns({"distance_bin_km": grid_cell("distance_km", distance_km), "azimuth_bin_deg": grid_cell(F.pmod(finite("azimuth_deg"), F.lit(360.0)), azimuth_deg)})
-    return binned.groupBy(*existing(df, groups), "distance_bin_km", "azimuth_bin_deg").agg(
-        F.avg(finite(value)).alias("mean_residual"), quantile(finite(value), 0.5, exact).alias("median_residual"), F.count(F.lit(1)).alias("n")
-    )
+    by = [*existing(df, groups), "distance_bin_km", "azimuth_bin_deg"]
+    got = aggregate(binned, by, [F.avg(finite(value)).alias("mean_residual"), F.count(F.lit(1)).alias("n")], {"median_residual": (finite(value), 0.5)}, exact=exact)
+    return got.select(*by, "mean_residual", "median_residual", "n")
 
 
 # Value columns of a dashboard summary, the first present one of a row counting.
@@ -142,25 +200,34 @@ def summary_value(df: DataFrame) -> Column:
     return F.coalesce(*[finite(c) for c in found]) if found else F.lit(None).cast("double")
 
 
-def _medians(df: DataFrame, exact: bool) -> list[Column]:
+def _medians(df: DataFrame) -> dict[str, tuple[Column, float]]:
     names = {"residual": "med_resid", "score": "med_score"}
-    return [quantile(finite(c), 0.5, exact).alias(names.get(c, f"med_{c}")) for c in existing(df, list(SUMMARY_VALUES))]
+    return {names.get(c, f"med_{c}"): (finite(c), 0.5) for c in existing(df, list(SUMMARY_VALUES))}
 
 
 def dashboard_cubes(df: DataFrame, *, distance_km: float = 10.0, azimuth_deg: float = 10.0, exact: bool = True) -> dict[str, DataFrame]:
     """The four dashboard summaries: by model, metric and band; by station; by event; by path bin."""
     base = ["model", "metric", "band", "component"]
     n = F.count(F.lit(1)).alias("n")
-    far = [quantile(finite("distance_km"), 0.5, exact).alias("med_dist_km")] if "distance_km" in df.columns else [F.count(F.lit(1)).alias("med_dist_km")]
-    meds = _medians(df, exact)
+    meds = _medians(df)
+    has_far = "distance_km" in df.columns
+    far = {"med_dist_km": (finite("distance_km"), 0.5)} if has_far else {}
+    # Without distances the column counts the rows.
+    rows = [n] if has_far else [n, F.count(F.lit(1)).alias("med_dist_km")]
+
+    def cube(frame: DataFrame, keys: list[str], aggs: list[Column], quantiles: dict[str, tuple[Column, float]], order: list[str]) -> DataFrame:
+        by = existing(frame, keys)
+        return aggregate(frame, by, aggs, quantiles, exact=exact).select(*by, *order)
+
+    overall = aggregate(df, existing(df, base), [n], {"__q1": (summary_value(df), 0.25), "__q3": (summary_value(df), 0.75), **meds}, exact=exact)
     out = {
-        "model_metric_band": df.groupBy(*existing(df, base)).agg(iqr(summary_value(df), exact).alias("IQR"), n, *meds),
-        "station_rollup": df.groupBy(*existing(df, ["station", "sta_lat", "sta_lon", "Vs30", "vs30", "geology_class", *base])).agg(*far, n, *meds),
-        "event_rollup": df.groupBy(*existing(df, ["event_id", "event_lat", "event_lon", "magnitude", "event_magnitude", *base])).agg(*far, n, *meds),
+        "model_metric_band": overall.select(*existing(df, base), (F.col("__q3") - F.col("__q1")).alias("IQR"), "n", *meds),
+        "station_rollup": cube(df, ["station", "sta_lat", "sta_lon", "Vs30", "vs30", "geology_class", *base], rows, far | meds, ["med_dist_km", "n", *meds]),
+        "event_rollup": cube(df, ["event_id", "event_lat", "event_lon", "magnitude", "event_magnitude", *base], rows, far | meds, ["med_dist_km", "n", *meds]),
     }
     if {"distance_km", "azimuth_deg"} <= set(df.columns):
         binned = df.withColumns({"dist_bin_km": grid_cell("distance_km", distance_km), "az_bin_deg": grid_cell(F.pmod(finite("azimuth_deg"), F.lit(360.0)), azimuth_deg)})
-        out["path_hex"] = binned.groupBy(*existing(df, base), "dist_bin_km", "az_bin_deg").agg(n, *meds)
+        out["path_hex"] = cube(binned, [*base, "dist_bin_km", "az_bin_deg"], [n], meds, ["n", *meds])
     return out
 
 
@@ -176,7 +243,10 @@ def pivot_statistic(df: DataFrame, rows: str, columns: str, value: str, how: str
         wanted = [r[0] for r in df.select(columns).distinct().where(F.col(columns).isNotNull()).orderBy(columns).limit(10_001).collect()]
         if len(wanted) > 10_000:
             raise ValueError("too many columns")
-    make = {"median": lambda c: F.percentile(c, F.lit(0.5)), "mean": F.avg, "count": F.count, "max": F.max, "min": F.min, "sum": F.sum}
+    if how == "median":
+        cells = aggregate(df, [rows, columns], [], {"__median": (finite(value), 0.5)})
+        return cells.groupBy(rows).pivot(columns, wanted).agg(F.max("__median"))
+    make = {"mean": F.avg, "count": F.count, "max": F.max, "min": F.min, "sum": F.sum}
     return df.groupBy(rows).pivot(columns, wanted).agg(make[how](finite(value) if how != "count" else F.col(value)))
 
 
@@ -186,7 +256,7 @@ def histogram(df: DataFrame, value: str, bins: int = 40, *, clip: bool = False,
     if bounds:
         v = v.where(F.col("v").between(*bounds))
     if clip:
-        q = v.agg(F.percentile("v", F.lit(0.25)).alias("a"), F.percentile("v", F.lit(0.75)).alias("b"))
+        q = aggregate(v, [], [], {"a": (F.col("v"), 0.25), "b": (F.col("v"), 0.75)})
         v = v.crossJoin(F.broadcast(q)).where(F.col("v").between(F.col("a") - 1.5 * (F.col("b") - F.col("a")), F.col("b") + 1.5 * (F.col("b") - F.col("a")))).select("v")
     ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -244,9 +314,8 @@ def station_bias(centred: DataFrame, *, value: str = "field_centered", groups: l
     by = [*(groups or []), "station"]
     v = finite(value)
     rows = centred.where(F.col("station").isNotNull() & v.isNotNull())
-    s = rows.groupBy(*by).agg(
-        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count_distinct("event_id").alias("n_events"), F.avg(v).alias("mean_centered"), quantile(v, 0.5, exact).alias("median_centered"), F.stddev_samp(v).alias("std_centered")
-    )
+    aggs = [F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count_distinct("event_id").alias("n_events"), F.avg(v).alias("mean_centered"), F.stddev_samp(v).alias("std_centered")]
+    s = aggregate(rows, by, aggs, {"median_centered": (v, 0.5)}, exact=exact).select(*by, "lat", "lon", "n_events", "mean_centered", "median_centered", "std_centered")
     sem = F.col("std_centered") / F.sqrt(F.greatest(F.col("n_events"), F.lit(1)))
     out = s.where(F.col("n_events") >= least_events).withColumn("sem_centered", sem)
     return out.withColumns({"abs_mean": F.abs("mean_centered"), "z_score": F.when(F.col("sem_centered") > 0, F.col("mean_centered") / F.col("sem_centered"))})

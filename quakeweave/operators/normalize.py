@@ -75,6 +75,20 @@ METRIC_NAMES = {
     "event_lat": ("event_latitude", "event_lat", "source_latitude", "source_lat", "hypocenter_latitude", "origin_latitude"),
     "event_lon": ("event_longitude", "event_lon", "source_longitude", "source_lon", "hypocenter_longitude", "origin_longitude"),
 }
+#: The names in tables that are long already, with a column ``metric``.
+LONG_METRIC_NAMES = {
+    "model": ("model", "model_name", "simulation_model"),
+    "band": ("band", "passband", "simulation_band"),
+    "component": ("component", "station_component"),
+    "event_id": ("event_id", "event_title"),
+    "event_name": ("event_name", "event_id", "event_title"),
+    "event_magnitude": ("event_magnitude", "magnitude", "Mw"),
+    "station": ("station", "station_name"),
+    "lat": ("lat", "sta_lat", "station_lat", "station_latitude"),
+    "lon": ("lon", "sta_lon", "station_lon", "station_longitude"),
+    "event_lat": ("event_lat", "event_latitude"),
+    "event_lon": ("event_lon", "event_longitude"),
+}
 PICK_NAMES = {
     "event_id": ("event_id", "event", "id"),
     "station": ("station", "station_code", "sta"),
@@ -164,7 +178,8 @@ def metric_field(df: DataFrame, *, value: str | None = None, metric: str | None
     else its score, else ``log2_residual`` of a long one. Rows without value, event, station or
     position are left out.
     """
-    names = resolve(df, METRIC_NAMES)
+    wide = bool(metric) and {f"{metric}_obs", f"{metric}_syn"} <= set(df.columns)
+    names = resolve(df, LONG_METRIC_NAMES if "metric" in df.columns and not wide else METRIC_NAMES)
     if missing := [r for r in ("event_id", "station", "lat", "lon") if names[r] is None]:
         raise ValueError(f"no column for {', '.join(missing)}")
     if value:
@@ -213,7 +228,7 @@ def standard_metrics(df: DataFrame, *, residual: str | None = None, score: str |
     A residual or score column that is empty throughout is replaced by the first of its
     substitutes that is not; one pass counts them all.
     """
-    names = resolve(df, {k: METRIC_NAMES[k] for k in ("model", "band", "component")})
+    names = resolve(df, {k: LONG_METRIC_NAMES[k] for k in ("model", "band", "component")})
     out = df
     for want, have in names.items():
         c = base_col(df, names, want) if have else F.lit(None).cast("string")

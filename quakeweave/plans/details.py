@@ -363,7 +363,7 @@ def corridor_events(spark, d):
 @query(
     f"""WITH {_RES}, {_CENTRE}, x AS (SELECT station, CASE mapped_region_type WHEN 'ASIA' THEN 1 WHEN 'EUROPE' THEN -1 END AS side, event_id, avg(field_centered) AS v FROM c JOIN v_stations USING (station) GROUP BY ALL),
 m AS (SELECT side, station, avg(v) AS m FROM x WHERE side IS NOT NULL GROUP BY ALL), n AS (SELECT count(DISTINCT event_id) AS n_events FROM x WHERE side IS NOT NULL)
-SELECT {r6("avg(m) FILTER (side = 1) - avg(m) FILTER (side = -1)")} AS estimate, count(*) FILTER (side = 1) AS n_left, count(*) FILTER (side = -1) AS n_right, any_value(n_events) AS n_events FROM m, n"""
+SELECT {r6("avg(m) FILTER (side = 1) - avg(m) FILTER (side = -1)")} AS estimate, count(*) FILTER (side = 1) AS n_left, count(*) FILTER (side = -1) AS n_right, any_value(n_events) AS n_events FROM m, n HAVING n_left >= 3 AND n_right >= 3 AND any_value(n_events) >= 2"""
 )
 def region_contrast_estimate(spark, d):
     """The contrast of two regions' station means, without its interval."""

@@ -94,6 +94,14 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
     return eav.widen(_attribute_rows(spark, d), ENTITY, "attribute_name", ["obs", "syn"], ["loaded_at", "row_id"], tolerance=TOLERANCE)
 
 
+def p3_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table's cells as rows again, with what it says of each entity: every value of it can be compared."""
+    wide = p3_wide(spark, d)
+    cells = [c for c in wide.columns if c not in (*ENTITY, "n_attributes", "n_rows", "conflicts")]
+    long = wide.withColumn("n_conflicts", F.size("conflicts")).unpivot([*ENTITY, "n_attributes", "n_rows", "n_conflicts"], cells, "cell", "value")
+    return long.where(F.col("value").isNotNull())
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The cells of the wide table for which the rows disagree."""
     return p3_wide(spark, d).select(*ENTITY, F.explode("conflicts").alias("attribute_name"))
@@ -144,6 +152,17 @@ SELECT event_id, station, component, model, band, attribute_name FROM a
 WHERE event_id IS NOT NULL AND station IS NOT NULL AND component IS NOT NULL AND model IS NOT NULL AND band IS NOT NULL AND attribute_name IS NOT NULL
 GROUP BY ALL HAVING (count(o) >= 2 AND max(o) > 1.005 * min(o)) OR (count(s) >= 2 AND max(s) > 1.005 * min(s))"""
 
+P3_CELLS_SQL = f"""
+WITH {SQL_KEYS},
+a AS (SELECT *, CASE WHEN metric IN ('PSA','FAS') THEN metric || '@' || printf('%.2f', period_s) ELSE metric END AS attribute_name, CASE WHEN isfinite(value_obs) THEN value_obs END AS o, CASE WHEN isfinite(value_syn) THEN value_syn END AS s FROM rows_),
+k AS (SELECT * FROM a WHERE event_id IS NOT NULL AND station IS NOT NULL AND component IS NOT NULL AND model IS NOT NULL AND band IS NOT NULL AND attribute_name IS NOT NULL),
+c AS (SELECT event_id, station, component, model, band, attribute_name, arg_max(o, {{'t': loaded_at, 'r': row_id}}) AS obs, arg_max(s, {{'t': loaded_at, 'r': row_id}}) AS syn, count(*) AS n,
+  (count(o) FILTER (o > 0) >= 2 AND max(o) FILTER (o > 0) > 1.005 * min(o) FILTER (o > 0)) OR (count(s) FILTER (s > 0) >= 2 AND max(s) FILTER (s > 0) > 1.005 * min(s) FILTER (s > 0)) AS bad FROM k GROUP BY ALL),
+e AS (SELECT event_id, station, component, model, band, count(*) AS n_attributes, CAST(sum(n) AS BIGINT) AS n_rows, CAST(count(*) FILTER (bad) AS INTEGER) AS n_conflicts FROM c GROUP BY ALL),
+v AS (SELECT *, trim(regexp_replace(replace(lower(attribute_name), '.', 'p'), '[^a-z0-9_]+', '_', 'g'), '_') AS token FROM c)
+SELECT event_id, station, component, model, band, n_attributes, n_rows, n_conflicts, token || '_obs' AS cell, obs AS value FROM v JOIN e USING (event_id, station, component, model, band) WHERE obs IS NOT NULL
+UNION ALL SELECT event_id, station, component, model, band, n_attributes, n_rows, n_conflicts, token || '_syn', syn FROM v JOIN e USING (event_id, station, component, model, band) WHERE syn IS NOT NULL"""
+
 _P5_BODY = f"""
 WITH {SQL_KEYS},
 parents AS (
@@ -180,5 +199,5 @@ UNION ALL SELECT 'row_region', row_id, region_id FROM rws JOIN within USING (lat
   WHERE CASE WHEN lower(trim(region_name)) IN ('nan','none','null') THEN '' ELSE coalesce(regexp_replace(lower(region_name), '[^a-z0-9]', '', 'g'), '') END <> name
 UNION ALL SELECT 'lab_edge', site_id, (SELECT min(region_id) FROM region_rings WHERE region_code = 'LAB') FROM dist WHERE isnan(stated) OR abs(stated - km) > 1 + 0.1 * km"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_wide": p3_wide, "p5_found": p5_found, "p5_counts": p5_counts}
-SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p5_counts": P5_COUNTS_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p3_wide": p3_wide, "p3_cells": p3_cells, "p5_found": p5_found, "p5_counts": p5_counts}
+SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_cells": P3_CELLS_SQL, "p5_found": P5_SQL, "p5_counts": P5_COUNTS_SQL}

@@ -54,3 +54,21 @@ def test_attributes_named_like_other_columns(spark):
     assert len({c.lower() for c in wide.columns}) == len(wide.columns) == 8
     r = wide.first()
     assert r["e"] == "1" and r["e_2"] == 1.0 and r["e_2_2"] == 3.0 and r["conflicts_2"] == 2.0 and r["unnamed"] == 4.0
+
+
+def test_blocks_of_columns_equal_one_table(spark, monkeypatch):
+    rows = [(str(k % 5) if k % 7 else None, f"m{(k * k) % 23:02d}", str(k % 11), k % 13) for k in range(600)]
+    df = table(spark, rows)
+    one = eav.widen(df, ["e"], "a", ["v", "t"], ["t"])
+    monkeypatch.setattr(eav, "BLOCK_COLUMNS", 6)
+    two = eav.widen(df, ["e"], "a", ["v", "t"], ["t"])
+    assert one.columns == two.columns and one.dtypes == two.dtypes
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_thousands_of_attributes(spark):
+    df = spark.range(6_000).selectExpr("CAST(id % 2 AS STRING) AS e", "concat('m', id DIV 2) AS a", "id * 1D AS v", "1 AS t")
+    wide = eav.widen(df, ["e"], "a", ["v"], ["t"])
+    assert len(wide.columns) == 3_004
+    got = {r["e"]: r for r in wide.collect()}
+    assert got["1"]["m2999"] == 5_999 and got["0"]["m7"] == 14 and got["0"]["n_attributes"] == 3_000 and got["1"]["conflicts"] == []

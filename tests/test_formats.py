@@ -149,3 +149,37 @@ def test_orphans_over_a_stream(spark, tmp_path):
         q.awaitTermination(120)
         assert q.exception() is None
     assert {r["row_id"] for r in O.OrphanTracker(spark, state).snapshot().collect()} == {2, 3}
+
+
+def test_motion_of_a_wave_packet():
+    dt = 0.01
+    t = np.arange(0, 40, dt)
+    w = 2 * np.pi * 2
+    packet = np.exp(-(((t - 20) / 4) ** 2))
+    x = packet * np.sin(w * t)
+    # Slowly varying, so that integrals divide by the frequency.
+    assert K.peak(x) == pytest.approx(1, abs=0.01) and K.pgv(x, dt) == pytest.approx(1 / w, rel=0.02) and K.pgd(x, dt) == pytest.approx(1 / w**2, rel=0.02)
+    assert K.energy_intensity(x, dt) == pytest.approx(K.trapezoid(packet**2, dt) / 2 / w**2, rel=0.02)
+    # 5 to 95 % of a Gaussian of deviation 4 / 2.
+    assert K.energy_duration(x, dt) == pytest.approx(2 * 1.645 * 2, rel=0.05) and K.significant_duration(x**2, dt, 0.16, 0.84) == pytest.approx(4, rel=0.05)
+    assert K.peak(np.r_[9.0, np.zeros(198), 9.0]) == 0 and K.peak([]) == 0 and np.isnan(K.significant_duration(np.zeros(5), dt))
+
+
+def test_small_choices(spark, tmp_path):
+    from quakeweave.operators import metrics as M
+    from quakeweave.plans import config as C
+    from quakeweave.sources import tables as TB
+    from quakeweave.sources import waveforms as WF
+
+    df = spark.createDataFrame([("N", "B", None, 1.0), ("N", "A", 2.0, 1.0), ("N", "A", 2.0, 1.0)], "network string, station string, x double, y double")
+    assert [tuple(r) for r in WF.stations_of(df).collect()] == [("N", "A"), ("N", "B")]
+    # A choice for the whole table, not for each row.
+    assert [r[0] for r in df.select(M.first_existing(df, ["none", "x", "y"])).collect()] == [None, 2.0, 2.0]
+    assert [r[0] for r in df.select(M.first_existing(df, ["none"], 7)).collect()] == [7, 7, 7]
+    assert C.resolve_path("{root}/a", base="b", root=tmp_path) == tmp_path / "a" and C.resolve_path("a", base=tmp_path) == tmp_path / "a"
+    with pytest.raises(FileNotFoundError):
+        C.resolve_path("a", base=tmp_path, must_exist=True)
+    registry = TB.ArtifactRegistry(tmp_path / "registry.jsonl")
+    assert registry.frame(spark).count() == 0 and registry.missing() == []
+    registry.record(str(tmp_path / "gone.csv"), kind="table", name="gone")
+    assert registry.frame(spark).first()["name"] == "gone" and len(registry.missing()) == 1

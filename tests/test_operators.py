@@ -425,6 +425,34 @@ def test_names_are_preferred_in_order(spark):
     assert (r["model"], r["event_id"], r["station"], r["lat"], r["lon"], r["event_lat"]) == ("B", "E1", "S1", 1.0, 3.0, 5.0)
     s = N.stations(both).first()
     assert (s["network"], s["station"], s["lat"], s["lon"]) == ("N2", "S2", 2.0, 4.0)
+    r = N.metric_field(both.withColumn("metric", F.lit("PGA"))).first()
+    assert (r["model"], r["event_id"], r["station"], r["lat"], r["lon"]) == ("A", "E2", "S2", 2.0, 4.0)
     old = spark.createDataFrame([("E", "S", 1.0, 2.0, 3.0, 4.0, 0.5)], "Event string, Station string, sta_lat double, sta_lon double, hypocenter_latitude double, hypocenter_longitude double, log2_residual double")
     r = N.metric_field(old).first()
     assert (r["event_id"], r["event_name"], r["station"], r["event_lat"], r["event_lon"]) == ("E", "E", "S", 3.0, 4.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 1000, 60_000])
+def test_selected_quantiles_equal_percentile(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(k % 3 if k % 5 else None, float(v), float(round(v, 1)), None if k % 4 else float(v)) for k, v in enumerate(rng.normal(0, 1, n))]
+    df = spark.createDataFrame(rows, "g int, v double, ties double, some double").repartition(4)
+    wanted = {f"{c}{q}": (F.col(c), q) for c in ("v", "ties", "some") for q in (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)}
+    for by in (["g"], []):
+        one, two = (sorted(tuple(r) for r in M.aggregate(df, by, [F.count(F.lit(1)).alias("n")], wanted, select_bytes=b).fillna(-1, subset=by).collect()) for b in (10**19, 0)) if by else (sorted(tuple(r) for r in M.aggregate(df, by, [F.count(F.lit(1)).alias("n")], wanted, select_bytes=b).collect()) for b in (10**19, 0))
+        assert len(one) == len(two)
+        for a, b in zip(one, two):
+            assert a == pytest.approx(b, nan_ok=True)
+
+
+def test_a_tied_value_is_counted_where_it_is_read(spark):
+    df = spark.range(30_000).selectExpr("IF(id % 3 = 0, id, 7) * 1D AS v", "'x' AS g")
+    got = M.aggregate(df, ["g"], [], {"m": (F.col("v"), 0.5), "q": (F.col("v"), 0.9)}, select_bytes=0).first()
+    v = [k if k % 3 == 0 else 7 for k in range(30_000)]
+    assert (got["m"], got["q"]) == (np.quantile(v, 0.5), np.quantile(v, 0.9))
+
+
+def test_size_of_what_a_plan_reads(spark, small):
+    one = spark.read.parquet(f"{small}/lineitem.parquet")
+    assert 10_000 < M.input_bytes(one.groupBy("l_suppkey").count()) < M.SELECT_BYTES
+    assert M.input_bytes(one.join(one.withColumnRenamed("l_suppkey", "k"), F.col("k") == F.col("l_suppkey"))) < M.SELECT_BYTES
