@@ -14,6 +14,7 @@ closes it, so that another process can go on from the folder.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,7 @@ class OrphanTracker:
         self.broadcast_keys = broadcast_keys
         #: Batch of the merged index, if any; keys in the index, counted once for each change.
         self.batch, self.base, self.index_keys = 0, -1, 0
+        self._pool, self._closing = ThreadPoolExecutor(1), None
         done = sorted(n for n in list_folder(spark, self.folder) if n.startswith("done-"))
         if done:
             state = json.loads(read_text(spark, f"{self.folder}/{done[-1]}"))
@@ -109,8 +111,8 @@ class OrphanTracker:
     def _read(self, paths: list[str], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, df: DataFrame, name: str, schema: T.StructType) -> DataFrame:
-        path = f"{self.folder}/{name}-{self.batch:05d}"
+    def _write(self, df: DataFrame, name: str, schema: T.StructType, batch: int | None = None) -> DataFrame:
+        path = f"{self.folder}/{name}-{self.batch if batch is None else batch:05d}"
         df.select(*schema.names).write.mode("overwrite").parquet(path)
         return self._read([path], schema)
 
@@ -121,6 +123,7 @@ class OrphanTracker:
 
     @property
     def index(self) -> DataFrame:
+        self.settle()
         return self._index(self.batch)
 
     @staticmethod
@@ -171,34 +174,52 @@ class OrphanTracker:
             fine = (at >= F.col("was_since")) & (F.col("was_until").isNull() | (at < F.col("was_until")))
             reopened = touched.where(fine & (at >= F.col("until"))).withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull())
             parts.append(reopened.select("row_id", *KEY, "at", "seen", "orphan_kind").distinct().select("*", F.lit(None).cast("string").alias("was"), batch.alias("batch")))
+        self.settle()
         log = self._write(reduce(DataFrame.unionByName, [p.select(*[F.col(f.name).cast(f.dataType) for f in _LOG.fields]) for p in parts]), "log", _LOG)
-        self._write(self._changes_of(log), "counts", COUNTS)
-        if self.batch - self.base >= MERGE_AFTER:
-            self._write(self._index(self.batch + 1), "index", PARENT)
-            self.base = self.batch
-        write_text(self.spark, f"{self.folder}/done-{self.batch:05d}", json.dumps({"batch": self.batch, "base": self.base, "index_keys": self.index_keys}))
+        # What closes the batch is written while the next one begins.
+        self._closing = self._pool.submit(self._close, log, self.batch, self.index_keys)
         self.batch += 1
+        if said["n"] and self.batch - 1 - self.base >= MERGE_AFTER:
+            self.settle()
+
+    def _close(self, log: DataFrame, batch: int, index_keys: int) -> None:
+        self._write(self._changes_of(log, batch), "counts", COUNTS, batch)
+        if batch - self.base >= MERGE_AFTER:
+            self._write(self._index(batch + 1), "index", PARENT, batch)
+            self.base = batch
+        write_text(self.spark, f"{self.folder}/done-{batch:05d}", json.dumps({"batch": batch, "base": self.base, "index_keys": index_keys}))
+
+    def settle(self) -> None:
+        """Wait until the last batch is closed; what failed there is raised here."""
+        closing, self._closing = self._closing, None
+        if closing is not None:
+            closing.result()
 
-    def _changes_of(self, log: DataFrame) -> DataFrame:
+    @staticmethod
+    def _changes_of(log: DataFrame, batch: int) -> DataFrame:
         steps = F.array(F.struct(F.col("orphan_kind").alias("k"), F.lit(1).alias("d")), F.struct(F.col("was").alias("k"), F.lit(-1).alias("d")))
         each = log.select("ref_table", F.date_format("at", "yyyy-MM").alias("period_month"), F.explode(steps).alias("s")).where(F.col("s.k").isNotNull())
-        return each.groupBy("ref_table", F.col("s.k").alias("orphan_kind"), "period_month").agg(F.sum("s.d").cast("bigint").alias("change")).withColumn("batch", F.lit(self.batch))
+        return each.groupBy("ref_table", F.col("s.k").alias("orphan_kind"), "period_month").agg(F.sum("s.d").cast("bigint").alias("change")).withColumn("batch", F.lit(batch))
 
     def snapshot(self) -> DataFrame:
         """All orphans, as the index stands: one that waited for a parent which has arrived since is ``late``."""
+        self.settle()
         return self._latest(self._read(self._paths("log"), _LOG)).where(F.col("orphan_kind").isNotNull()).select(*ORPHAN.names)
 
     def transitions(self) -> DataFrame:
         """Every change of an orphan's kind: found or reopened (``was`` is NULL), changed, resolved (``orphan_kind`` is NULL)."""
+        self.settle()
         return self._read(self._paths("log"), _LOG)
 
     def counts(self) -> DataFrame:
         """Orphans per referenced table, kind and month of the reference, added up from the batches' changes."""
+        self.settle()
         total = self._read(self._paths("counts"), COUNTS).groupBy("ref_table", "orphan_kind", "period_month").agg(F.sum("change").alias("orphans"))
         return total.where(F.col("orphans") != 0)
 
     def count_history(self) -> DataFrame:
         """The changes of the counts with each batch: ``ref_table``, ``orphan_kind``, ``period_month``, ``change``, ``batch``."""
+        self.settle()
         return self._read(self._paths("counts"), COUNTS)
 
 
@@ -255,4 +276,5 @@ def track_by_month(refs: DataFrame, changes: DataFrame, tracker: OrphanTracker)
         if k:
             past = (staged.where(F.col("month") < m) if m else staged.where(F.col("month") != "none")).withColumn("seen", number[F.col("month")])
         tracker.advance(own, due.drop("known_month"), history=past, hot=hot)
+    tracker.settle()
     return tracker

@@ -54,5 +54,6 @@ def track_stream(references: DataFrame, parents_of: Callable[[SparkSession, int]
     def work(batch: DataFrame, batch_id: int) -> None:
         if tracker.batch <= batch_id:
             tracker.advance(batch.select(*REFERENCE.names), parents_of(batch.sparkSession, batch_id))
+            tracker.settle()
 
     return run_available(references, work, checkpoint)

@@ -118,9 +118,9 @@ def test_kill_and_resume(spark, when, monkeypatch):
     t = O.OrphanTracker(spark, broadcast_keys=0)
     real = O.OrphanTracker._write
 
-    def dying(self, df, name, schema):
-        out = real(self, df, name, schema)
-        if name == when and self.batch == 2:
+    def dying(self, df, name, schema, *args):
+        out = real(self, df, name, schema, *args)
+        if name == when and (args[0] if args else self.batch) == 2:
             raise Killed
         return out
 
@@ -141,6 +141,7 @@ def test_index_is_merged_after_some_batches(spark, monkeypatch):
     t = O.OrphanTracker(spark)
     for k in range(5):
         t.advance(refs(spark, [(k, "e", f"k{k - 1}", k)]), parents(spark, [("e", f"k{k}", k, None)]))
+    t.settle()
     assert t.base == 3 and kinds(t) == {0: "missing"} and t.index.count() == 5
     again = O.OrphanTracker(spark, t.folder)
     assert (again.base, again.batch, again.index_keys) == (3, 5, 5) and again.index.count() == 5
