@@ -12,7 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +190,15 @@ def _bit(mask: np.ndarray, language: int) -> np.ndarray:
     return (mask >> mask.dtype.type(language % 64)) & mask.dtype.type(1) != 0
 
 
+def _dense(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values of a narrow array and their places, without sorting it."""
+    there = np.zeros(1 << (8 * mask.dtype.itemsize), bool)
+    there[mask] = True
+    uniq = np.flatnonzero(there).astype(mask.dtype)
+    place = np.cumsum(there) - 1
+    return uniq, place[mask]
+
+
 class Filters:
     """Bit-sliced Bloom filters of all languages, however many."""
 
@@ -218,8 +227,30 @@ class Filters:
 
     def languages_of(self, keys: np.ndarray) -> list[np.ndarray]:
         """Bitmasks of the languages containing each n-gram."""
-        slots = [self._slots(keys, k) for k in range(self.hashes)]
-        return [reduce(np.bitwise_and, [mask[s] for s in slots]) for mask in self.masks]
+        slots = self._slots(keys, 0)
+        out = [mask[slots] for mask in self.masks]
+        for k in range(1, self.hashes):
+            slots = self._slots(keys, k)
+            for found, mask in zip(out, self.masks):
+                found &= mask[slots]
+        return out
+
+    @staticmethod
+    def _by_mask(line: np.ndarray, mask: np.ndarray, lines: int, languages: int, room: int = 20_000_000) -> np.ndarray:
+        """n-grams per line and language: counted per line and different mask, then added up over the masks with a language's bit."""
+        uniq, dense = np.unique(mask, return_inverse=True) if mask.dtype.itemsize > 2 else _dense(mask)
+        bits = ((uniq[:, None] >> np.arange(languages, dtype=uniq.dtype)) & uniq.dtype.type(1)).astype(float)
+        out = np.zeros((lines, languages))
+        # As many lines at a time as there is room for.
+        step = max(1, room // max(1, len(uniq)))
+        if lines > step:
+            order = np.argsort(line, kind="stable")
+            line, dense = line[order], dense[order]
+        for a in range(0, lines, step):
+            i, j = np.searchsorted(line, [a, a + step]) if lines > step else (0, len(line))
+            n = min(step, lines - a)
+            out[a : a + n] = np.bincount((line[i:j] - a) * len(uniq) + dense[i:j], minlength=n * len(uniq)).reshape(n, -1) @ bits
+        return out
 
     def scores(self, keys: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
         """n-grams per line, and those found per language, less the false ones expected.
@@ -234,10 +265,14 @@ class Filters:
             tells |= mask != mask.dtype.type((1 << min(64, every - 64 * g)) - 1)
         total = np.bincount(line[tells], minlength=lines)
         hits = np.empty((lines, every))
-        for k in range(every):
-            got = np.bincount(line[tells & _bit(masks[k // 64], k)], minlength=lines)
-            p = self.false_rate[k]
-            hits[:, k] = np.maximum(0, got - total * p) / (1 - p)
+        for g, mask in enumerate(masks):
+            # Most n-grams that no language has are left behind before the languages are gone through.
+            own = np.flatnonzero(tells & (mask != 0))
+            of, mask = line[own], mask[own]
+            langs = np.arange(64 * g, min(every, 64 * g + 64))
+            got = self._by_mask(of, mask, lines, len(langs))
+            p = self.false_rate[langs]
+            hits[:, langs] = np.maximum(0, got - total[:, None] * p) / (1 - p)
         return total, hits
 
 

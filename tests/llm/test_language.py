@@ -103,6 +103,15 @@ def test_filters_tell_all_languages_of_an_ngram():
     assert total[0] == 50 and hits[0, 0] == 50 and hits[0, 1] == 0
 
 
+def test_counts_by_mask_equal_plain_counts():
+    rng = np.random.default_rng(4)
+    line, mask = rng.integers(0, 50, 4_000), rng.integers(1, 1 << 9, 4_000)
+    want = np.array([[((line == k) & (mask >> b & 1 == 1)).sum() for b in range(9)] for k in range(50)])
+    for kind in (np.uint16, np.uint32, np.uint64):
+        for room in (20_000_000, 5_000):
+            assert (G.Filters._by_mask(line, mask.astype(kind), 50, 9, room) == want).all()
+
+
 def test_more_than_64_languages():
     names = [f"l{k:03d}" for k in range(150)]
     f = G.Filters(names, 1 << 15)
