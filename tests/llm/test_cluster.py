@@ -84,3 +84,16 @@ def test_no_split_cuts_a_compact_set(spark):
         truth += [c] * n
     got = C.cluster(points(spark, rows), rms_limit=0.5, radius_limit=1.25).toPandas()
     assert len({(truth[i], c) for i, c in zip(got.id, got.cluster_id)}) == 6
+
+
+def test_cluster_sizes_of_the_query(spark, small):
+    from quakeweave.llm import queries as Q
+
+    found, told = Q.p4_found(spark, small).toPandas(), Q.p4_clusters(spark, small).toPandas()
+    assert dict(zip(told.cluster_id, told.cluster_size)) == found.groupby("cluster_id").size().to_dict()
+    assert (told.n_clusters == len(told)).all() and found.station_id.is_unique
+    of = dict(zip(found.station_id, found.cluster_id))
+    for r in told.itertuples():
+        typical = [int(x) for x in r.typical_stations.split(",")]
+        assert len(typical) == min(3, r.cluster_size) and all(of[x] == r.cluster_id for x in typical)
+        assert r.cluster_id == min(k for k, c in of.items() if c == r.cluster_id)
