@@ -116,6 +116,9 @@ def _number(v: float) -> float | None:
 
 
 def _array(v) -> np.ndarray:
+    """Samples with NaN for NULL; Arrow batches come so already."""
+    if isinstance(v, np.ndarray) and v.dtype.kind == "f":
+        return v
     return np.array([np.nan if x is None else x for x in v], float)
 
 

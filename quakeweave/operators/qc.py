@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from quakeweave.functions import kernels as K
 from quakeweave.functions import text as X
 from quakeweave.functions.labels import finite, present
+from quakeweave.functions.traces import _array
 from quakeweave.operators.metrics import first_row, reattach
 
 # Inventory bands in seconds, and reasons of rejection in their order.
@@ -210,7 +211,7 @@ def trace_qc(df: DataFrame, keys: list[str], samples: str, dt: str, start: str,
             rows = []
             for r in pdf.to_dict("records"):
                 for name, low, high in passbands:
-                    q = trace_quality(np.array([np.nan if v is None else v for v in (r[samples] if r[samples] is not None else [])], float), r[dt], r[start] or 0.0, period_s=high)
+                    q = trace_quality(_array(r[samples] if r[samples] is not None else []), r[dt], r[start] or 0.0, period_s=high)
                     rows.append({**{k: r[k] for k in keys}, "passband": name, **q})
             yield pd.DataFrame(rows, columns=schema.names)
 

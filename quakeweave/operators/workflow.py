@@ -23,7 +23,7 @@ _GROUP = {m: g for g, ms in METRIC_GROUPS.items() for m in ms}
 
 def as_array(samples) -> np.ndarray | None:
     """Samples of a row with NaN for NULL; None if there are none."""
-    return None if samples is None or not len(samples) else np.array([np.nan if v is None else v for v in samples], float)
+    return None if samples is None or not len(samples) else R._array(samples)
 
 
 def prepare_sides(traces: list[np.ndarray | None], dt: list[float], bands: list[tuple[float, float]], *, lowpass_hz=None, resample_hz=None) -> list:
