@@ -70,6 +70,23 @@ def test_pairs_equal_brute_force(spark, field):
     assert bins.count() == 20 and bins.agg(F.sum("pair_count")).first()[0] == 4 * 120
 
 
+def test_pairs_of_lists_equal_those_of_cells(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"e{k % 3}" if k % 17 else None, f"s{rng.integers(30)}" if k % 19 else None, 33 + rng.random() * 3, -180 + rng.random() * 3 if k % 2 else 180 - rng.random() * 3, float(rng.normal()) if k % 13 else float("nan")) for k in range(120)]
+    # One event is larger than the limit, the others are not.
+    rows += [("big", f"t{k}", 33 + rng.random() * 3, -118 + rng.random() * 3, float(rng.normal())) for k in range(150)]
+    df = spark.createDataFrame(rows, "event_id string, station string, lat double, lon double, field_centered double")
+    lists, cells, both = (sorted(map(tuple, SP.station_pairs(df, max_km=150.0, list_rows=n).collect())) for n in (10_000, 0, 140))
+    assert lists == cells == both and {"big", "e0", "e1", "e2"} == {r[0] for r in lists}
+
+
+@pytest.mark.parametrize("name", ["distance_bin_semivariance"])
+def test_pairs_of_events_are_not_shuffled(spark, small, name):
+    # Rows for cells around a station would be repeated before a shuffle, and events be gathered more often than once.
+    plan = analytics.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "own" not in plan and "explode(slice" in plan
+
+
 def test_neighbours_widen_their_search(spark):
     rows = [(f"s{k}", 30.0 + k * k * 0.5, -118.0) for k in range(8)]
     got = SP.nearest_neighbours(spark.createDataFrame(rows, "station string, lat double, lon double"), 2, cell_km=5.0).toPandas()
