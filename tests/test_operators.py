@@ -80,7 +80,7 @@ def test_pairs_of_lists_equal_those_of_cells(spark):
     assert lists == cells == both and {"big", "e0", "e1", "e2"} == {r[0] for r in lists}
 
 
-@pytest.mark.parametrize("name", ["distance_bin_semivariance", "directional_semivariance"])
+@pytest.mark.parametrize("name", ["distance_bin_semivariance", "directional_semivariance", "correlation_length"])
 def test_pairs_of_events_are_not_shuffled(spark, small, name):
     # Rows for cells around a station would be repeated before a shuffle, and events be gathered more often than once.
     plan = analytics.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
