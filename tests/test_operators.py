@@ -87,6 +87,19 @@ def test_pairs_of_events_are_not_shuffled(spark, small, name):
     assert "own" not in plan and "explode(slice" in plan
 
 
+def test_all_paths_are_made_without_a_shuffle_of_pairs(spark):
+    from quakeweave.operators import joins as J
+
+    s = spark.createDataFrame([("a", 33.0, -118.0, "x"), ("a", 33.5, -118.0, "y"), (" b", 34.0, -117.0, "z"), (None, 1.0, 1.0, "n")], "station string, lat double, lon double, event_id string")
+    e = spark.createDataFrame([("e1", 33.1, -118.1, 5.0), ("e1", 33.2, -118.1, 6.0), ("e2", 34.0, -118.0, 7.0)], "event_id string, event_lat double, event_lon double, lon double")
+    got = J.event_station_table(s, e)
+    pairs = spark.createDataFrame([(i, k) for i in ("e1", "e2") for k in ("A", "B")], "event_id string, station string")
+    want = J.event_station_table(s, e, pairs)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 9
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan and got.rdd.getNumPartitions() >= 16
+
+
 def test_neighbours_widen_their_search(spark):
     rows = [(f"s{k}", 30.0 + k * k * 0.5, -118.0) for k in range(8)]
     got = SP.nearest_neighbours(spark.createDataFrame(rows, "station string, lat double, lon double"), 2, cell_km=5.0).toPandas()
