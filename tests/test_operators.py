@@ -101,6 +101,15 @@ def test_all_paths_are_made_without_a_shuffle_of_pairs(spark):
     assert "RepartitionByExpression [event_id" in plan
 
 
+def test_small_groups_are_listed_and_large_ones_selected(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"e{k % 97}" if k % 5 else ("big" if k % 2 else None), k % 3, float(rng.integers(9)) / 8 if k % 11 else None) for k in range(1500)]
+    df = spark.createDataFrame(rows, "e string, m int, v double")
+    monkeypatch.setattr(M, "LIST_ROWS", 60)
+    ask = lambda **k: sorted(map(repr, M.aggregate(df, ["e", "m"], [F.count(F.lit(1)).alias("n")], {"med": (F.col("v"), 0.5), "q3": (F.col("v"), 0.75)}, **k).collect()))
+    assert ask(select_bytes=0, rows=(df, ["e"])) == ask(select_bytes=1 << 63) == ask(select_bytes=0)
+
+
 def test_neighbours_widen_their_search(spark):
     rows = [(f"s{k}", 30.0 + k * k * 0.5, -118.0) for k in range(8)]
     got = SP.nearest_neighbours(spark.createDataFrame(rows, "station string, lat double, lon double"), 2, cell_km=5.0).toPandas()
