@@ -1,6 +1,7 @@
 """Metric, spatial, QC and clustering operators on small fixtures."""
 
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -87,6 +88,12 @@ def test_pairs_of_events_are_not_shuffled(spark, small, name):
     assert "own" not in plan and "explode(slice" in plan
 
 
+@pytest.mark.parametrize("name", ["directional_semivariance"])
+def test_rows_of_pairs_are_shuffled_once_by_event(spark, small, name):
+    plan = analytics.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(event_id", plan)) == 1 and not re.search(r"Exchange hashpartitioning\(event_id#\d+, station", plan)
+
+
 def test_all_paths_are_made_without_a_shuffle_of_pairs(spark):
     from quakeweave.operators import joins as J
 
