@@ -162,6 +162,54 @@ def test_holdout(spark, field):
     assert len(got) >= 2 and (got.rmse >= 0).all() and got.skill.notna().all()
 
 
+def _held_out(pdf, size_km, k, least, least_events):
+    """One fold after another, as the reference does."""
+    pdf = pdf.dropna(subset=["event_id", "station", "field_value"])
+    at = pdf.groupby("station")[["lat", "lon"]].mean().dropna()
+    x, y = (6371.0088 * np.radians(v) for v in (at.lon * np.cos(np.radians(at.lat).mean()), at.lat))
+    block = [f"bx{int(i):03d}_by{int(j):03d}" for i, j in zip((x - x.min()) // size_km, (y - y.min()) // size_km)]
+    out = {}
+    for f in sorted(set(block)):
+        held = set(at.index[[b == f for b in block]])
+        rest = pdf[~pdf.station.isin(held)].groupby("event_id").agg(m=("field_value", "mean"), n=("station", "nunique"))
+        c = pdf.join(rest[rest.n >= least], on="event_id", how="inner")
+        c["c"] = c.field_value - c.m
+        bias = c.groupby("station").agg(v=("c", "mean"), e=("event_id", "nunique"))
+        bias = bias[(bias.e >= least_events) & bias.index.isin(at.index)].v
+        train = bias[~bias.index.isin(held)]
+        errors = []
+        for s in sorted(held & set(bias.index)):
+            d = np.hypot(x[train.index] - x[s], y[train.index] - y[s]).nsmallest(k)
+            w = 1 / np.maximum(d, 1e-6) ** 2
+            errors.append(((w * train[d.index]).sum() / w.sum() - bias[s], train.mean() - bias[s]))
+        if errors:
+            out[f] = (len(errors), *np.sqrt((np.array(errors) ** 2).mean(axis=0)))
+    return out
+
+
+@pytest.mark.parametrize(("events", "most", "pairs"), [(60, 20, 1_000_000), (400, 5, 40)])
+def test_holdout_equals_fold_by_fold_without_all_pairs(spark, monkeypatch, events, most, pairs):
+    rng = np.random.default_rng(events)
+    at = [(33 + rng.random(), -118 + rng.random()) for _ in range(60)]
+    at[7] = (None, None)
+    rows = []
+    for e in range(events):
+        for i in rng.choice(60, rng.integers(1, most), replace=False):
+            rows += [(f"e{e}" if rng.random() > 0.02 else None, f"s{i}" if rng.random() > 0.02 else None, *at[i], float(rng.normal()) if rng.random() > 0.05 else None)] * rng.integers(1, 3)
+    df = spark.createDataFrame(rows, "event_id string, station string, lat double, lon double, field_value double")
+    written = []
+    cut = SP.cut_lineage
+    monkeypatch.setattr(SP, "cut_lineage", lambda f, *a: (lambda g: written.append(g.count()) or g)(cut(f, *a)))
+    if hasattr(SP, "HOLDOUT_PAIRS"):
+        monkeypatch.setitem(SP.block_holdout.__kwdefaults__, "most_pairs", pairs)
+    got = {r["fold"]: (r["n_stations"], r["rmse"], r["baseline_rmse"]) for r in SP.block_holdout(df, size_km=15.0, k=3, least_stations=1).collect()}
+    want = _held_out(pd.DataFrame(rows, columns=df.columns), 15.0, 3, 3, 3)
+    assert len(got) > 20 and got.keys() == want.keys()
+    assert all(got[f] == pytest.approx(want[f], rel=1e-9) for f in got)
+    # A mean of each station in each fold is not made.
+    assert most == 5 or max(written) < 60 * len(got) / 2
+
+
 def test_curve_fits():
     x = np.linspace(1, 10, 50)
     assert SP.fit_curve(x, 2 + 3 / x, "inverse")["r2"] == pytest.approx(1)
