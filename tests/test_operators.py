@@ -88,7 +88,7 @@ def test_pairs_of_events_are_not_shuffled(spark, small, name):
     assert "own" not in plan and "explode(slice" in plan
 
 
-@pytest.mark.parametrize("name", ["directional_semivariance"])
+@pytest.mark.parametrize("name", ["directional_semivariance", "correlation_length"])
 def test_rows_of_pairs_are_shuffled_once_by_event(spark, small, name):
     plan = analytics.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(event_id", plan)) == 1 and not re.search(r"Exchange hashpartitioning\(event_id#\d+, station", plan)
