@@ -94,6 +94,21 @@ def test_rows_of_pairs_are_shuffled_once_by_event(spark, small, name):
     assert len(re.findall(r"Exchange hashpartitioning\(event_id", plan)) == 1 and not re.search(r"Exchange hashpartitioning\(event_id#\d+, station", plan)
 
 
+def test_field_of_pairs_has_a_station_once(spark, small, tmp_path):
+    for t in ("nation", "region", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    s = pd.read_parquet(f"{small}/supplier.parquet")
+    # The same codes are listed at three positions each.
+    pd.concat([s.assign(s_suppkey=s.s_suppkey + k) for k in (3007, 0, 1990)]).to_parquet(tmp_path / "supplier.parquet")
+    d = str(tmp_path)
+    field = analytics._pair_field(spark, d)
+    assert field.count() == field.select("event_id", "station").distinct().count() > 100
+    every = M.center_by_event(analytics._field(spark, d)).groupBy("event_id", "station", "lat", "lon").agg(F.avg("field_centered").alias("field_centered"))
+    assert every.count() == 3 * field.count()
+    ask = lambda f: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in SP.station_pairs(f, max_km=1e5).collect())
+    assert ask(field) == ask(every) != []
+
+
 def test_all_paths_are_made_without_a_shuffle_of_pairs(spark):
     from quakeweave.operators import joins as J
 
